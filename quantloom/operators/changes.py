@@ -91,7 +91,7 @@ def watermarks(changes: DataFrame, n_table: int, hold_seconds: float | None, has
     """
     t = [f"t{i}" for i in range(n_table)]
     inner = Window.partitionBy(*t, "epoch").orderBy("seq")
-    rows = changes.withColumn("gap", (F.col("seq") - F.lag("seq").over(inner)) > 1)
+    rows = changes.withColumn("prev", F.lag("seq").over(inner)).withColumn("gap", (F.col("seq") - F.col("prev")) > 1)
     if has_txn:
         whole = Window.partitionBy(*t, "epoch", "txn")
         rows = rows.withColumn("short", F.col("txn_size").isNotNull() & (F.count(F.lit(1)).over(whole) < F.col("txn_size")))
@@ -102,21 +102,24 @@ def watermarks(changes: DataFrame, n_table: int, hold_seconds: float | None, has
         F.max("seq").alias("hi"),
         F.min_by("arrived", "seq").alias("lo_arrived"),
         F.max("arrived").alias("newest"),
-        F.collect_list(F.when(F.col("gap") | F.col("short"), F.struct("seq", "arrived"))).alias("suspects"),
+        F.collect_list(F.when(F.col("gap") | F.col("short"), F.struct("seq", "arrived", "prev"))).alias("suspects"),
     )
     over = Window.partitionBy(*t).orderBy("epoch")
-    epochs = first.withColumn("jump", (F.col("lo") - F.lag("hi").over(over)) > 1).withColumn(
-        "suspects", F.when(F.col("jump"), F.concat("suspects", F.array(F.struct(F.col("lo").alias("seq"), F.col("lo_arrived").alias("arrived"))))).otherwise(F.col("suspects"))
+    epochs = first.withColumn("hi_before", F.lag("hi").over(over)).withColumn(
+        "suspects",
+        F.when(
+            F.col("lo") - F.col("hi_before") > 1, F.concat("suspects", F.array(F.struct(F.col("lo").alias("seq"), F.col("lo_arrived").alias("arrived"), F.col("hi_before").alias("prev"))))
+        ).otherwise(F.col("suspects")),
     )
     newest = F.max("newest").over(Window.partitionBy(*t))
     hold = F.lit(0.0 if hold_seconds is None else float(hold_seconds))
     open_ = F.filter("suspects", lambda s: (F.unix_micros(F.col("newest_all")) - F.unix_micros(s["arrived"])) < hold * 1_000_000)
     return (
         epochs.withColumn("newest_all", newest)
-        .withColumn("blocked", F.array_min(F.transform(open_, lambda s: s["seq"])))
+        .withColumn("blocked", F.array_min(F.transform(open_, lambda s: F.struct(s["seq"].alias("seq"), F.coalesce(s["prev"], F.col("hi_before"), s["seq"] - 1).alias("mark")))))
         .groupBy(*t)
-        .agg((F.min("blocked") - 1).alias("blocked"), F.max("hi").alias("hi"))
-        .select(*t, F.coalesce("blocked", "hi").alias("watermark"))
+        .agg(F.min("blocked").alias("blocked"), F.max("hi").alias("hi"))
+        .select(*t, F.coalesce("blocked.mark", "hi").alias("watermark"))
     )
 
 

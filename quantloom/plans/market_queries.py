@@ -6,12 +6,13 @@ days as text, so that both engines agree on types.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.calendar import in_window, minute_of_day, trade_date
 from quantloom.functions.market import fine
-from quantloom.operators import bars, book, changes, folds, indicators, joins, options, regimes, report, rules, simulate
+from quantloom.operators import bars, book, changes, combine, folds, indicators, joins, options, profile, regimes, report, rules, simulate
 from quantloom.session import table
 
 RTH = (870, 1260)  # 14:30 to 21:00 UTC, regular hours of the winter sessions
@@ -561,3 +562,98 @@ def book_cropped(spark: SparkSession, d: str) -> DataFrame:
 def dimension_lookup(spark: SparkSession, d: str) -> DataFrame:
     c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
     return c.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("customers")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("nation"), F.col("r_name").alias("region"), "customers")
+
+
+@query()
+def value_areas(spark: SparkSession, d: str) -> DataFrame:
+    levels = _changes(spark, d).where("action = 'T'").select("symbol", _day("session_date").alias("day"), (F.col("px") / 1e9).alias("price"), F.col("sz").alias("volume"))
+    return profile.profiles(levels, ["symbol", "day"])
+
+
+@query(f"""WITH {T} SELECT asset, count(*)::BIGINT AS trades, sum(ticks) AS total_ticks FROM tr WHERE direction = 'long' AND exit_reason IN ('target', 'stop') GROUP BY asset""")
+def filter_chain(spark: SparkSession, d: str) -> DataFrame:
+    return _trades(spark, d).where("direction = 'long'").where(F.col("exit_reason").isin("target", "stop")).groupBy("asset").agg(F.count(F.lit(1)).alias("trades"), F.sum("ticks").alias("total_ticks"))
+
+
+@query(f"""WITH {B}, x AS (SELECT *, "close" - lag("close") OVER w AS dc FROM bars WINDOW w AS (PARTITION BY symbol, day ORDER BY minute))
+SELECT symbol, epoch(minute)::BIGINT AS minute, sum(CASE WHEN dc > 0 THEN volume WHEN dc < 0 THEN -volume ELSE 0 END) OVER (PARTITION BY symbol, day ORDER BY minute ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS cvd FROM x""")
+def cumulative_delta(spark: SparkSession, d: str) -> DataFrame:
+    dc = F.col("close") - F.lag("close").over(Window.partitionBy("symbol", "day").orderBy("minute"))
+    x = _bars(spark, d).withColumns({"buy_volume": F.when(dc > 0, F.col("volume")).otherwise(0), "sell_volume": F.when(dc < 0, F.col("volume")).otherwise(0)})
+    return indicators.cumulative_delta(x, ["symbol", "day"], "minute").select("symbol", _sec("minute").alias("minute"), "cvd")
+
+
+@query(f"""WITH {T} SELECT run_id, strftime(day, '%Y-%m-%d') AS day, sum(ticks) AS ticks, isodow(day)::INT AS weekday FROM tr GROUP BY ALL""")
+def daily_totals(spark: SparkSession, d: str) -> DataFrame:
+    return _trades(spark, d).groupBy("run_id", "day").agg(F.sum("ticks").alias("ticks")).select("run_id", _day("day").alias("day"), "ticks", (F.weekday("day") + 1).alias("weekday"))
+
+
+@query("""SELECT l_returnflag AS flag, l_linestatus AS status, sum(l_quantity)::DOUBLE AS quantity, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL""")
+def pricing_summary(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status")).agg(F.sum("l_quantity").cast("double").alias("quantity"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_PRINT}, b AS (SELECT instrument_id, time_bucket(INTERVAL 5 MINUTE, ts_event::TIMESTAMP) AS bk, sum(-ag * size) AS f FROM pr GROUP BY ALL)
+SELECT instrument_id, epoch(bk)::BIGINT AS bucket, sum(f) OVER (PARTITION BY instrument_id, (bk + INTERVAL 2 HOUR)::DATE ORDER BY bk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS session_flow FROM b""")
+def dealer_flow(spark: SparkSession, d: str) -> DataFrame:
+    return options.five_minute(options.classified(table(spark, d, "option_trades"))).select("instrument_id", _sec("bucket").alias("bucket"), "session_flow")
+
+
+@query(f"""WITH {_PRINT} SELECT print_id, size::INT AS size, (hour(ts_event::TIMESTAMP) * 60 + minute(ts_event::TIMESTAMP)) BETWEEN 870 AND 1260 AS rth FROM pr WHERE CASE WHEN (hour(ts_event::TIMESTAMP) * 60 + minute(ts_event::TIMESTAMP)) BETWEEN 870 AND 1260 THEN size >= 10 ELSE size >= 5 END""")
+def large_prints(spark: SparkSession, d: str) -> DataFrame:
+    p = options.classified(table(spark, d, "option_trades")).withColumn("rth", in_window(F.col("ts_event"), *RTH))
+    return bars.large_prints(p, "size", F.col("rth"), 10, 5).select("print_id", "size", "rth")
+
+
+@query("""SELECT underlying, arg_max(multiplier, struct_pack(n := n, m := -multiplier))::INT AS multiplier FROM (SELECT underlying, multiplier, count(*) AS n FROM options_oi_snapshot WHERE multiplier <> 0 GROUP BY ALL) GROUP BY underlying""")
+def modal_multiplier(spark: SparkSession, d: str) -> DataFrame:
+    return options.modal_multiplier(table(spark, d, "options_oi_snapshot"))
+
+
+@query("""WITH n AS (SELECT max(snapshot_time) AS now FROM options_oi_snapshot), e AS (SELECT instrument_id, max(expiry) AS expiry FROM options_5m_contracts WHERE expiry IS NOT NULL GROUP BY ALL)
+SELECT instrument_id, epoch(expiry)::BIGINT AS expiry, -1 AS open_interest FROM e, n WHERE expiry <= now AND instrument_id IN (SELECT instrument_id FROM options_oi_snapshot)""")
+def expiry_tombstones(spark: SparkSession, d: str) -> DataFrame:
+    return options.tombstones(table(spark, d, "options_oi_snapshot"), table(spark, d, "options_5m_contracts")).withColumn("expiry", _sec("expiry"))
+
+
+@query()
+def exposure_hac(spark: SparkSession, d: str) -> DataFrame:
+    s = bars.session_statistics(_bars(spark, d), ["symbol", "day"], "minute", F.col("rth")).select(F.col("symbol").alias("asset"), "day", (F.col("globex_close") - F.col("globex_open")).alias("x"))
+    y = _trades(spark, d).groupBy("asset", "day").agg(F.sum("ticks").alias("y"))
+    return report.exposure(s.join(y, ["asset", "day"]), ["asset"], "day")
+
+
+@query()
+def combined_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Greedy choice of assets whose trades, taken together, gain most without overlap."""
+    t = _trades(spark, d).where("entry_time IS NOT NULL AND exit_time IS NOT NULL AND asset IS NOT NULL")
+    rows = t.select("asset", F.unix_micros("entry_time").alias("e"), F.unix_micros("exit_time").alias("x"), "trade_id", "ticks", "day")
+    picked = rows.limit(combine.MOST_ROWS + 1).collect()
+    if len(picked) > combine.MOST_ROWS:
+        raise ValueError("the pool is too large to choose from on the driver")
+    by: dict = {}
+    for r in picked:
+        by.setdefault(r.asset, []).append((r.e, r.x, r.trade_id, r.ticks))
+    ids = sorted(by)
+    pairs = {(r.a, r.b): r["corr"] for r in report.correlations(rows, "asset", "day", "ticks").collect()}
+    corr = np.array([[1.0 if a == b else pairs.get((min(a, b), max(a, b)), 0.0) for b in ids] for a in ids])
+    path = combine.choose([combine.Variant(str(i), "", sorted(by[i])) for i in ids], corr, 50.0, 8, 2)
+    return spark.createDataFrame([(p["k"], p["stage"], ",".join(sorted(p["members"])), p["total"]) for p in path], "k int, stage string, members string, total double")
+
+
+@query()
+def mc_regime_switching(spark: SparkSession, d: str) -> DataFrame:
+    t = _largest_run(spark, d)
+    asset = t.groupBy("asset").count().orderBy(F.desc("count"), "asset").first()["asset"]
+    f = _snapshots(spark, d).where(F.col("asset") == asset).groupBy("asset", "day").agg(F.max_by("state", "ts").alias("state"))
+    states = ["down", "flat", "up"]
+    steps = {(r.previous, r.state): r.probability for r in report.transitions(f, ["asset"], "day", "state").collect()}
+    days = {r.state: r["count"] for r in f.groupBy("state").count().collect()}
+    labels = joins.regime_labels(t.select("trade_id", "asset", "day", "entry_time", "ticks"), _snapshots(spark, d), "final", date="day", asset=["asset"])
+    a = simulate.trade_arrays(labels, ["ticks", "regime"], ["trade_id"])
+    pools = [a["ticks"][a["regime"] == s] * 12.5 for s in states]
+    chance = np.array([min(1.0, len(p) / days[s]) if days.get(s) else 0.0 for p, s in zip(pools, states)])
+    matrix = np.array([[steps.get((x, y), 0.0) for y in states] for x in states])
+    start = np.array([float(days.get(s, 0)) for s in states])
+    paths = simulate.switching_paths(spark, start if start.sum() else np.ones(3), matrix, chance, pools, 400, 60, 100_000.0, 7)
+    return simulate.bands(paths, [5.0, 50.0, 95.0])
