@@ -4,7 +4,7 @@ SQL = {
     "p5_found": """
 WITH candles AS (
   SELECT symbol, ts::TIMESTAMP AS ts, min(candle_id) AS candle_id FROM candles_1m
-  WHERE ts IS NOT NULL AND "close" IS NOT NULL AND NOT isnan("close") GROUP BY ALL
+  WHERE ts IS NOT NULL AND "close" IS NOT NULL AND "close"::VARCHAR <> 'nan' GROUP BY ALL
 ), records AS (
   SELECT trade_id AS record_id, asset AS symbol, entry_time::TIMESTAMP AS ts, row_number() OVER (PARTITION BY trade_id ORDER BY saved_at DESC) AS n FROM trades
   UNION ALL
