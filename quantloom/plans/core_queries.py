@@ -84,7 +84,7 @@ WITH last AS (
   SELECT run_id, strptime(substr(replace(date, '-', ''), 1, 8), '%Y%m%d')::DATE AS day, ticks,
          row_number() OVER (PARTITION BY trade_id ORDER BY saved_at DESC) AS n FROM trades
 ), daily AS (
-  SELECT run_id, day, sum(ticks) AS x FROM last WHERE n = 1 AND day IS NOT NULL AND ticks IS NOT NULL AND NOT isnan(ticks) GROUP BY ALL
+  SELECT run_id, day, sum(ticks) AS x FROM last WHERE n = 1 AND day IS NOT NULL AND ticks IS NOT NULL AND ticks::VARCHAR <> 'nan' GROUP BY ALL
 ), spine AS (
   SELECT run_id, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM daily GROUP BY run_id
 ), totals AS (
@@ -139,7 +139,7 @@ WITH last AS (
   SELECT *, row_number() OVER (PARTITION BY reading_id ORDER BY recv_at DESC) AS n FROM mbo_full_book_1s
 ), r AS (
   SELECT symbol, session_date, ts::TIMESTAMP AS ts, reading_id, floor(epoch_us(ts) / 1000000)::BIGINT AS sec,
-         coalesce(NOT isnan(best_bid) AND NOT isnan("close") AND volume IS NOT NULL, false) AS usable
+         coalesce(best_bid::VARCHAR <> 'nan' AND "close"::VARCHAR <> 'nan' AND volume IS NOT NULL, false) AS usable
   FROM last WHERE n = 1 AND ts IS NOT NULL
 ), slots AS (
   SELECT symbol, session_date, unnest(generate_series(lo, hi)) AS slot

@@ -54,13 +54,13 @@ bars AS (
   SELECT *, (minute + INTERVAL 2 HOUR)::DATE AS day, (hour(minute) * 60 + minute(minute)) BETWEEN 870 AND 1259 AS rth FROM (
     SELECT symbol, date_trunc('minute', ts::TIMESTAMP + INTERVAL 30 SECOND) AS minute, open, high, low, "close", volume,
            row_number() OVER (PARTITION BY symbol, date_trunc('minute', ts::TIMESTAMP + INTERVAL 30 SECOND) ORDER BY candle_id) AS n
-    FROM candles_1m WHERE ts IS NOT NULL AND "close" IS NOT NULL AND NOT isnan("close")) WHERE n = 1)
+    FROM candles_1m WHERE ts IS NOT NULL AND "close" IS NOT NULL AND "close"::VARCHAR <> 'nan') WHERE n = 1)
 """
 T = """
 tr AS (
   SELECT *, strptime(substr(replace(date, '-', ''), 1, 8), '%Y%m%d')::DATE AS day FROM (
     SELECT *, row_number() OVER (PARTITION BY trade_id ORDER BY saved_at DESC) AS n FROM trades)
-  WHERE n = 1 AND date IS NOT NULL AND ticks IS NOT NULL AND NOT isnan(ticks))
+  WHERE n = 1 AND date IS NOT NULL AND ticks IS NOT NULL AND ticks::VARCHAR <> 'nan')
 """
 
 
@@ -150,7 +150,7 @@ def price_window(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH p AS (SELECT DISTINCT print_id, instrument_id, ts_event FROM option_trades WHERE ts_event IS NOT NULL)
 SELECT p.print_id, c.candle_id FROM p JOIN (SELECT DISTINCT instrument_id, underlying FROM options_5m_contracts QUALIFY count(DISTINCT underlying) OVER (PARTITION BY instrument_id) = 1) u USING (instrument_id)
-ASOF LEFT JOIN (SELECT symbol, ts, min(candle_id) AS candle_id FROM candles_1m WHERE "close" IS NOT NULL AND NOT isnan("close") GROUP BY ALL) c ON u.underlying = c.symbol AND p.ts_event >= c.ts""")
+ASOF LEFT JOIN (SELECT symbol, ts, min(candle_id) AS candle_id FROM candles_1m WHERE "close" IS NOT NULL AND "close"::VARCHAR <> 'nan' GROUP BY ALL) c ON u.underlying = c.symbol AND p.ts_event >= c.ts""")
 def asof_spot(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "option_trades").where("ts_event IS NOT NULL").select("print_id", "instrument_id", "ts_event").distinct()
     one = table(spark, d, "options_5m_contracts").groupBy("instrument_id").agg(F.min("underlying").alias("symbol"), F.countDistinct("underlying").alias("n")).where("n = 1").drop("n")
@@ -223,7 +223,7 @@ def latest_wins_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PRINT = """pr AS (SELECT *, (CASE WHEN bid_px >= ask_px THEN CASE upper(side) WHEN 'B' THEN 1 WHEN 'A' THEN -1 ELSE 0 END WHEN price >= ask_px THEN 1 WHEN price <= bid_px THEN -1 ELSE 0 END) AS ag FROM (
-SELECT *, row_number() OVER (PARTITION BY print_id ORDER BY ts_recv) AS n FROM option_trades) WHERE n = 1 AND ts_event IS NOT NULL AND price IS NOT NULL AND NOT isnan(price))"""
+SELECT *, row_number() OVER (PARTITION BY print_id ORDER BY ts_recv) AS n FROM option_trades) WHERE n = 1 AND ts_event IS NOT NULL AND price IS NOT NULL AND price::VARCHAR <> 'nan')"""
 
 
 @query(f"""WITH {_PRINT} SELECT instrument_id, epoch(time_bucket(INTERVAL 5 MINUTE, ts_event::TIMESTAMP))::BIGINT AS bucket, arg_min(price, struct_pack(a := ts_event, b := print_id)) AS open, max(price) AS high, min(price) AS low,
