@@ -170,7 +170,7 @@ def positions(mix: Mix, schedule: dict[str, list[tuple[float, float]]] | None =
     )
     documents = sum(s.documents for s in used)
     buckets = max(1, -(-documents // BUCKET_DOCS))
-    rows = mix.sized.withColumn("key", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.floor((F.shiftrightunsigned("key", 33).cast("double") / float(1 << 31)) * buckets).cast("int"))
+    rows = mix.sized.withColumn("key", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.floor((F.shiftright("key", 33) + (1 << 30)).cast("double") / float(1 << 31) * buckets).cast("int"))
     totals = rows.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("sum"))
     before = totals.withColumn("before", F.coalesce(F.sum("sum").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("sum")
     within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
