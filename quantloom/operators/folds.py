@@ -1,8 +1,8 @@
-"""Ordered folds: the next state depends on the last decision, so no window frame expresses them.
+"""Ordered folds: the next state depends on the last decision.
 
-Each fold runs over one group in order, as a higher-order aggregate over the
-group's sorted array, or in arrow batches of one group where a row per step is
-wanted. Groups are runs, chains or sessions.
+Where the past can be cut or summed up, windows do it (hysteresis, islands of
+the walk). Sizing on running equity cannot be cut: a run is sized trade by
+trade in one arrow batch, and runs are the unit of parallelism.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import math
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -25,8 +25,16 @@ def with_columns(df: DataFrame, **added: str) -> StructType:
 
 
 def no_overlap(df: DataFrame, keys: list[str], entry: str, exit_: str, tie: list[str]) -> DataFrame:
-    """Rows kept by the greedy walk in order of (entry, exit, tie): a row is kept if it enters at or after the last kept exit."""
+    """Rows kept by the greedy walk in order of (entry, exit, tie): a row is kept if it enters at or after the last kept exit.
+
+    A row that enters at or after every exit before it starts the walk anew,
+    whatever was kept. So each group is cut into islands of overlapping rows by
+    a running maximum, and only an island is walked in one arrow batch.
+    """
     rows = df.withColumns({"_e": F.unix_micros(entry), "_x": F.unix_micros(exit_)})
+    order = Window.partitionBy(*keys).orderBy("_e", "_x", *tie)
+    rows = rows.withColumn("_max", F.max("_x").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("_island", F.sum(F.when(F.col("_e") < F.col("_max"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_max")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_e", "_x", *tie], kind="stable")
@@ -38,33 +46,34 @@ def no_overlap(df: DataFrame, keys: list[str], entry: str, exit_: str, tie: list
                 last = x
         return pdf[keep]
 
-    return rows.groupBy(*keys).applyInPandas(walk, rows.schema).drop("_e", "_x")
+    alone = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_island")))
+    single, crowded = alone.where("_n = 1").drop("_n"), alone.where("_n > 1").drop("_n")
+    return single.unionByName(crowded.groupBy(*keys, "_island").applyInPandas(walk, rows.schema)).drop("_e", "_x", "_island")
 
 
 def hysteresis(df: DataFrame, keys: list[str], order: list[str], z: str, names: tuple[str, str, str] = ("high", "normal", "low"), enter: tuple[float, float] = (1.0, -1.0), leave: tuple[float, float] = (0.5, -0.5)) -> DataFrame:
     """Adds state: three states with separate thresholds to enter and to leave the outer ones.
 
     A null or NaN z is 'unknown' and leaves the state as it was. One step may
-    leave an extreme and enter the other.
+    leave an extreme and enter the other. leave lies within enter.
+
+    Beyond an enter threshold, and strictly between the leave ones, the state
+    does not depend on the past; a value between the two thresholds of one side
+    only ends the other side's state. So the state follows from the last
+    decisive value and whether a value of the other side came since: windows,
+    no loop.
     """
     high, normal, low = names
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        state, out = normal, []
-        for v in pdf[z].tolist():
-            if v is None or v != v:
-                out.append("unknown")
-                continue
-            if (state == high and v < leave[0]) or (state == low and v > leave[1]):
-                state = normal
-            if state == normal:
-                state = high if v > enter[0] else low if v < enter[1] else normal
-            out.append(state)
-        pdf["state"] = out
-        return pdf
-
-    return df.groupBy(*keys).applyInPandas(label, with_columns(df, state="string"))
+    v = F.when(~F.isnan(z), F.col(z))
+    by = Window.partitionBy(*keys).orderBy(*order)
+    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    decisive = F.when(v > enter[0], 1).when(v < enter[1], -1).when((v < leave[0]) & (v > leave[1]), 0)
+    x = df.withColumns({"_pos": F.row_number().over(by), "_code": decisive, "_v": v})
+    at = lambda cond: F.max(F.when(cond, F.col("_pos"))).over(upto)
+    x = x.withColumns({"_last": F.last("_code", True).over(upto), "_at": at(F.col("_code").isNotNull()), "_up": at(F.col("_code").isNull() & (F.col("_v") >= leave[0])), "_down": at(F.col("_code").isNull() & (F.col("_v") <= leave[1]))})
+    still = lambda c: F.col(c).isNull() | (F.col(c) < F.col("_at"))
+    state = F.when(F.col("_v").isNull(), "unknown").when((F.col("_last") == 1) & still("_down"), high).when((F.col("_last") == -1) & still("_up"), low).otherwise(normal)
+    return x.withColumn("state", state).drop("_pos", "_code", "_v", "_last", "_at", "_up", "_down")
 
 
 def _floor_steps(raw: float, increment: float) -> float:

@@ -396,10 +396,13 @@ def efficiency_ratio(spark: SparkSession, d: str) -> DataFrame:
     return e.select("symbol", _day("day").alias("day"), "n", F.round("er", 6).alias("er"))
 
 
-@query()
+@query(f"""WITH {_RET}, x AS (SELECT symbol, day, minute, "close" AS c, r, lag("close") OVER w AS lv, CASE WHEN r IS NOT NULL THEN "close" - lag("close") OVER w END AS y, first_value("close") OVER w AS f FROM rt WINDOW w AS (PARTITION BY symbol, day ORDER BY minute)),
+k AS (SELECT *, lag(y) OVER (PARTITION BY symbol, day ORDER BY minute) AS d FROM x), a AS (SELECT symbol, day, count(*)::DOUBLE AS n, var_pop(lv - f) AS vl, var_pop(d) AS vd, covar_pop(lv - f, d) AS ld, covar_pop(lv - f, y) AS ly, covar_pop(d, y) AS dy, var_pop(y) AS vy, count(*) FILTER (y <> 0) AS mv FROM k WHERE y IS NOT NULL AND lv IS NOT NULL AND d IS NOT NULL GROUP BY ALL),
+b AS (SELECT *, vl * vd - ld * ld AS det, (vd * ly - ld * dy) / nullif(vl * vd - ld * ld, 0) AS bl, (vl * dy - ld * ly) / nullif(vl * vd - ld * ld, 0) AS bd FROM a), v AS (SELECT *, (vy - bl * ly - bd * dy) / nullif(n - 3, 0) * vd / nullif(det, 0) AS var FROM b)
+SELECT symbol, strftime(day, '%Y-%m-%d') AS day, n::BIGINT AS n, CASE WHEN n >= 30 AND mv >= 30 AND det > 1e-18 AND var > 0 THEN round(bl / sqrt(var), 4) END AS adf_t FROM v""")
 def adf_closed_form(spark: SparkSession, d: str) -> DataFrame:
     x = _returns(spark, d).withColumn("f", F.first("close").over(Window.partitionBy("symbol", "day").orderBy("minute")))
-    return regimes.adf(x, ["symbol", "day"], F.col("close") - F.col("f")).withColumn("day", _day("day"))
+    return regimes.adf(x, ["symbol", "day"], F.col("close") - F.col("f")).withColumns({"day": _day("day"), "adf_t": F.round("adf_t", 4)})
 
 
 @query()
@@ -408,9 +411,12 @@ def hurst_exponents(spark: SparkSession, d: str) -> DataFrame:
     return regimes.hurst_variance(r, ["symbol", "day"]).join(regimes.hurst_rescaled(r.drop("rth"), ["symbol", "day"]), ["symbol", "day"]).withColumn("day", _day("day"))
 
 
-@query()
+@query(SQL["realised_vol_clock_z"].replace("SELECT symbol, strftime(day, '%Y-%m-%d') AS day, clock::INT AS clock, round(ce, 6) AS center, CASE", ", zz AS (SELECT symbol, day, clock, CASE").replace("AS z FROM s", "AS z FROM s)") + """,
+p AS (SELECT *, row_number() OVER w AS pos, CASE WHEN z > 1 THEN 1 WHEN z < -1 THEN -1 WHEN z < 0.5 AND z > -0.5 THEN 0 END AS code FROM zz WINDOW w AS (PARTITION BY symbol ORDER BY day, clock)),
+q AS (SELECT *, last_value(code IGNORE NULLS) OVER w AS c, max(CASE WHEN code IS NOT NULL THEN pos END) OVER w AS pc, max(CASE WHEN code IS NULL AND z >= 0.5 THEN pos END) OVER w AS pu, max(CASE WHEN code IS NULL AND z <= -0.5 THEN pos END) OVER w AS pd FROM p WINDOW w AS (PARTITION BY symbol ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT symbol, strftime(day, '%Y-%m-%d') AS day, clock::INT AS clock, z, CASE WHEN z IS NULL THEN 'unknown' WHEN c = 1 AND coalesce(pd < pc, true) THEN 'high' WHEN c = -1 AND coalesce(pu < pc, true) THEN 'low' ELSE 'normal' END AS state FROM q""")
 def hysteresis_labels(spark: SparkSession, d: str) -> DataFrame:
-    z = regimes.robust_z(_vol(spark, d), ["symbol", "clock"], "day", "ln_vol", 20).select("symbol", "day", "clock", "z")
+    z = regimes.robust_z(_vol(spark, d), ["symbol", "clock"], "day", "ln_vol", 20).select("symbol", "day", "clock", F.round("z", 4).alias("z"))
     return folds.hysteresis(z, ["symbol"], ["day", "clock"], "z").withColumn("day", _day("day"))
 
 
@@ -447,7 +453,10 @@ def price_gaps(spark: SparkSession, d: str) -> DataFrame:
     return rules.gaps(_bars(spark, d), ["symbol", "day"]).where("gap IS NOT NULL").select("symbol", _sec("minute").alias("minute"), "gap", "gap_low", "gap_high")
 
 
-@query()
+@query(f"""WITH RECURSIVE {T}, o AS (SELECT run_id, ticks, entry_time AS e, exit_time AS x, row_number() OVER (PARTITION BY run_id ORDER BY entry_time, exit_time, trade_id) AS n FROM tr WHERE entry_time IS NOT NULL AND exit_time IS NOT NULL),
+w AS (SELECT run_id, n, x AS l, 1 AS k, ticks AS t FROM o WHERE n = 1 UNION ALL
+SELECT o.run_id, o.n, CASE WHEN o.e >= w.l THEN o.x ELSE w.l END, w.k + (o.e >= w.l)::INT, w.t + CASE WHEN o.e >= w.l THEN o.ticks ELSE 0 END FROM w JOIN o ON o.run_id = w.run_id AND o.n = w.n + 1)
+SELECT run_id, arg_max(k, n)::BIGINT AS kept, arg_max(t, n) AS total_ticks FROM w GROUP BY run_id""")
 def no_overlap_walk(spark: SparkSession, d: str) -> DataFrame:
     t = _trades(spark, d).where("entry_time IS NOT NULL AND exit_time IS NOT NULL").select("run_id", "trade_id", "entry_time", "exit_time", "ticks")
     k = folds.no_overlap(t, ["run_id"], "entry_time", "exit_time", ["trade_id"])

@@ -129,10 +129,32 @@ def test_hysteresis_and_no_overlap(spark):
     z = spark.createDataFrame([(1, i, v) for i, v in enumerate([0.0, 1.2, 0.7, None, 0.4, -1.5, -0.6, 2.0])], "k int, i int, z double")
     got = [r.state for r in folds.hysteresis(z, ["k"], ["i"], "z").orderBy("i").collect()]
     assert got == ["normal", "high", "high", "unknown", "normal", "low", "low", "high"]
+    g = np.random.default_rng(8)
+    zs = [None if u > 0.95 else float(round(v, 1)) for u, v in zip(g.random(400), g.normal(size=400))]
+    state, want = "normal", []
+    for v in zs:
+        if v is None:
+            want.append("unknown")
+            continue
+        if (state == "high" and v < 0.5) or (state == "low" and v > -0.5):
+            state = "normal"
+        if state == "normal":
+            state = "high" if v > 1 else "low" if v < -1 else "normal"
+        want.append(state)
+    many = spark.createDataFrame([(1, i, v) for i, v in enumerate(zs)], "k int, i int, z double")
+    assert [r.state for r in folds.hysteresis(many, ["k"], ["i"], "z").orderBy("i").collect()] == want
     t0 = datetime(2026, 1, 5)
     spans = [(0, 10), (5, 6), (10, 12), (11, 13), (12, 12)]
     df = spark.createDataFrame([(1, i, t0 + timedelta(minutes=a), t0 + timedelta(minutes=b)) for i, (a, b) in enumerate(spans)], "k int, i int, e timestamp, x timestamp")
     assert sorted(r.i for r in folds.no_overlap(df, ["k"], "e", "x", ["i"]).collect()) == [0, 2, 4]
+    spans = sorted((int(a), int(a + b)) for a, b in zip(g.integers(0, 600, 300), g.integers(0, 12, 300)))
+    df = spark.createDataFrame([(1, i, t0 + timedelta(minutes=a), t0 + timedelta(minutes=b)) for i, (a, b) in enumerate(spans)], "k int, i int, e timestamp, x timestamp")
+    keep, last = [], -1
+    for i, (a, b) in enumerate(spans):
+        if a >= last:
+            keep.append(i)
+            last = b
+    assert sorted(r.i for r in folds.no_overlap(df, ["k"], "e", "x", ["i"]).collect()) == keep
 
 
 def test_sizing(spark):
