@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.calendar import in_window, minute_of_day, trade_date
 from quantloom.functions.market import fine
-from quantloom.operators import bars, book, changes, combine, folds, indicators, joins, options, profile, regimes, report, rules, simulate
+from quantloom.operators import bars, book, changes, combine, folds, indicators, joins, options, patterns, profile, regimes, report, rules, simulate
 from quantloom.session import table
 
 RTH = (870, 1260)  # 14:30 to 21:00 UTC, regular hours of the winter sessions
@@ -666,3 +666,24 @@ def mc_regime_switching(spark: SparkSession, d: str) -> DataFrame:
     start = np.array([float(days.get(s, 0)) for s in states])
     paths = simulate.switching_paths(spark, start if start.sum() else np.ones(3), matrix, chance, pools, 400, 60, 100_000.0, 7)
     return simulate.bands(paths, [5.0, 50.0, 95.0])
+
+
+@query()
+def inverse_gap_trades(spark: SparkSession, d: str) -> DataFrame:
+    t = patterns.inverse_gap_trades(_bars(spark, d).drop("rth"), ["symbol", "day"], 5)
+    return t.withColumns({"day": _day("day"), "entry_minute": _sec("entry_minute"), "exit_minute": _sec("exit_minute")})
+
+
+@query(f"""WITH {B}, r AS (SELECT *, min(minute) OVER d AS s, row_number() OVER (PARTITION BY symbol, day ORDER BY minute) AS pos FROM bars WINDOW d AS (PARTITION BY symbol, day)),
+g AS (SELECT *, max(high) FILTER (minute < s + INTERVAL 30 MINUTE) OVER d AS hi, min(low) FILTER (minute < s + INTERVAL 30 MINUTE) OVER d AS lo FROM r WINDOW d AS (PARTITION BY symbol, day)),
+k AS (SELECT *, min(CASE WHEN minute >= s + INTERVAL 30 MINUTE AND "close" > hi THEN pos END) OVER d AS u, min(CASE WHEN minute >= s + INTERVAL 30 MINUTE AND "close" < lo THEN pos END) OVER d AS dn FROM g WINDOW d AS (PARTITION BY symbol, day)),
+m AS (SELECT *, u IS NOT NULL AND (dn IS NULL OR u <= dn) AS lg, least(u, dn) AS ap FROM k WHERE least(u, dn) IS NOT NULL)
+SELECT symbol, strftime(day, '%Y-%m-%d') AS day, CASE WHEN lg THEN 'long' ELSE 'short' END AS direction, epoch(min(minute) FILTER (pos = ap))::BIGINT AS breakout,
+epoch(min(minute) FILTER (pos > ap AND pos <= ap + 60 AND CASE WHEN lg THEN low <= hi ELSE high >= lo END))::BIGINT AS retest FROM m GROUP BY symbol, day, lg""")
+def breakout_retest(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("symbol", "day")
+    b = _bars(spark, d).withColumn("s", F.min("minute").over(w))
+    early = F.col("minute") < F.col("s") + F.expr("INTERVAL 30 MINUTES")
+    b = b.withColumns({"hi": F.max(F.when(early, F.col("high"))).over(w), "lo": F.min(F.when(early, F.col("low"))).over(w)})
+    t = patterns.breakout_retest(b, ["symbol", "day"], F.col("hi"), F.col("lo"), F.col("s") + F.expr("INTERVAL 30 MINUTES"), F.col("hi"), F.col("lo"))
+    return t.select("symbol", _day("day").alias("day"), "direction", _sec("breakout").alias("breakout"), _sec("retest").alias("retest"))

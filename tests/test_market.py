@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.functions import calendar, market
-from quantloom.operators import bars, book, combine, folds, indicators, joins, profile, regimes, report, rules, simulate
+from quantloom.operators import bars, book, combine, folds, indicators, joins, patterns, profile, regimes, report, rules, simulate
 
 D = date(2026, 1, 5)
 
@@ -293,3 +293,20 @@ def test_bars_roll_and_bands(spark):
     p = spark.createDataFrame([(i, 1, float(i)) for i in range(5)], "path long, step int, equity double")
     assert {(r.percentile, r.equity) for r in simulate.bands(p, [50.0, 100.0]).collect()} == {(50.0, 2.0), (100.0, 4.0)}
     assert {r.label for r in simulate.featured(p).collect()} == {"best final equity", "worst final equity"}
+
+
+def test_inverse_gap_by_hand(spark):
+    flat = lambda lo, hi, n: [(lo, hi, lo, hi)] * n
+    # Coarse gap: bars 0-4 top at 101, 10-14 bottom at 103 (bullish gap 101..103, confirmed at minute 15).
+    rows = flat(100, 101, 5) + flat(101, 104, 5) + flat(103, 106, 5)
+    rows += [(105, 106, 104, 104.5)]  # 15: confirmed, not yet after it
+    rows += [(104.5, 105, 104.2, 104.4)]  # 16
+    rows += [(104.4, 104.5, 103.5, 103.6)]  # 17: falls
+    rows += [(103.6, 103.7, 102.5, 102.6)]  # 18: enters the gap; fine bearish gap below 104.2 (bar 16's low)
+    rows += [(102.6, 104.6, 102.4, 104.5)]  # 19: closes above 104.2: entry, stop 102.4, target 106
+    rows += [(104.5, 106.5, 104, 106)]  # 20: target
+    t = patterns.inverse_gap_trades(day_bars(spark, rows), ["symbol", "day"], 5).collect()
+    assert [(r.direction, r.entry_price, r.sl, r.tp, r.exit_reason, r.pnl_points) for r in t] == [("long", 104.5, 102.4, 106.0, "tp", 1.5)]
+    assert patterns.inverse_gap_trades(day_bars(spark, rows[:12]), ["symbol", "day"], 5).count() == 0
+    broken = rows[:17] + [(104.4, 104.5, 100, 100.5)] + rows[18:]
+    assert patterns.inverse_gap_trades(day_bars(spark, broken), ["symbol", "day"], 5).count() == 0
