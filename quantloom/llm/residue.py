@@ -105,6 +105,8 @@ PROMPTS = regex.compile(
     | (?:escriba|introduzca|inserte|añada|escribe)\s+aquí\b.{0,60}
     )\W*$"""
 )
+PROMPT_WORDS = re.compile(r"here|click|placeholder|sample|dummy|filler|example|replace|keep it|text|copy|content|ici|aquí|hier|relleno|ejemplo|provisional|provisoire")
+PROMPT_START = re.compile(r"(?:^|(?<=\s))(?:^|[A-ZÉ])\S")
 # What error pages, refusals and script notices say.
 NOTICE = regex.compile(
     r"""(?ix)
@@ -133,13 +135,12 @@ BESIDE = regex.compile(
 # Lines that only serve to move about a page.
 NAVIGATION = regex.compile(r"(?i)^[\s«»|<>/·•-]*(?:(?:skip to content|back to (?:overview|top|start|list)|home|charts|help|menu|login|log in|contact|previous|next|about|search|imprint|overview)[\s«»|<>/·•-]*)+$")
 TAGS = regex.compile(r"</?(?:html|head|body|title|div|p|h[1-6]|hr|br|noscript|span|center|b|i|em|strong|pre|section|article|main|meta|ul|ol|li|a|table|tr|td|th)(?:\s[^<>]*)?/?>", regex.I)
-FENCE = regex.compile(r"```.*?(?:```|$)", regex.S)
-QUOTED = regex.compile(r"`[^`\n]+`|“[^”\n]+”|«[^»\n]+»|„[^“”\n]+[“”]|‘[^’\n]+’|\"[^\"\n]+\"|(?<![\w])'[^'\n]+'(?!\w)")
-LINES = regex.compile(r"[\r\n\v\f\x85  ]+")
+FENCE = re.compile(r"```.*?(?:```|$)", re.S)
+QUOTED = re.compile(r"`[^`\n]+`|“[^”\n]+”|«[^»\n]+»|„[^“”\n]+[“”]|‘[^’\n]+’|\"[^\"\n]+\"|(?<![\w])'[^'\n]+'(?!\w)")
+LINES = re.compile(r"[\r\n\v\f\x85  ]+")
 SENTENCES = regex.compile(r"(?<=[.?!])[\s﻿]+(?=[\p{Lu}¿¡\"“«'`\[\{<$%#@*:(_-]|[\p{So}])")
-FIELD = regex.compile(r"(?<=\S):\s+")
-CANDIDATE = regex.compile("|".join([f"(?P<s{i}>{p})" for i, p in enumerate(STRONG)] + [f"(?P<w{i}>{p})" for i, p in enumerate(WEAK)]))
-VALUE = regex.compile(r"\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{8,}\b|[-+−]?\d+(?:[.,:/-]\d+)*|\b[A-Z]{3}\b")
+CANDIDATE = re.compile("|".join([f"(?P<s{i}>{p})" for i, p in enumerate(STRONG)] + [f"(?P<w{i}>{p})" for i, p in enumerate(WEAK)]))
+VALUE = re.compile(r"\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{8,}\b|[-+−]?\d+(?:[.,:/-]\d+)*|\b[A-Z]{3}\b")
 MAY_OPEN = re.compile(r"[\[{<%$@*_&?~^#|=!§]\s?[\w({%$!#@|&]|:\w+:|to be |\bTB[DC]\b|TODO|FIXME")
 SLOT = "\x00"
 #: A text of up to so many units, heading and navigation apart, may be a page.
@@ -173,16 +174,27 @@ def repeated_phrase(words: list[str]) -> bool:
 
 
 def is_filler(unit: str) -> bool:
-    """Dummy text or a prompt to write something, in place of content."""
-    words = unit.lower().split()
-    if len(words) >= 4:
-        if sum(w.strip(".,;:!?") in LATIN for w in words[:4]) >= 3:
-            words = [w for w in (w.strip(".,;:!?") for w in words) if w]
-            if sum(w in LATIN for w in words) >= 0.85 * len(words):
+    """Dummy text or a prompt to write something, in place of content.
+
+    A word three times in a row is dummy text wherever it stands; a prompt may
+    follow a heading on its line.
+    """
+    low = unit.lower()
+    raw = low.split()
+    if len(raw) >= 3:
+        repeats = len(raw) - len(set(raw)) >= 2
+        latin = len(raw) >= 4 and sum(w.strip(".,;:!?") in LATIN for w in raw[:4]) >= 3
+        if repeats or latin:
+            words = [w for w in (w.strip(".,;:!?") for w in raw) if w]
+            if any(a == b == c and len(a) > 2 and a.isalpha() for a, b, c in zip(words, words[1:], words[2:])):
                 return True
-        if 3 * len(set(words)) <= 2 * len(words) and repeated_phrase([w for w in (w.strip(".,;:!?") for w in words) if w]):
-            return True
-    return bool(PROMPTS.match(unit))
+            if latin and sum(w in LATIN for w in words) >= 0.85 * len(words):
+                return True
+            if 3 * len(set(words)) <= 2 * len(words) and repeated_phrase(words):
+                return True
+    if not PROMPT_WORDS.search(low):
+        return False
+    return any(PROMPTS.match(unit[m.start() :]) for m in PROMPT_START.finditer(unit, 0, 90))
 
 
 def _open_slots(unit: str, found: list) -> tuple[str, list[tuple[int, str, bool]]]:
