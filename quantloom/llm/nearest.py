@@ -126,7 +126,7 @@ def closing_mark(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema("is_left boolean, entity string, ts timestamp, id bigint, version bigint").parquet(folder)
 
 
-def match_bounded(spark: SparkSession, sides: list[DataFrame], tolerance_seconds: int = 90, cell_seconds: int = 6 * 3600, delay: str = "0 seconds") -> DataFrame:
+def match_bounded(spark: SparkSession, sides: list[DataFrame], tolerance_seconds: int = 90, cell_seconds: int = 24 * 3600, delay: str = "0 seconds") -> DataFrame:
     """(record_id, match_id) of a bounded replay: runs the stream to its end and reads its result.
 
     sides are streaming left_side() and right_side() frames over all files
