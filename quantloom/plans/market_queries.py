@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quantloom.functions.calendar import in_window, minute_of_day, trade_date
 from quantloom.functions.market import fine
 from quantloom.operators import bars, book, changes, combine, folds, indicators, joins, options, patterns, profile, regimes, report, rules, simulate
+from quantloom.plans import core_queries
 from quantloom.session import table
 
 RTH = (870, 1260)  # 14:30 to 21:00 UTC, regular hours of the winter sessions
@@ -479,7 +480,7 @@ def risk_sizing(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {T}, s AS (SELECT *, ticks * 12.5 * 1.5 AS g, (1 * 2.25 + 5 * 0.62) * 2 AS cm, (CASE WHEN ticks < 0 THEN 2 ELSE 1 END) * 12.5 * 1.5 AS sl2 FROM tr WHERE exit_time IS NOT NULL)
-SELECT trade_id, round(cm, 6) AS commission, round(sl2, 6) AS slippage, round(100000 + sum(g) OVER w, 4) AS equity_gross, round(100000 + sum(g - cm) OVER w, 4) AS equity_commission, round(100000 + sum(g - sl2) OVER w, 4) AS equity_slippage, round(100000 + sum(g - cm - sl2) OVER w, 4) AS equity_net
+SELECT trade_id, round(cm, 6)::DOUBLE AS commission, round(sl2, 6)::DOUBLE AS slippage, round(100000 + sum(g) OVER w, 4) AS equity_gross, round(100000 + sum(g - cm) OVER w, 4) AS equity_commission, round(100000 + sum(g - sl2) OVER w, 4) AS equity_slippage, round(100000 + sum(g - cm - sl2) OVER w, 4) AS equity_net
 FROM s WINDOW w AS (PARTITION BY run_id ORDER BY exit_time, trade_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def equity_four_curves(spark: SparkSession, d: str) -> DataFrame:
     t = _trades(spark, d).where("exit_time IS NOT NULL").withColumns({"contracts": F.lit(1.5), "trade_pnl": F.col("ticks") * 12.5 * 1.5})
@@ -557,12 +558,18 @@ def _resting(spark: SparkSession, d: str) -> DataFrame:
     return changes.current_state(feed, changes.order_feed(feed))
 
 
-@query()
+_REST = core_queries.SQL["p1_found"].replace("SELECT s.order_id, s.side, s.px,", ", rest AS (SELECT s.symbol, s.session_date, s.side, s.px,") + ")"
+_DEPTH = _REST + ", lv AS (SELECT symbol, session_date, side, px / 1e9 AS price, sum(sz)::BIGINT AS size, count(*)::BIGINT AS orders FROM rest GROUP BY symbol, session_date, side, px)"
+
+
+@query(_DEPTH + " SELECT symbol, strftime(session_date, '%Y-%m-%d') AS session_date, side, price, size, orders FROM lv")
 def book_final_depth(spark: SparkSession, d: str) -> DataFrame:
     return book.final_depth(_resting(spark, d)).withColumn("session_date", _day("session_date"))
 
 
-@query()
+@query(_DEPTH + """, q AS (SELECT symbol, session_date, max(price) FILTER (side = 'B') AS bb, min(price) FILTER (side = 'A') AS ba FROM lv GROUP BY ALL),
+n AS (SELECT lv.*, price >= coalesce(bb, ba) - 10 AND price <= coalesce(ba, bb) + 10 AS near FROM lv JOIN q USING (symbol, session_date)), b AS (SELECT symbol, session_date, side, quantile_cont(size, 0.5) * 3 AS least FROM n WHERE near GROUP BY ALL)
+SELECT symbol, strftime(session_date, '%Y-%m-%d') AS session_date, side, price, size, orders, near FROM n LEFT JOIN b USING (symbol, session_date, side) WHERE near OR size >= least""")
 def book_cropped(spark: SparkSession, d: str) -> DataFrame:
     return book.cropped(book.final_depth(_resting(spark, d)), 40, 0.25, 3.0).withColumn("session_date", _day("session_date"))
 
