@@ -96,6 +96,9 @@ PROMPTS = regex.compile(
     | (?:beispiel|blind|platzhalter|muster)text\b.{0,60}
     | (?:hier|bitte)\s+(?:.{0,20}\s)?text\s+(?:eingeben|einfügen|einsetzen|ergänzen).{0,40}
     | (?:ihr|dein)\s+text\s+(?:steht\s+)?hier.{0,20}
+    | hier\s+(?:steht|kommt)\s+(?:ihr|dein)\s+text.{0,60}
+    | ici\s+(?:vient\s+)?votre\s+texte.{0,60}
+    | aquí\s+(?:va\s+)?(?:su|tu|el)\s+texto.{0,60}
     | (?:geben|fügen|schreiben)\s+sie\s+hier\s.{0,60}
     | texte\s+(?:de\s+remplissage|d['’]exemple|provisoire)\b.{0,60}
     | votre\s+(?:texte|contenu)\s+ici.{0,20}
