@@ -9,10 +9,11 @@ each slot is known by what it holds:
 - a slot that other records fill, or that holds different names in different
   records, is a real slot; a record that still shows a variable name, a
   default or a blank there is residue;
-- a "slot" that holds the same words in all records of its template is fixed
-  text (an instruction, say) and none;
-- a short word in weak brackets whose template is too rare to tell counts only
-  if its name is one that real slots carry elsewhere in the corpus.
+- a slot that always holds the same words is residue too, however often it
+  occurs, unless its sentence speaks of them (an instruction how to write them,
+  or words such as "the placeholder" beside them);
+- a short word in weak brackets in such a slot counts only if its name is one
+  that real slots carry elsewhere in the corpus.
 
 Placeholders that are quoted or stand in code are spoken of, not left over.
 Units that only ever make up whole pages, never part of a longer text, are page
@@ -77,6 +78,19 @@ WEAK = [
     r"\b(?:TBD|TBC|TODO|FIXME)\b",
     *[rf"(?<![\w{m}]){m}{{1,3}}[A-Za-z][A-Za-z_]{{1,30}}{m}{{1,3}}(?![\w{m}])" for m in (r"\?", "~", r"\^", "#", r"\|", "=", "!", "§")],
 ]
+# What stands before or after a placeholder that is spoken of.
+SPOKEN_BEFORE = regex.compile(
+    r"""(?ix)
+      ^\W*(?:please\s+)?(?:mark|tag|label|write|note|enter|type|record|flag|list|name|spell|denote|log)\b[^.;:]{0,80}\bas\s*$
+    | ^\W*(?:schreiben|markieren|notieren|kennzeichnen|bezeichnen)\s+sie\b[^.;:]{0,80}\bals\s*$
+    | ^\W*(?:écrivez|notez|marquez|indiquez|saisissez)\b[^.;:]{0,80}\bcomme\s*$
+    | ^\W*(?:escriba|anote|marque|indique|introduzca)\b[^.;:]{0,80}\bcomo\s*$
+    | \b(?:placeholders?|variables?|macros?|merge\s+fields?|wildcards?|platzhaltern?|variablen|marcador(?:es)?|espaces?\s+réservés?)\s+(?:(?:called|named|such\s+as|like|namens|wie|llamad[oa]s?|como|nommée?s?|comme)\s+)?$
+    """
+)
+SPOKEN_AFTER = regex.compile(r"(?i)^\s+(?:is|are|ist|sind|est|sont|es|son)\s+(?:an?\s+|the\s+|eine?\s+|une?\s+|una\s+|des\s+)?(?:placeholders?|variables?|macros?|wildcards?|platzhalter|variablen?|marcador(?:es)?|espaces?\s+réservés?)\b|^\s+stands?\s+for\b")
+# What joins a placeholder to the one spoken of before it.
+SPOKEN_ON = regex.compile(r"(?i)^\W*(?:(?:for\s+(?:instance|example)|e\.\s?g\.|or|and|zum\s+beispiel|z\.\s?b\.|oder|und|par\s+exemple|ou|et|por\s+ejemplo|o|y)\W*)*$")
 # Words of the customary dummy text.
 LATIN = set(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum "
@@ -200,13 +214,14 @@ def is_filler(unit: str) -> bool:
     return any(PROMPTS.match(unit[m.start() :]) for m in PROMPT_START.finditer(unit, 0, 90))
 
 
-def _open_slots(unit: str, found: list) -> tuple[str, list[tuple[int, str, bool]]]:
-    pieces, values, at, k = [], [], 0, 0
+def _open_slots(unit: str, found: list) -> tuple[str, list[tuple[int, str, bool, bool]]]:
+    pieces, values, at, k, spoken = [], [], 0, 0, False
     for m in found:
         before = unit[at : m.start()]
         k += len(VALUE.findall(before))
         pieces += [before, SLOT]
-        values.append((k, m.group(), m.lastgroup[0] == "s"))
+        spoken = (spoken and bool(SPOKEN_ON.match(before))) or bool(SPOKEN_BEFORE.search(unit, max(0, m.start() - 200), m.start()) or SPOKEN_AFTER.match(unit[m.end() : m.end() + 80]))
+        values.append((k, m.group(), m.lastgroup[0] == "s", spoken))
         k += 1
         at = m.end()
     pieces.append(unit[at:])
@@ -237,14 +252,15 @@ def _units(text: str) -> Iterator[tuple[str, bool]]:
                 yield sentence, heading
 
 
-def analyse(text: str) -> tuple[list[str], list[tuple[str, int, str, bool]], bool, list[tuple[str, bool, bool]]]:
+def analyse(text: str) -> tuple[list[str], list[tuple[str, int, str, bool, bool]], bool, list[tuple[str, bool, bool]]]:
     """(filled skeletons, open slots, filler?, page units) of one text.
 
-    Open slots: (skeleton, slot number, value, strong form). Page units, of
-    texts short enough to be a page: (skeleton, says a notice, goes along).
+    Open slots: (skeleton, slot number, value, strong form, spoken of?). Page
+    units, of texts short enough to be a page: (skeleton, says a notice, goes
+    along).
     """
     filled: list[str] = []
-    open_: list[tuple[str, int, str, bool]] = []
+    open_: list[tuple[str, int, str, bool, bool]] = []
     content: list[tuple[str, str]] = []
     filler = False
     n = 0
@@ -266,9 +282,9 @@ def analyse(text: str) -> tuple[list[str], list[tuple[str, int, str, bool]], boo
     return filled, open_, filler, [(k, "\x01" not in u and bool(NOTICE.search(u)), bool(BESIDE.search(u))) for k, u in content]
 
 
-ROWS = "kind string, doc_id bigint, skeleton bigint, slot int, value string, name string, strong boolean, notice boolean, beside boolean, long_n bigint, short_n bigint"
+ROWS = "kind string, doc_id bigint, skeleton bigint, slot int, value string, name string, strong boolean, spoken boolean, notice boolean, beside boolean, long_n bigint, short_n bigint"
 _SCHEMA = pa.schema(
-    [("kind", pa.string()), ("doc_id", pa.int64()), ("skeleton", pa.int64()), ("slot", pa.int32()), ("value", pa.string()), ("name", pa.string()), ("strong", pa.bool_()), ("notice", pa.bool_()), ("beside", pa.bool_()), ("long_n", pa.int64()), ("short_n", pa.int64())]
+    [("kind", pa.string()), ("doc_id", pa.int64()), ("skeleton", pa.int64()), ("slot", pa.int32()), ("value", pa.string()), ("name", pa.string()), ("strong", pa.bool_()), ("spoken", pa.bool_()), ("notice", pa.bool_()), ("beside", pa.bool_()), ("long_n", pa.int64()), ("short_n", pa.int64())]
 )
 
 
@@ -282,41 +298,40 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             filled, open_, filler, page = analyse(text)
             (short_n if page else long_n).update(set(filled))
-            for skeleton, slot, value, strong in open_:
-                out.append(("open", doc, _hash(skeleton), slot, value, _name(value), strong, None, None, None, None))
+            for skeleton, slot, value, strong, spoken in open_:
+                out.append(("open", doc, _hash(skeleton), slot, value, _name(value), strong, spoken, None, None, None, None))
             if filler:
-                out.append(("filler", doc, None, None, None, None, None, None, None, None, None))
+                out.append(("filler", doc, None, None, None, None, None, None, None, None, None, None))
             if any(x[1] for x in page):
                 for skeleton, notice, beside in page:
-                    out.append(("page", doc, _hash(skeleton), None, None, None, None, notice, beside, None, None))
+                    out.append(("page", doc, _hash(skeleton), None, None, None, None, None, notice, beside, None, None))
         for skeleton in long_n.keys() | short_n.keys():
-            out.append(("unit", None, _hash(skeleton), None, None, None, None, None, None, long_n[skeleton], short_n[skeleton]))
+            out.append(("unit", None, _hash(skeleton), None, None, None, None, None, None, None, long_n[skeleton], short_n[skeleton]))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _SCHEMA)], schema=_SCHEMA)
 
 
-def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fixed_from: int = 5) -> DataFrame:
+def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, reason): the documents to leave out; reason is residue, filler or notice.
 
     Null, empty and blank texts are no case, nor are texts that quote, explain
     or report such things. Documents without an id are left out; repeated rows
     count once per row in the statistics and give one row per reason. An empty
-    table gives no rows. fixed_from: a placeholder form found in at least so
-    many records of a template, always with the same words and never filled,
-    is fixed text.
+    table gives no rows. How often a placeholder form repeats does not matter:
+    only one that is spoken of, and never filled or varied, is fixed text.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     rows = cut(rows.mapInArrow(_rows, ROWS))
     units = rows.where("kind = 'unit'").groupBy("skeleton").agg(F.sum("long_n").alias("long_n"), F.sum("short_n").alias("short_n"))
-    open_ = rows.where("kind = 'open'").select("doc_id", "skeleton", "slot", "value", "name", "strong")
-    slots = open_.groupBy("skeleton", "slot").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    open_ = rows.where("kind = 'open'").select("doc_id", "skeleton", "slot", "value", "name", "strong", "spoken")
+    slots = open_.groupBy("skeleton", "slot").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     slots = slots.join(units, "skeleton", "left").select(
-        "skeleton", "slot", ((F.coalesce("long_n", F.lit(0)) + F.coalesce("short_n", F.lit(0)) > 0) | (F.col("lo") != F.col("hi"))).alias("real"), "n"
+        "skeleton", "slot", ((F.coalesce("long_n", F.lit(0)) + F.coalesce("short_n", F.lit(0)) > 0) | (F.col("lo") != F.col("hi"))).alias("real")
     )
     judged = open_.join(slots, ["skeleton", "slot"])
     names = judged.where("strong AND real AND name <> ''").select("name").distinct().withColumn("known", F.lit(True))
     left_over = judged.join(names, "name", "left").where(
-        F.col("real") | ((F.col("strong") | F.col("known")) & (F.col("n") < fixed_from))
+        F.col("real") | ((F.col("strong") | F.col("known")) & ~F.col("spoken"))
     )
     page = rows.where("kind = 'page'").select("doc_id", "skeleton", "notice", "beside").join(units, "skeleton", "left").fillna(0, ["long_n", "short_n"])
     elsewhere = F.col("long_n") * 5 > F.col("short_n")

@@ -197,6 +197,14 @@ def test_constant_words_are_no_slot(spark):
     assert got == {100, 101}
 
 
+def test_repeated_residue_stays_residue(spark):
+    rows = [(i, f"Prepared by {{{{author}}}}. Note {i} on the roll held at {i} ticks.") for i in range(12)] + [(20 + i, "Our desk closes at ${closing_hour}.") for i in range(7)]
+    good = ["Prepared by John Smith. The roll held.", "Mark the exit as {open} until the 3 trade is done.", "The variable {{symbol}} is set by the sender.", "Notez la sortie comme {ouvert} ou {clos}."]
+    rows += [(100 + i, t) for i, t in enumerate(good)]
+    got = {r.doc_id for r in residue.residue(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {*range(12), *range(20, 27)}
+
+
 def test_very_long_text(spark):
     t = "The stop held at 5. " * 20_000 + "Filled {{price}} at {{time}}, stop {{sl}}."
     assert residue.residue(spark.createDataFrame([(1, t)], "doc_id long, text string")).first().reason == "residue"
