@@ -16,10 +16,13 @@ each slot is known by what it holds:
   that real slots carry elsewhere in the corpus.
 
 Placeholders that are quoted or stand in code are spoken of, not left over.
-Units that only ever make up whole pages, never part of a longer text, are page
+Units that only ever make up whole pages, never part of other texts, are page
 templates; a page made of nothing but such units (heading and navigation
-apart) with an error, refusal or script notice among them is excluded too, and
-so is a text with a unit of filler or a prompt to write some.
+apart), however many, with an error, refusal or script notice among them is
+excluded too, and so is a text with a unit of filler or a prompt to write some.
+A longer text with a notice is judged twice: first by the texts that are plain
+(short ones make page units, longer ones without a notice content), then with
+its own units counted on the side on which it came out.
 
 One pass over the texts in Python yields small rows, kept in the shared folder;
 all statistics are Spark aggregates over the whole corpus (counts, minimum,
@@ -35,7 +38,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.session import cut
@@ -147,8 +150,15 @@ BESIDE = regex.compile(
     r"""(?ix)
       try\s+again | inténtelo | réessayer | erneut | retry | reload | refresh | \b(?:request|reference|trace|ray|incident|event)\s+(?:id\b|[0-9a-f]*\d) | \bkennung\b | \bréférence\b | \breferencia\b
     | ^oops | ^sorry | ^loading | ^back\s+at | ^please\b | team\s+has\s+been | contact\s+(?:support|us) | sign\s+in | log\s+in | melden\s+sie | reconnecter | iniciar\s+sesión | if\s+you\s+think\s+this | removed | allow\s+it | turn\s+them\s+on | will\s+not\s+load | closed\s+the\s+connection | gone | moved
+    | check\s+(?:that\s+)?(?:the|your)\s+(?:web\s+)?(?:address|url|spelling|link|connection|network|browser|internet) | (?:go\s+back|return)\s+to\s+the\s+(?:home|start|front|main|previous|last)\b | clear\s+(?:your|the)\s+(?:browser\s+)?(?:cache|cookies) | ^(?:status|status\s+code|error\s+code|cause|host|server|url|path|timestamp|client\s+ip|your\s+ip|what\s+(?:happened|you\s+can\s+do)\??|possible\s+(?:causes?|reasons?)|you\s+(?:can|may|could)\s+(?:also\s+)?try)\s*(?::|$) | ^(?:e-?mail|phone|telephone|help\s?desk|support)\s*:
+    | (?:über)?prüfen\s+sie\s+(?:die|ihre)\s+(?:adresse|url|verbindung|schreibweise|internetverbindung) | wenden\s+sie\s+sich\s+an | vérifiez\s+(?:l['’]adresse|l['’]url|votre\s+connexion|l['’]orthographe) | contactez | (?:compruebe|verifique)\s+(?:la\s+dirección|la\s+url|su\s+conexión) | póngase\s+en\s+contacto
+    | ^file\b.{0,200},\s+line\s+\d+ | ^at\s+[\w.$<>/]+\s?\( | ^caused\s+by\b | ^(?:[a-z_]\w*\.)*[a-z]\w*(?:error|exception)(?:\s*:|$) | ^\.{3}\s+\d+\s+more$
     """
 )
+# The line of a trace that is followed by a line of code.
+TRACE = regex.compile(r"(?i)^file\b.{0,200},\s+line\s+\d+")
+# One of these stands in whatever NOTICE finds (tested against it); saves time.
+STEMS = "error erreur fehler http forbidden found gateway unavailable timeout time-out gone nginx apache could introuvable encontrada gefunden timed connection answer certificate requests maintenance denied verweigert denegado refusé permission blocked expired abgelaufen caducado expiré sign limit script js skript unable wrong unexpected available exist traceback stopped cannot checking taken nothing broken".split()
 # Lines that only serve to move about a page.
 NAVIGATION = regex.compile(r"(?i)^[\s«»|<>/·•-]*(?:(?:skip to content|back to (?:overview|top|start|list)|home|charts|help|menu|login|log in|contact|previous|next|about|search|imprint|overview)[\s«»|<>/·•-]*)+$")
 TAGS = regex.compile(r"</?(?:html|head|body|title|div|p|h[1-6]|hr|br|noscript|span|center|b|i|em|strong|pre|section|article|main|meta|ul|ol|li|a|table|tr|td|th)(?:\s[^<>]*)?/?>", regex.I)
@@ -160,7 +170,7 @@ CANDIDATE = re.compile("|".join([f"(?P<s{i}>{p})" for i, p in enumerate(STRONG)]
 VALUE = re.compile(r"\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{8,}\b|[-+−]?\d+(?:[.,:/-]\d+)*|\b[A-Z]{3}\b")
 MAY_OPEN = re.compile(r"[\[{<%$@*_&?~^#|=!§]\s?[\w({%$!#@|&]|:\w+:|to be |\bTB[DC]\b|TODO|FIXME")
 SLOT = "\x00"
-#: A text of up to so many units, heading and navigation apart, may be a page.
+#: A text of up to so many units, heading and navigation apart, shows page units by itself; of longer ones the notice decides.
 SHORT = 5
 
 
@@ -252,12 +262,17 @@ def _units(text: str) -> Iterator[tuple[str, bool]]:
                 yield sentence, heading
 
 
-def analyse(text: str) -> tuple[list[str], list[tuple[str, int, str, bool, bool]], bool, list[tuple[str, bool, bool]]]:
-    """(filled skeletons, open slots, filler?, page units) of one text.
+def says_notice(unit: str) -> bool:
+    low = unit.lower()
+    return any(x in low for x in STEMS) and bool(NOTICE.search(unit))
+
+
+def analyse(text: str) -> tuple[list[str], list[tuple[str, int, str, bool, bool]], bool, list[tuple[str, bool, bool]], bool]:
+    """(filled skeletons, open slots, filler?, page units, short?) of one text.
 
     Open slots: (skeleton, slot number, value, strong form, spoken of?). Page
-    units, of texts short enough to be a page: (skeleton, says a notice, goes
-    along).
+    units, all but the heading of a text that says a notice: (skeleton, says a
+    notice, goes along), each once.
     """
     filled: list[str] = []
     open_: list[tuple[str, int, str, bool, bool]] = []
@@ -275,40 +290,66 @@ def analyse(text: str) -> tuple[list[str], list[tuple[str, int, str, bool, bool]
             filled.append(skeleton)
         if not heading:
             n += 1
-            if n <= SHORT:
-                content.append((skeleton, unit))
-    if n > SHORT:
-        content = []
-    return filled, open_, filler, [(k, "\x01" not in u and bool(NOTICE.search(u)), bool(BESIDE.search(u))) for k, u in content]
+            content.append((skeleton, unit))
+    says = ["\x01" not in u and says_notice(u) for _, u in content]
+    page: dict = {}
+    if any(says):
+        before = ["", *(u for _, u in content)]
+        page = dict.fromkeys((k, x, bool(BESIDE.search(u) or TRACE.search(b))) for (k, u), x, b in zip(content, says, before))
+    return filled, open_, filler, list(page), 0 < n <= SHORT
 
 
-ROWS = "kind string, doc_id bigint, skeleton bigint, slot int, value string, name string, strong boolean, spoken boolean, notice boolean, beside boolean, long_n bigint, short_n bigint"
-_SCHEMA = pa.schema(
-    [("kind", pa.string()), ("doc_id", pa.int64()), ("skeleton", pa.int64()), ("slot", pa.int32()), ("value", pa.string()), ("name", pa.string()), ("strong", pa.bool_()), ("spoken", pa.bool_()), ("notice", pa.bool_()), ("beside", pa.bool_()), ("long_n", pa.int64()), ("short_n", pa.int64())]
-)
+ROWS = "kind string, doc_id bigint, skeleton bigint, slot int, value string, name string, strong boolean, spoken boolean, text bigint, short boolean, notice boolean, beside boolean, long_n bigint, short_n bigint, maybe_n bigint"
+_KINDS = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+_SCHEMA = pa.schema([(c, _KINDS[kind]) for c, kind in (x.split() for x in ROWS.split(", "))])
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[tuple] = []
-        long_n: Counter = Counter()
-        short_n: Counter = Counter()
+        out: list[dict] = []
+        counts: dict[str, Counter] = {"long_n": Counter(), "short_n": Counter(), "maybe_n": Counter()}
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if not text or not text.strip():
                 continue
-            filled, open_, filler, page = analyse(text)
-            (short_n if page else long_n).update(set(filled))
+            filled, open_, filler, page, short = analyse(text)
+            counts["short_n" if short else "maybe_n" if page else "long_n"].update(set(filled))
             for skeleton, slot, value, strong, spoken in open_:
-                out.append(("open", doc, _hash(skeleton), slot, value, _name(value), strong, spoken, None, None, None, None))
+                out.append({"kind": "open", "doc_id": doc, "skeleton": _hash(skeleton), "slot": slot, "value": value, "name": _name(value), "strong": strong, "spoken": spoken})
             if filler:
-                out.append(("filler", doc, None, None, None, None, None, None, None, None, None, None))
-            if any(x[1] for x in page):
-                for skeleton, notice, beside in page:
-                    out.append(("page", doc, _hash(skeleton), None, None, None, None, None, notice, beside, None, None))
-        for skeleton in long_n.keys() | short_n.keys():
-            out.append(("unit", None, _hash(skeleton), None, None, None, None, None, None, None, long_n[skeleton], short_n[skeleton]))
+                out.append({"kind": "filler", "doc_id": doc})
+            for skeleton, notice, beside in page:
+                out.append({"kind": "page", "doc_id": doc, "skeleton": _hash(skeleton), "text": _hash(text), "short": short, "notice": notice, "beside": beside})
+        if keys := list(set().union(*counts.values())):
+            units = {"kind": ["unit"] * len(keys), "skeleton": [_hash(x) for x in keys]} | {c: [n[x] for x in keys] for c, n in counts.items()}
+            yield pa.RecordBatch.from_arrays([pa.array(units[f.name], f.type) if f.name in units else pa.nulls(len(keys), f.type) for f in _SCHEMA], schema=_SCHEMA)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _SCHEMA)], schema=_SCHEMA)
+            yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
+
+
+def _judged(page: DataFrame) -> DataFrame:
+    """doc_id, text: the texts that are pages, of page units with long_n, short_n and texts (in how many different texts).
+
+    A longer one also needs notices, and what goes along with them, in half of its units.
+    """
+    elsewhere = F.col("long_n") * 5 > F.col("short_n")
+    told = F.col("notice") | F.col("beside")
+    belongs = ~elsewhere & (told | (F.col("texts") >= 3))
+    much = F.col("short") | (F.avg(told.cast("int")).over(Window.partitionBy("doc_id", "text")) >= 0.5)
+    p = page.select("doc_id", "text", (belongs & much).alias("belongs"), (F.col("notice") & ~elsewhere).alias("says"))
+    return p.groupBy("doc_id", "text").agg(F.min("belongs").alias("all"), F.max("says").alias("says")).where("all AND says").select("doc_id", "text")
+
+
+def _pages(page: DataFrame, units: DataFrame) -> DataFrame:
+    """doc_id, text: the texts that are pages, whatever their length."""
+    longer = page.where("NOT short")
+    seen = longer.groupBy("skeleton").agg(F.count_distinct("text").alias("more"))
+    known = page.join(units, "skeleton", "left").join(seen, "skeleton", "left").fillna(0, ["long_n", "short_n", "maybe_n", "more"])
+    known = known.withColumn("texts", F.col("short_n") + F.col("more"))
+    first = _judged(known.where("NOT short").withColumn("short_n", F.col("short_n") + F.col("maybe_n")))
+    sides = longer.join(first.withColumn("page", F.lit(True)), ["doc_id", "text"], "left").groupBy("skeleton")
+    sides = sides.agg(F.count_if(F.col("page").isNull()).alias("as_long"), F.count_if("page").alias("as_page"))
+    last = known.join(sides, "skeleton", "left").fillna(0, ["as_long", "as_page"])
+    return _judged(last.withColumns({"long_n": F.col("long_n") + F.col("as_long"), "short_n": F.col("short_n") + F.col("as_page")}))
 
 
 def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -322,21 +363,19 @@ def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     rows = cut(rows.mapInArrow(_rows, ROWS))
-    units = rows.where("kind = 'unit'").groupBy("skeleton").agg(F.sum("long_n").alias("long_n"), F.sum("short_n").alias("short_n"))
+    units = rows.where("kind = 'unit'").groupBy("skeleton").agg(*[F.sum(c).alias(c) for c in ("long_n", "short_n", "maybe_n")])
     open_ = rows.where("kind = 'open'").select("doc_id", "skeleton", "slot", "value", "name", "strong", "spoken")
     slots = open_.groupBy("skeleton", "slot").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     slots = slots.join(units, "skeleton", "left").select(
-        "skeleton", "slot", ((F.coalesce("long_n", F.lit(0)) + F.coalesce("short_n", F.lit(0)) > 0) | (F.col("lo") != F.col("hi"))).alias("real")
+        "skeleton", "slot", ((F.coalesce(F.col("long_n") + F.col("short_n") + F.col("maybe_n"), F.lit(0)) > 0) | (F.col("lo") != F.col("hi"))).alias("real")
     )
     judged = open_.join(slots, ["skeleton", "slot"])
     names = judged.where("strong AND real AND name <> ''").select("name").distinct().withColumn("known", F.lit(True))
     left_over = judged.join(names, "name", "left").where(
         F.col("real") | ((F.col("strong") | F.col("known")) & ~F.col("spoken"))
     )
-    page = rows.where("kind = 'page'").select("doc_id", "skeleton", "notice", "beside").join(units, "skeleton", "left").fillna(0, ["long_n", "short_n"])
-    elsewhere = F.col("long_n") * 5 > F.col("short_n")
-    belongs = ~elsewhere & (F.col("notice") | F.col("beside") | (F.col("short_n") >= 3))
-    pages = page.groupBy("doc_id").agg(F.min(belongs).alias("all"), F.max(F.col("notice") & ~elsewhere).alias("says")).where("all AND says")
+    page = rows.where("kind = 'page'").select("doc_id", "text", "skeleton", "short", "notice", "beside")
+    pages = _pages(page, units)
     return (
         left_over.select("doc_id", F.lit("residue").alias("reason"))
         .unionByName(rows.where("kind = 'filler'").select("doc_id", F.lit("filler").alias("reason")))

@@ -205,6 +205,24 @@ def test_repeated_residue_stays_residue(spark):
     assert got == {*range(12), *range(20, 27)}
 
 
+LONG_PAGE = "Service unavailable\nError 503: the server is under maintenance.\nThe chart host did not answer within 30 seconds.\nPlease reload the page.\nCheck your network connection.\nClear your browser cache.\nRequest id 7f3a9c0{}b1\nContact support if this goes on."
+TRACE_PAGE = 'Traceback (most recent call last):\n  File "/srv/app/run.py", line 41, in main\n    out = load(path)\n  File "/srv/app/io.py", line 7, in load\n    return read(path)\n  File "/srv/app/io.py", line 19, in read\n    raise KeyError(name)\nKeyError: symbol'
+
+
+def test_long_pages(spark):
+    short = "Error 503: the server is under maintenance.\nPlease reload the page."
+    report = "The vendor had an outage on day {}. The feed answered error 503 for an hour. The long leg held at {}. The stop was moved once. The offer stood at {}. The roll went as planned. Nobody had to reload the chart."
+    rows = [(1, LONG_PAGE.format(1)), (2, TRACE_PAGE), (3, short)] + [(10 + i, LONG_PAGE.format(i) + "\nThe status board is on the left.") for i in range(6)] + [(100 + i, report.format(i, i, i)) for i in range(8)]
+    rows += [(200, LONG_PAGE.format(5) + "\nThe desk sold the spread and closed the day flat.")]
+    got = {r.doc_id for r in residue.residue(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1, 2, 3, *range(10, 16)}
+
+
+def test_notice_stems():
+    for u in ["404 - gone", "HTTP status 502", "JS is required", "Skripte sind ausgeschaltet", "session a expiré", "Nothing here", "Access denied", "cannot read x on line 3", "You need to sign in again to read"]:
+        assert residue.says_notice(u) and residue.NOTICE.search(u)
+
+
 def test_very_long_text(spark):
     t = "The stop held at 5. " * 20_000 + "Filled {{price}} at {{time}}, stop {{sl}}."
     assert residue.residue(spark.createDataFrame([(1, t)], "doc_id long, text string")).first().reason == "residue"
