@@ -99,9 +99,10 @@ LATIN = set(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum "
     "metus nullam libero donec tempus justo massa turpis faucibus eget pretium vitae sapien orci mauris felis augue nibh luctus ligula porta ac vel ante arcu at auctor bibendum blandit condimentum congue convallis cras curabitur cursus dapibus diam dictum dignissim dui egestas eleifend elementum erat eros etiam euismod facilisis fames fermentum feugiat finibus fringilla fusce gravida habitant hendrerit iaculis imperdiet integer interdum lacinia lacus laoreet lectus leo lobortis maecenas magnis malesuada mattis maximus molestie mi morbi nec neque netus nunc odio ornare pellentesque pharetra phasellus placerat porttitor posuere potenti praesent primis proin pulvinar purus quam quisque rhoncus risus rutrum sagittis scelerisque sem semper senectus sodales sollicitudin suscipit suspendisse tellus tincidunt tortor tristique ullamcorper ultrices ultricies urna varius vehicula venenatis vestibulum vivamus viverra volutpat vulputate".split()
 )
+LATIN_LONG = {w + end for w in LATIN if len(w) >= 4 for end in ("", *".,;:!?")}
 # Prompts to write something, in the languages of the corpus.
 PROMPTS = regex.compile(
-    r"""(?ix) ^\W*(?:
+    r"""(?ix) \W*(?:
       (?:please\s+)?(?:enter|write|type|add|insert|put|describe|paste|provide)\s+(?:a|an|your|the|some)\b.{0,60}\bhere\b.{0,60}
     | your\s.{1,40}\s(?:goes\s|text\s)?here
     | click\s+(?:here\s+)?to\s+(?:edit|add|change)\b.{0,60}
@@ -126,7 +127,10 @@ PROMPTS = regex.compile(
     )\W*$"""
 )
 PROMPT_WORDS = re.compile(r"here|click|placeholder|sample|dummy|filler|example|replace|keep it|text|copy|content|ici|aquí|hier|relleno|ejemplo|provisional|provisoire")
-PROMPT_START = re.compile(r"(?:^|(?<=\s))(?:^|[A-ZÉ])\S")
+# A prompt starts a unit, a capitalised word or what follows a mark of separation.
+PROMPT_START = re.compile(r"^\S|(?<=\s)[^\w\s]{0,3}[A-ZÉÁ]\S|(?<=[:–—|>=-])\s*[^\w\s]{0,3}[^\W\d]|(?<=[(\[*])[A-ZÉÁ]\S")
+#: A run of so many words of dummy text, so many of them different ones of four letters or more, is no chance.
+RUN, RUN_LONG = 4, 3
 # What error pages, refusals and script notices say.
 NOTICE = regex.compile(
     r"""(?ix)
@@ -200,11 +204,36 @@ def repeated_phrase(words: list[str]) -> bool:
     return n >= 5 and len(set(words)) <= max(2, n // 2) and max(Counter(words).values()) >= 3 and all(len(w) <= 5 for w in words)
 
 
+def latin_run(words: list[str]) -> bool:
+    """A run of dummy Latin that stands by itself: it opens the unit, follows a
+    mark of separation, or is capitalised and closes the unit. One within a
+    sentence is spoken of.
+    """
+    bare = [w.strip(".,;:!?()[]*_\"'–—-|").lower() for w in words]
+    known = [not w or w in LATIN for w in bare]
+    i = 0
+    while i < len(words):
+        if not known[i]:
+            i += 1
+            continue
+        j = i
+        while j < len(words) and known[j]:
+            j += 1
+        run = [w for w in bare[i:j] if w]
+        if len(run) >= RUN and len({w for w in run if len(w) >= 4}) >= RUN_LONG:
+            first = next(k for k in range(i, j) if bare[k])
+            apart = first == 0 or words[first - 1][-1] in ":–—-|>.)" or (words[first].lstrip("([*_\"'")[:1].isupper() and j == len(words))
+            if apart:
+                return True
+        i = j
+    return False
+
+
 def is_filler(unit: str) -> bool:
     """Dummy text or a prompt to write something, in place of content.
 
-    A word three times in a row is dummy text wherever it stands; a prompt may
-    follow a heading on its line.
+    A word three times in a row is dummy text wherever it stands; a prompt, or a
+    run of dummy Latin, may follow a lead of any length on its line.
     """
     low = unit.lower()
     raw = low.split()
@@ -219,9 +248,11 @@ def is_filler(unit: str) -> bool:
                 return True
             if 3 * len(set(words)) <= 2 * len(words) and repeated_phrase(words):
                 return True
+        if not LATIN_LONG.isdisjoint(raw) and latin_run(unit.split()):
+            return True
     if not PROMPT_WORDS.search(low):
         return False
-    return any(PROMPTS.match(unit[m.start() :]) for m in PROMPT_START.finditer(unit, 0, 90))
+    return any(PROMPTS.match(unit, m.start()) for m in PROMPT_START.finditer(unit))
 
 
 def _open_slots(unit: str, found: list) -> tuple[str, list[tuple[int, str, bool, bool]]]:

@@ -218,6 +218,14 @@ def test_long_pages(spark):
     assert got == {1, 2, 3, *range(10, 16)}
 
 
+def test_filler_behind_a_lead():
+    lead = "A summary of the week for the desk with the positions that were held over the roll and the reasons for each of them"
+    for u in [f"{lead}: Enter your text here", f"{lead} - add a short description of your report here", f"{lead} (Insert your text here)", "Market overview: Lorem ipsum dolor sit amet, consectetur adipiscing elit", "Market overview for the week Lorem ipsum dolor sit amet.", "Overview of AXN - lorem ipsum dolor sit amet, then 4 trades."]:
+        assert residue.is_filler(u), u
+    for u in [f"{lead}: the long leg held here", "Somebody left lorem ipsum dolor sit amet in the draft that went out.", "The desk may add a stop here.", "In the sample the stop was hit 4 times: see the text for an example."]:
+        assert not residue.is_filler(u), u
+
+
 def test_notice_stems():
     for u in ["404 - gone", "HTTP status 502", "JS is required", "Skripte sind ausgeschaltet", "session a expiré", "Nothing here", "Access denied", "cannot read x on line 3", "You need to sign in again to read"]:
         assert residue.says_notice(u) and residue.NOTICE.search(u)
