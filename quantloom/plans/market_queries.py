@@ -501,23 +501,23 @@ def mc_percentile_bands(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
-def mc_kelly_paths(spark: SparkSession, d: str) -> DataFrame:
-    t = simulate.trade_arrays(_largest_run(spark, d), ["ticks"], ["exit_time", "trade_id"])["ticks"]
-    paths = simulate.sized_paths(spark, t, lambda e, i: (e * 0.0001 / 1.25).round(1), 400, 60, 100_000.0, 12.5, 7)
-    return simulate.path_statistics(paths, 100_000.0, 0.5)
+def mc_percentile_bands_by_run(spark: SparkSession, d: str) -> DataFrame:
+    """mc_percentile_bands, whose SQL holds the first run only, for every run."""
+    t = _trades(spark, d).select("run_id", "trade_id", (F.col("ticks") * 12.5).alias("p"))
+    return simulate.fixed_by_run(t, ["run_id"], ["trade_id"], "p", 400, 50, 11, 100_000.0, [5.0, 50.0, 95.0]).withColumn("equity", F.round("equity", 4))
 
 
 @query()
-def mc_stopped_paths(spark: SparkSession, d: str) -> DataFrame:
-    t = simulate.trade_arrays(_largest_run(spark, d), ["ticks"], ["exit_time", "trade_id"])["ticks"]
-    return simulate.outcome_rates(simulate.stopped_paths(spark, t * 12.5, 1000, 120, 50_000.0, 7, 3000.0, 2000.0, 2500.0, 0.5))
+def mc_kelly_paths(spark: SparkSession, d: str) -> DataFrame:
+    t = _trades(spark, d).select("run_id", "exit_time", "trade_id", "ticks")
+    paths = simulate.sized_by_run(t, ["run_id"], ["exit_time", "trade_id"], "ticks", lambda e, i: (e * 0.0001 / 1.25).round(1), 400, 60, 100_000.0, 12.5, 7)
+    return simulate.final_statistics(paths, ["run_id"], 100_000.0, 0.5)
 
 
-def _largest_run(spark: SparkSession, d: str) -> DataFrame:
-    """The trades of the run with most of them."""
-    t = _trades(spark, d)
-    top = t.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max_by("run_id", F.struct("n", -F.col("run_id"))).alias("run_id"))
-    return t.join(F.broadcast(top), "run_id")  # top is one row
+@query()
+def mc_stopped_paths(spark: SparkSession, d: str) -> DataFrame:
+    t = _trades(spark, d).select("run_id", "exit_time", "trade_id", (F.col("ticks") * 12.5).alias("p"))
+    return simulate.outcome_rates(simulate.stopped_by_run(t, ["run_id"], ["exit_time", "trade_id"], "p", 1000, 120, 50_000.0, 7, 3000.0, 2000.0, 2500.0, 0.5), ["run_id"])
 
 
 @query(f"""WITH {T}, {B}, st AS (SELECT symbol AS asset, day, arg_max("close", minute) - arg_min(open, minute) AS x FROM bars GROUP BY ALL), dl AS (SELECT asset, day, sum(ticks) AS y FROM tr GROUP BY ALL), p AS (SELECT * FROM st JOIN dl USING (asset, day))
@@ -659,20 +659,15 @@ def combined_selection(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def mc_regime_switching(spark: SparkSession, d: str) -> DataFrame:
-    t = _largest_run(spark, d)
-    asset = t.groupBy("asset").count().orderBy(F.desc("count"), "asset").first()["asset"]
-    f = _snapshots(spark, d).where(F.col("asset") == asset).groupBy("asset", "day").agg(F.max_by("state", "ts").alias("state"))
+    """Bands of every run and asset, its days following the chain of the asset."""
     states = ["down", "flat", "up"]
-    steps = {(r.previous, r.state): r.probability for r in report.transitions(f, ["asset"], "day", "state").collect()}
-    days = {r.state: r["count"] for r in f.groupBy("state").count().collect()}
-    labels = joins.regime_labels(t.select("trade_id", "asset", "day", "entry_time", "ticks"), _snapshots(spark, d), "final", date="day", asset=["asset"])
-    a = simulate.trade_arrays(labels, ["ticks", "regime"], ["trade_id"])
-    pools = [a["ticks"][a["regime"] == s] * 12.5 for s in states]
-    chance = np.array([min(1.0, len(p) / days[s]) if days.get(s) else 0.0 for p, s in zip(pools, states)])
-    matrix = np.array([[steps.get((x, y), 0.0) for y in states] for x in states])
-    start = np.array([float(days.get(s, 0)) for s in states])
-    paths = simulate.switching_paths(spark, start if start.sum() else np.ones(3), matrix, chance, pools, 400, 60, 100_000.0, 7)
-    return simulate.bands(paths, [5.0, 50.0, 95.0])
+    f = _snapshots(spark, d).groupBy("asset", "day").agg(F.max_by("state", "ts").alias("state"))
+    steps = report.transitions(f, ["asset"], "day", "state").groupBy("asset")
+    steps = steps.agg(*[F.max(F.when((F.col("previous") == a) & (F.col("state") == b), F.col("probability"))).alias(f"step_{x}_{y}") for x, a in enumerate(states) for y, b in enumerate(states)])
+    chain = f.groupBy("asset").agg(*[F.count_if(F.col("state") == a).alias(f"start_{x}") for x, a in enumerate(states)]).join(steps, "asset", "left")
+    t = _trades(spark, d).select("run_id", "trade_id", "asset", "day", "entry_time", (F.col("ticks") * 12.5).alias("p"))
+    labels = joins.regime_labels(t, _snapshots(spark, d), "final", date="day", asset=["asset"]).select("run_id", "asset", "trade_id", "p", "regime")
+    return simulate.switching_by_run(labels.join(chain, "asset", "left"), ["run_id", "asset"], ["trade_id"], "p", "regime", states, 400, 60, 100_000.0, 7, [5.0, 50.0, 95.0])
 
 
 @query()
