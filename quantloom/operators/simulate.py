@@ -106,7 +106,9 @@ def by_run(trades: DataFrame, keys: list[str], order: list[str], simulated: Call
             out.insert(place, name, pd.Series([None if pd.isna(value) else value] * len(out), dtype=object, index=out.index))
         return out
 
-    return trades.groupBy(*keys).applyInPandas(run, ", ".join([f"{k} {kinds[k]}" for k in keys] + [schema]))
+    # A run is little data and much work: the number of tasks is given, so that they are not put together by their bytes.
+    tasks = int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return trades.repartition(tasks, *keys).groupBy(*keys).applyInPandas(run, ", ".join([f"{k} {kinds[k]}" for k in keys] + [schema]))
 
 
 def band_rows(equity: np.ndarray, percentiles: list[float], first: int = 1) -> pd.DataFrame:
