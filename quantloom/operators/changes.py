@@ -93,8 +93,11 @@ def watermarks(changes: DataFrame, n_table: int, hold_seconds: float | None, has
     inner = Window.partitionBy(*t, "epoch").orderBy("seq")
     rows = changes.withColumn("prev", F.lag("seq").over(inner)).withColumn("gap", (F.col("seq") - F.col("prev")) > 1)
     if has_txn:
-        whole = Window.partitionBy(*t, "epoch", "txn")
-        rows = rows.withColumn("short", F.col("txn_size").isNotNull() & (F.count(F.lit(1)).over(whole) < F.col("txn_size")))
+        # A transaction may span epochs: its counts by epoch are added first.
+        parts = changes.groupBy(*t, "epoch", "txn").agg(F.count(F.lit(1)).alias("have"))
+        have = parts.groupBy(*[F.col(c).alias(f"_{c}") for c in [*t, "txn"]]).agg(F.sum("have").alias("have"))
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*t, "txn"]]
+        rows = rows.join(have, same, "left").withColumn("short", F.col("txn_size").isNotNull() & (F.col("have") < F.col("txn_size")))
     else:
         rows = rows.withColumn("short", F.lit(False))
     first = rows.groupBy(*t, "epoch").agg(

@@ -99,6 +99,13 @@ def test_incomplete_transaction_is_not_shown(spark):
     assert sorted(r.key for r in changes.current_state(df, spec, hold_seconds=10).collect()) == [10, 11]
 
 
+def test_transaction_over_two_epochs_is_complete(spark):
+    rows = [("B", 4094 + i, at(i), "A", 1, 10 + i, 7 if i else 6, 3 if i else 1) for i in range(4)]
+    df = spark.createDataFrame(rows, "t string, seq long, arrived timestamp, a string, amount long, key long, txn long, size int")
+    spec = changes.Feed(["t"], "key", "seq", "arrived", F.lit(changes.SET), "amount", [], "txn", "size")
+    assert sorted(r.key for r in changes.current_state(df, spec, hold_seconds=10).collect()) == [10, 11, 12, 13]
+
+
 def test_known_at_equals_brute_force(spark):
     r = random.Random(5)
     rows = [(r.choice([1, 1, 1, 2, None]), at(300 * r.randrange(400)), None, i, r.choice([None, 5, 6])) for i in range(400)]
