@@ -15,7 +15,9 @@ the epochs of each key. A reset concerns all keys of its table: its mark is
 sent to every slice, where it sorts before the keys, so no join is needed.
 
 State is shown up to the committed watermark of each table: the last sequence
-number before the first open gap or incomplete transaction.
+number before the first gap or incomplete transaction that is still held. The
+watermark comes from a summary with one row per epoch and meets the changes
+again by (table, epoch), so no hot table is gathered for it either.
 """
 
 from __future__ import annotations
@@ -79,59 +81,67 @@ def latest_copies(df: DataFrame, feed: Feed, epoch_size: int = 4096) -> DataFram
     return rows.repartition(*[F.col(c) for c in t], F.col("epoch")).withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
 
 
-def watermarks(changes: DataFrame, n_table: int, hold_seconds: float | None, has_txn: bool = False) -> DataFrame:
-    """(t0.., watermark) of each table over latest_copies().
-
-    A gap in the numbers is open while the newest change of its table was
-    received less than hold_seconds after the first change beyond the gap: the
-    missing one may still come. Older gaps are void, as numbers may be skipped
-    for good. An incomplete transaction is held just as long. Within an epoch
-    gaps are found by a window; between epochs by the epochs' first and last
-    numbers, so no task ever sorts a whole table.
+def commits(changes: DataFrame, n_table: int, hold_seconds: float | None, has_txn: bool = False) -> DataFrame:
+    """(t0.., epoch, watermark, dropped) of each epoch of latest_copies().
+
+    A transaction is complete when as many of its changes have come as it
+    counts; its changes by epoch are added first, and only those short in an
+    epoch are looked at across epochs. An incomplete transaction and a gap in
+    the numbers are held: the watermark of the table stops before them, as what
+    is missing may still come. The clock of a table is its newest receipt; a
+    hold runs from the receipt of the first change beyond the gap, or of the
+    transaction's first change, and lasts hold_seconds. None: the feed has
+    ended and the clock has run on beyond every hold. A hold that has run out
+    makes a gap void and drops an incomplete transaction as a whole.
+
+    Within an epoch gaps are found by a window; between epochs by the epochs'
+    first and last numbers, so no task ever sorts a whole table. ``dropped``
+    names the epoch's changes of incomplete transactions (null: none).
     """
     t = [f"t{i}" for i in range(n_table)]
+    held_us = int((hold_seconds or 0.0) * 1_000_000)
     inner = Window.partitionBy(*t, "epoch").orderBy("seq")
-    rows = changes.withColumn("prev", F.lag("seq").over(inner)).withColumn("gap", (F.col("seq") - F.col("prev")) > 1)
-    if has_txn:
-        # A transaction may span epochs: its counts by epoch are added first.
-        parts = changes.groupBy(*t, "epoch", "txn").agg(F.count(F.lit(1)).alias("have"))
-        have = parts.groupBy(*[F.col(c).alias(f"_{c}") for c in [*t, "txn"]]).agg(F.sum("have").alias("have"))
-        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*t, "txn"]]
-        rows = rows.join(have, same, "left").withColumn("short", F.col("txn_size").isNotNull() & (F.col("have") < F.col("txn_size")))
-    else:
-        rows = rows.withColumn("short", F.lit(False))
-    first = rows.groupBy(*t, "epoch").agg(
+    rows = changes.withColumn("prev", F.lag("seq").over(inner))
+    beyond_gap = F.when(F.col("seq") - F.col("prev") > 1, F.struct("seq", "arrived", F.col("prev").alias("mark")))
+    epochs = rows.groupBy(*t, "epoch").agg(
         F.min("seq").alias("lo"),
         F.max("seq").alias("hi"),
         F.min_by("arrived", "seq").alias("lo_arrived"),
         F.max("arrived").alias("newest"),
-        F.collect_list(F.when(F.col("gap") | F.col("short"), F.struct("seq", "arrived", "prev"))).alias("suspects"),
-    )
-    over = Window.partitionBy(*t).orderBy("epoch")
-    epochs = first.withColumn("hi_before", F.lag("hi").over(over)).withColumn(
-        "suspects",
-        F.when(
-            F.col("lo") - F.col("hi_before") > 1, F.concat("suspects", F.array(F.struct(F.col("lo").alias("seq"), F.col("lo_arrived").alias("arrived"), F.col("hi_before").alias("prev"))))
-        ).otherwise(F.col("suspects")),
-    )
-    newest = F.max("newest").over(Window.partitionBy(*t))
-    hold = F.lit(0.0 if hold_seconds is None else float(hold_seconds))
-    open_ = F.filter("suspects", lambda s: (F.unix_micros(F.col("newest_all")) - F.unix_micros(s["arrived"])) < hold * 1_000_000)
-    return (
-        epochs.withColumn("newest_all", newest)
-        .withColumn("blocked", F.array_min(F.transform(open_, lambda s: F.struct(s["seq"].alias("seq"), F.coalesce(s["prev"], F.col("hi_before"), s["seq"] - 1).alias("mark")))))
-        .groupBy(*t)
-        .agg(F.min("blocked").alias("blocked"), F.max("hi").alias("hi"))
-        .select(*t, F.coalesce("blocked.mark", "hi").alias("watermark"))
+        F.collect_list(beyond_gap).alias("held"),  # at most one a change of the epoch
     )
+    by_epoch = Window.partitionBy(*t).orderBy("epoch")
+    epochs = epochs.withColumn("hi_before", F.lag("hi").over(by_epoch))
+    between = F.struct(F.col("lo").alias("seq"), F.col("lo_arrived").alias("arrived"), F.col("hi_before").alias("mark"))
+    epochs = epochs.withColumn("held", F.when(F.col("lo") - F.col("hi_before") > 1, F.array_append("held", between)).otherwise(F.col("held")))
+    if has_txn:
+        pieces = changes.where("txn IS NOT NULL").groupBy(*t, "epoch", "txn").agg(F.count(F.lit(1)).alias("have"), F.max("txn_size").alias("size"), F.min("seq").alias("first"), F.min("arrived").alias("began"))
+        whole = Window.partitionBy(*t, "txn")
+        short = pieces.where("have < size").withColumns({"have": F.sum("have").over(whole), "size": F.max("size").over(whole), "first": F.min("first").over(whole), "began": F.min("began").over(whole)})
+        short = short.where("have < size").groupBy(*t, "epoch").agg(F.collect_list("txn").alias("dropped"), F.collect_list(F.struct(F.col("first").alias("seq"), F.col("began").alias("arrived"), (F.col("first") - 1).alias("mark"))).alias("waiting"))
+        epochs = epochs.join(short, [*t, "epoch"], "left").withColumn("held", F.when(F.col("waiting").isNull(), F.col("held")).otherwise(F.concat("held", "waiting")))
+    else:
+        epochs = epochs.withColumn("dropped", F.lit(None).cast("array<bigint>"))
+    table = Window.partitionBy(*t)
+    clock = F.lit(2**62) if hold_seconds is None else F.max(F.unix_micros("newest")).over(table)
+    epochs = epochs.withColumn("clock", clock)
+    open_ = F.filter("held", lambda x: F.col("clock") - F.unix_micros(x["arrived"]) < held_us)
+    epochs = epochs.withColumn("blocked", F.array_min(F.transform(open_, lambda x: x["mark"])))
+    return epochs.withColumn("watermark", F.coalesce(F.min("blocked").over(table), F.max("hi").over(table))).select(*t, "epoch", "lo", "watermark", "dropped")
+
+
+def watermarks(changes: DataFrame, n_table: int, hold_seconds: float | None, has_txn: bool = False) -> DataFrame:
+    """(t0.., watermark): the last committed number of each table over latest_copies(); see commits()."""
+    t = [f"t{i}" for i in range(n_table)]
+    return commits(changes, n_table, hold_seconds, has_txn).groupBy(*t).agg(F.max("watermark").alias("watermark"))
 
 
 def current_state(df: DataFrame, feed: Feed, epoch_size: int = 4096, slices: int = 32, hold_seconds: float | None = None) -> DataFrame:
     """The rows of every table after its last committed change.
 
-    Columns: those of feed.table, feed.key, feed.payload and feed.amount.
-    hold_seconds None: the feed is closed, so every gap is void and the
-    watermark of a table is its last change; else see watermarks().
+    Columns: those of feed.table, feed.key, feed.payload and feed.amount. Only
+    what lies up to the table's contiguous committed watermark shows, and no
+    change of an incomplete transaction; see commits() for hold_seconds.
 
     SET enters or replaces a key as a whole; REDUCE takes its amount off a key
     as it stands, removes it when nothing is left and does nothing to an
@@ -143,9 +153,11 @@ def current_state(df: DataFrame, feed: Feed, epoch_size: int = 4096, slices: int
     t = [f"t{i}" for i in range(len(feed.table))]
     p = [f"p{i}" for i in range(len(feed.payload))]
     rows = latest_copies(df, feed, epoch_size)
-    if hold_seconds is not None:
-        marks = watermarks(rows, len(t), hold_seconds, feed.txn is not None)
-        rows = rows.join(marks, t).where("seq <= watermark").drop("watermark")
+    marks = commits(rows, len(t), hold_seconds, feed.txn is not None).where("lo <= watermark").drop("lo")
+    rows = rows.join(marks, [*t, "epoch"]).where("seq <= watermark")
+    if feed.txn:
+        rows = rows.where(F.col("txn").isNull() | F.col("dropped").isNull() | ~F.array_contains("dropped", F.col("txn")))
+    rows = rows.drop("watermark", "dropped")
     rows = rows.where((F.col("op") == RESET) | (F.col("op").isin(SET, REDUCE) & F.col("key").isNotNull()))
     reset = F.col("op") == RESET
     rows = rows.withColumn("key", F.when(~reset, F.col("key")))

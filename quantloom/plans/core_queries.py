@@ -14,6 +14,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return changes.current_state(feed, changes.order_feed(feed)).select("order_id", "side", "px", F.col("sz").cast("long").alias("sz"))
 
 
+def p1_committed(spark: SparkSession, d: str) -> DataFrame:
+    """How far each book is committed while its feed is still open, gaps being held for an hour."""
+    feed = table(spark, d, "order_feed")
+    marks = changes.watermarks(changes.latest_copies(feed, changes.order_feed(feed)), 2, 3600.0)
+    return marks.select(F.col("t0").alias("symbol"), F.date_format("t1", "yyyy-MM-dd").alias("day"), "watermark")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "options_5m").where("open_interest IS NOT NULL")
     return known.known_at(table(spark, d, "option_trades"), "print_id", "ts_event", rows, "instrument_id", "bucket_ts", "known_at", "obs_id")
@@ -69,7 +76,7 @@ def p7_revisions(spark: SparkSession, d: str) -> DataFrame:
     return late.revisions(table(spark, d, "options_oi_snapshot")).withColumn("arrival", F.col("arrival").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_attributes, p3_found, p3_trailing, p4_found, p4_series, p6_found, p7_found, p7_revisions)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_committed, p2_found, p2_attributes, p3_found, p3_trailing, p4_found, p4_series, p6_found, p7_found, p7_revisions)}
 
 _P2 = """
 WITH rows AS (SELECT * FROM options_5m WHERE open_interest IS NOT NULL AND known_at IS NOT NULL AND bucket_ts IS NOT NULL),
@@ -129,6 +136,15 @@ WITH last AS (
 SELECT s.order_id, s.side, s.px, (s.sz - coalesce(t.taken, 0))::BIGINT AS sz
 FROM s LEFT JOIN t USING (symbol, session_date, order_id) LEFT JOIN r USING (symbol, session_date)
 WHERE s.sz > coalesce(t.taken, 0) AND (r.reset_seq IS NULL OR s.set_seq > r.reset_seq)
+""",
+    "p1_committed": """
+WITH last AS (
+  SELECT symbol, session_date, seq, ts_recv, row_number() OVER (PARTITION BY symbol, session_date, seq ORDER BY ts_recv DESC) AS n FROM order_feed
+), f AS (
+  SELECT *, lag(seq) OVER (PARTITION BY symbol, session_date ORDER BY seq) AS prev, max(ts_recv) OVER (PARTITION BY symbol, session_date) AS clock FROM last WHERE n = 1
+)
+SELECT symbol, strftime(session_date, '%Y-%m-%d') AS day, coalesce(min(CASE WHEN seq - prev > 1 AND clock - ts_recv < INTERVAL 1 HOUR THEN prev END), max(seq))::BIGINT AS watermark
+FROM f GROUP BY symbol, session_date
 """,
     "p2_found": _P2.replace("{more}", ""),
     "p2_attributes": _P2.replace("{more}", ", x.oi AS open_interest, x.mu AS is_morning_update, x.de AS daily_estimated_oi"),

@@ -106,6 +106,25 @@ def test_transaction_over_two_epochs_is_complete(spark):
     assert sorted(r.key for r in changes.current_state(df, spec, hold_seconds=10).collect()) == [10, 11, 12, 13]
 
 
+def test_incomplete_transaction_is_dropped_whole_once_its_hold_is_over(spark):
+    rows = [("B", 1, at(0), 10, 1, 1), ("B", 2, at(1), 11, 2, 2), ("B", 3, at(500), 12, 3, 1), ("B", 4, at(501), 13, None, None)]
+    df = spark.createDataFrame(rows, "t string, seq long, arrived timestamp, key long, txn long, size int").withColumn("amount", F.lit(1))
+    spec = changes.Feed(["t"], "key", "seq", "arrived", F.lit(changes.SET), "amount", [], "txn", "size")
+    shown = lambda hold, epoch: sorted(r.key for r in changes.current_state(df, spec, epoch, hold_seconds=hold).collect())
+    for epoch in (2, 4096):
+        assert shown(None, epoch) == [10, 12, 13]
+        assert shown(100, epoch) == [10, 12, 13]
+        assert shown(1000, epoch) == [10]
+
+
+def test_held_transaction_over_two_epochs_hides_what_follows(spark):
+    rows = [("B", s, at(s - 4090), 10 + i, x, n) for i, (s, x, n) in enumerate([(4094, 1, 1), (4095, 2, 3), (4096, 2, 3), (4097, 3, 1)])]
+    df = spark.createDataFrame(rows, "t string, seq long, arrived timestamp, key long, txn long, size int").withColumn("amount", F.lit(1))
+    spec = changes.Feed(["t"], "key", "seq", "arrived", F.lit(changes.SET), "amount", [], "txn", "size")
+    assert sorted(r.key for r in changes.current_state(df, spec, hold_seconds=1000).collect()) == [10]
+    assert sorted(r.key for r in changes.current_state(df, spec).collect()) == [10, 13]
+
+
 def test_known_at_equals_brute_force(spark):
     r = random.Random(5)
     rows = [(r.choice([1, 1, 1, 2, None]), at(300 * r.randrange(400)), None, i, r.choice([None, 5, 6])) for i in range(400)]
