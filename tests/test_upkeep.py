@@ -146,15 +146,34 @@ def test_known_at_equals_brute_force(spark):
     assert known.known_at(p, "print_id", "t", v.limit(0), "e", "v", "r", "id").count() == 0
 
 
-def test_regions_are_disjoint_and_cover(spark):
+def test_regions_are_disjoint_and_current(spark):
     r = random.Random(6)
     rows = [(1, at(300 * r.randrange(50)), at(r.randrange(300_000)), i) for i in range(120)]
-    v = spark.createDataFrame(rows, "e long, v timestamp, r timestamp, id long")
-    got = sorted((x.recorded_from, x.recorded_to, x.id) for x in known.regions(v, "e", "v", "r", "id", 3600).collect())
-    assert got[0][0] == min(x[2] for x in rows) and got[-1][1] is None
-    assert all(a[1] == b[0] for a, b in zip(got, got[1:]))
-    for frm, _, i in got:
-        assert max((y for y in rows if y[2] <= frm), key=lambda y: y[1:])[3] == i
+    v = spark.createDataFrame([*rows, *rows[:9], (None, T0, T0, 1), (1, None, T0, 2)], "e long, v timestamp, r timestamp, id long")
+    us = lambda t: int((t - datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+    got = known.regions(v, "e", "v", "r", "id", 3600).collect()
+    for _ in range(300):
+        x, y = us(at(r.randrange(16_000))), us(at(r.randrange(310_000)))
+        cell = x // 3_600_000_000
+        inside = [g.id for g in got if g.cell == cell and g.valid_from <= x and (g.valid_to is None or x < g.valid_to) and g.recorded_from <= y and (g.recorded_to is None or y < g.recorded_to)]
+        known_then = [(us(b), us(k), i) for _, b, k, i in rows if us(b) // 3_600_000_000 == cell and us(b) <= x and us(k) <= y]
+        assert inside == ([max(known_then)[2]] if known_then else [])
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_any_point_of_the_plane_is_located(spark, seed):
+    r = random.Random(seed)
+    rows = [(r.choice("HHHK"), at(300 * r.randrange(300)), at(r.randrange(120_000)), i, r.choice([None, 1.5, float("nan")])) for i in range(300)]
+    points = [(i, r.choice("HHHK"), at(r.randrange(120_000)), at(r.randrange(130_000))) for i in range(400)]
+    v = spark.createDataFrame(rows, "e string, v timestamp, r timestamp, id long, x double")
+    p = spark.createDataFrame(points, "p long, e string, asked timestamp, t timestamp")
+    got = {g.p: g.id for g in known.known_at(p, "p", "t", v, "e", "v", "r", "id", ["x"], 7200, "asked").collect()}
+    want = {}
+    for i, e, x, t in points:
+        ok = [(b, k, n) for ee, b, k, n, _ in rows if ee == e and b <= x and k <= t]
+        if ok:
+            want[i] = max(ok)[2]
+    assert got == want
 
 
 def test_trailing_totals_equal_brute_force(spark):
