@@ -2,8 +2,8 @@
 
 A source's readings are cut into time shards; (source, shard) is the unit of
 the shuffle, so a long or busy source is spread. Each shard owns the intervals
-that begin at its readings and gets the neighbouring readings it lacks (the
-halo: one before, two after) from a summary with one row per shard, however
+that end at its readings and gets the neighbouring readings it lacks (the
+halo: two before, one after) from a summary with one row per shard, however
 many empty shards lie between. An interval of up to max_gap seconds belongs to
 a segment: its seconds are carried over and interpolated by a shape-preserving
 monotone cubic (harmonic-mean slopes, so no overshoot). Longer intervals end a
@@ -40,83 +40,58 @@ def last_copies(df: DataFrame, id_: str, received: str, source: list[str], ts: s
     return one.where(" AND ".join(f"{c} IS NOT NULL" for c in [*s, "ts"]))
 
 
-def _sharded(readings: DataFrame, n_source: int, shard_seconds: int) -> tuple[DataFrame, DataFrame, list[str]]:
+def _second(ts: Column) -> Column:
+    return F.floor(F.unix_micros(ts) / 1_000_000)
+
+
+def _with_halo(readings: DataFrame, n_source: int, shard_seconds: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(readings with the shard's halo, sources without a usable reading, source columns).
+
+    Each usable reading gets its neighbours p2, p1 (before) and n1 (after) as
+    structs, whatever shard they lie in, and src_lo, src_hi: the times of the
+    source's first and last reading, usable or not.
+    """
     s = [f"s{i}" for i in range(n_source)]
     base = readings.withColumn("shard", F.floor(F.unix_micros("ts") / (shard_seconds * 1_000_000)).cast("int"))
     base = base.repartition(*[F.col(c) for c in [*s, "shard"]])
-    own = Window.partitionBy(*s, "shard").orderBy(F.desc("usable"), "ts", "id")
-    base = base.withColumn("n", F.when(F.col("usable"), F.row_number().over(own)))
-    reading = F.struct(*[c for c in ("ts", "id", *[c for c in readings.columns if c.startswith("v")])])
-    summary = base.groupBy(*s, "shard").agg(
-        F.min(F.when(F.col("n") == 1, reading)).alias("first"),
-        F.min(F.when(F.col("n") == 2, reading)).alias("second"),
-        F.max(F.when(F.col("usable"), reading)).alias("last"),
+    reading = F.struct("ts", "id", *[c for c in readings.columns if c.startswith("v")])
+    forward = Window.partitionBy(*s, "shard").orderBy("usable", "ts", "id")
+    rows = base.withColumns({"p1": F.lag(reading, 1).over(forward), "p1_usable": F.lag("usable", 1).over(forward), "p2": F.lag(reading, 2).over(forward), "p2_usable": F.lag("usable", 2).over(forward), "n1": F.lead(reading, 1).over(forward)})
+    # Unusable readings sort first: the neighbours of a usable one are usable or none.
+    rows = rows.withColumns({"p1": F.when(F.col("p1_usable"), F.col("p1")), "p2": F.when(F.col("p2_usable"), F.col("p2"))}).drop("p1_usable", "p2_usable")
+    tail = F.col("n1").isNull() & F.col("usable")
+    summary = rows.groupBy(*s, "shard").agg(
+        F.min(F.when(F.col("usable") & F.col("p1").isNull(), reading)).alias("first"),
+        F.max(F.when(tail, reading)).alias("last"),
+        F.max(F.when(tail, F.col("p1"))).alias("last2"),
         F.min("ts").alias("lo"),
         F.max("ts").alias("hi"),
     )
     order = Window.partitionBy(*s).orderBy("shard")
-    after = order.rowsBetween(1, Window.unboundedFollowing)
-    # The first two readings beyond a shard: its follower's two, or one each of two followers.
-    summary = summary.withColumn("beyond", F.first("first", True).over(after))
-    pair = F.when(F.col("first").isNotNull(), F.struct(F.col("first").alias("a"), F.coalesce("second", "beyond").alias("b")))
-    summary = summary.withColumn("pair", F.first(pair, True).over(after)).withColumns(
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    # The last two readings before a shard: those of one shard, or one each of two.
+    summary = summary.withColumn("last_before", F.last("last", True).over(earlier))
+    pair = F.when(F.col("last").isNotNull(), F.struct(F.col("last").alias("a"), F.coalesce("last2", "last_before").alias("b")))
+    summary = summary.withColumns(
         {
-            "next1": F.col("pair.a"),
-            "next2": F.col("pair.b"),
-            "before": F.last("last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)),
+            "before": F.last(pair, True).over(earlier),
+            "after": F.first("first", True).over(order.rowsBetween(1, Window.unboundedFollowing)),
             "src_lo": F.min("lo").over(Window.partitionBy(*s)),
             "src_hi": F.max("hi").over(Window.partitionBy(*s)),
-            "src_first": F.min("first").over(Window.partitionBy(*s)),
+            "src_last": F.max("last").over(Window.partitionBy(*s)),
             "nth": F.row_number().over(order),
         }
     )
-    return base, summary, s
-
-
-def _second(ts: Column) -> Column:
-    return F.floor(F.unix_micros(ts) / 1_000_000)
-
-
-def _slots(lo: Column, hi: Column) -> Column:
-    return F.explode(F.when(lo <= hi, F.sequence(lo, hi)))
-
-
-def intervals(readings: DataFrame, n_source: int, shard_seconds: int = 900) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Usable readings with their neighbours (prev, next1, next2: structs) and the lead-in of each source."""
-    base, summary, s = _sharded(readings, n_source, shard_seconds)
-    value_cols = [c for c in readings.columns if c.startswith("v")]
-    reading = F.struct("ts", "id", *value_cols)
-    order = Window.partitionBy(*s, "shard").orderBy("ts", "id")
-    rows = base.where("usable").withColumns({"in1": F.lead(reading, 1).over(order), "in2": F.lead(reading, 2).over(order), "inp": F.lag(reading, 1).over(order)})
-    halo = summary.select(*s, "shard", "next1", "next2", "before", "src_hi")
-    rows = rows.join(halo, [*s, "shard"], "left")
+    halo = summary.select(*s, "shard", "before", "after", "src_lo", "src_hi")
+    rows = rows.where("usable").join(halo, [*s, "shard"])
     rows = rows.withColumns(
         {
-            "n1": F.coalesce("in1", "next1"),
-            "n2": F.when(F.col("in1").isNull(), F.col("next2")).otherwise(F.coalesce("in2", "next1")),
-            "p1": F.coalesce("inp", "before"),
+            "p2": F.when(F.col("p1").isNull(), F.col("before.b")).otherwise(F.coalesce("p2", "before.a")),
+            "p1": F.coalesce("p1", "before.a"),
+            "n1": F.coalesce("n1", "after"),
         }
-    ).drop("in1", "in2", "inp", "next1", "next2", "before")
-    lead_in = summary.where("nth = 1").select(*s, "src_lo", "src_hi", F.col("src_first.ts").alias("first_ts"))
-    return rows, lead_in, s
-
-
-def missing_slots(readings: DataFrame, source: list[str], carry_seconds: int = 30, shard_seconds: int = 900) -> DataFrame:
-    """source.., slot, reading_id: every second of a source without a usable reading.
-
-    slot is the epoch second, from that of the source's first reading to that
-    of its last, usable or not. reading_id is the latest usable reading before
-    the slot if it is at most carry_seconds old at the slot's start, else -1
-    (also for the seconds before the first usable reading and for sources
-    without any).
-    """
-    rows, lead_in, s = intervals(readings, len(source), shard_seconds)
-    end = F.coalesce(_second(F.col("n1.ts")) - 1, _second(F.col("src_hi")))
-    held = rows.select(*s, "id", F.unix_micros("ts").alias("us"), _slots(_second(F.col("ts")) + 1, end).alias("slot"))
-    held = held.select(*s, "slot", F.when(F.col("slot") * 1_000_000 - F.col("us") <= carry_seconds * 1_000_000, F.col("id")).otherwise(F.lit(-1)).cast("long").alias("reading_id"))
-    lead = lead_in.select(*s, _slots(_second(F.col("src_lo")), F.coalesce(_second(F.col("first_ts")) - 1, _second(F.col("src_hi")))).alias("slot"), F.lit(-1).cast("long").alias("reading_id"))
-    both = held.unionByName(lead)
-    return both.select(*[F.col(a).alias(c) for c, a in zip(source, s)], F.col("slot").cast("long").alias("slot"), "reading_id")
+    ).drop("before", "after")
+    return rows, summary.where("nth = 1 AND src_last IS NULL").select(*s, "src_lo", "src_hi"), s
 
 
 def _slope(y0: Column, y1: Column, h: Column) -> Column:
@@ -134,7 +109,8 @@ def _end_tangent(d0: Column, d1: Column, h0: Column, h1: Column) -> Column:
 
 
 def _hermite(y0: Column, y1: Column, m0: Column, m1: Column, h: Column, u: Column) -> Column:
-    return (2 * u**3 - 3 * u**2 + 1) * y0 + (u**3 - 2 * u**2 + u) * h * m0 + (-2 * u**3 + 3 * u**2) * y1 + (u**3 - u**2) * h * m1
+    uu, uuu = u * u, u * u * u
+    return (2 * uuu - 3 * uu + 1) * y0 + (uuu - 2 * uu + u) * h * m0 + (3 * uu - 2 * uuu) * y1 + (uuu - uu) * h * m1
 
 
 def regular_series(readings: DataFrame, source: list[str], values: list[str], level: list[str], flow: list[str], max_gap: int = 30, shard_seconds: int = 900) -> DataFrame:
@@ -143,48 +119,80 @@ def regular_series(readings: DataFrame, source: list[str], values: list[str], le
     Columns: source.., slot, status, reading_id, and per level <name> (the
     second's last reading, or the last one carried over) and <name>_smooth
     (monotone cubic at the start of the second, null outside a segment), per
-    flow its sum over the second's readings (0 without one). status: read,
-    carried, or gap (levels null, reading_id -1).
+    flow its sum over the second's readings (0 without one). slot is the epoch
+    second, from that of the source's first reading to that of its last, usable
+    or not. status: read; filled, within a segment, where the cubic gives every
+    level; carried, after a segment's end, from a reading at most max_gap
+    seconds old at the second's start; gap (levels null, reading_id -1), also
+    before the first usable reading and for sources without any. Of readings at
+    one instant the one with the larger id is the later.
+
+    A reading that is the first of its second brings this second and those
+    since the reading before it, so every second is made once, by the shard
+    that holds its readings, and nothing is shuffled again.
     """
-    rows, lead_in, s = intervals(readings, len(source), shard_seconds)
+    rows, unread, s = _with_halo(readings, len(source), shard_seconds)
     v = {c: f"v{i}" for i, c in enumerate(values)}
     us = F.unix_micros
-    gap = lambda a, b: (us(F.col(f"{b}.ts") if b != "ts" else F.col("ts")) - us(F.col(f"{a}.ts") if a != "ts" else F.col("ts"))) / 1_000_000.0
-    rows = rows.withColumns({"h": gap("ts", "n1"), "hp": gap("p1", "ts"), "hn": gap("n1", "n2")})
-    rows = rows.withColumns({"joined": (F.col("h") <= max_gap) & (F.col("h") > 0), "hp": F.when((F.col("hp") <= max_gap) & (F.col("hp") > 0), F.col("hp")), "hn": F.when((F.col("hn") <= max_gap) & (F.col("hn") > 0), F.col("hn"))})
+    rows = rows.withColumn("sec", _second(F.col("ts")))
+    of_second = Window.partitionBy(*s, "shard", "sec").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"own": F.last(F.struct("id", *v.values())).over(of_second)} | {f"sum_{c}": F.sum(v[c]).over(of_second) for c in flow})
+    prev_sec = _second(F.col("p1.ts"))
+    first_of_second, last = F.col("p1").isNull() | (prev_sec < F.col("sec")), F.col("n1").isNull()
+    rows = rows.where(first_of_second | last)
+    gap = lambda a, b: (us(b) - us(a)) / 1_000_000.0
+    short = lambda c: F.when((c > 0) & (c <= max_gap), c)
+    # The interval that ends at the reading, and its neighbours; a longer one is no part of a segment.
+    rows = rows.withColumns({"h": short(gap("p1.ts", "ts")), "hp": short(gap("p2.ts", "p1.ts")), "hn": short(gap("ts", "n1.ts"))})
     tangents = {}
     for c in level:
-        y0, y1, yp, yn = F.col(v[c]), F.col(f"n1.{v[c]}"), F.col(f"p1.{v[c]}"), F.col(f"n2.{v[c]}")
+        yp, y0, y1, yn = (F.col(x) for x in (f"p2.{v[c]}", f"p1.{v[c]}", v[c], f"n1.{v[c]}"))
         h, hp, hn = F.col("h"), F.col("hp"), F.col("hn")
         d, dp, dn = _slope(y0, y1, h), _slope(yp, y0, hp), _slope(y1, yn, hn)
         left = F.when(hp.isNotNull(), _inner_tangent(dp, d, hp, h)).when(hn.isNotNull(), _end_tangent(d, dn, h, hn)).otherwise(d)
         right = F.when(hn.isNotNull(), _inner_tangent(d, dn, h, hn)).when(hp.isNotNull(), _end_tangent(d, dp, h, hp)).otherwise(d)
-        tangents |= {f"m0_{c}": F.when(F.col("joined"), left), f"m1_{c}": F.when(F.col("joined"), right)}
+        tangents |= {f"m0_{c}": left, f"m1_{c}": right}
     rows = rows.withColumns(tangents)
-    # Seconds an interval owns: those that start in (ts, next]; the reading's own second is read from the last reading in it.
-    first = F.ceil(us("ts") / 1_000_000).cast("long")
-    last = F.when(F.col("n1").isNotNull(), F.ceil(us(F.col("n1.ts")) / 1_000_000).cast("long") - 1).otherwise(_second(F.col("src_hi")))
-    smooth = rows.withColumn("slot", F.explode(F.when(first <= last, F.sequence(first, last))))
-    age = (F.col("slot") * 1_000_000 - us("ts")) / 1_000_000.0
-    out = {}
+    # From the second after the reading before (or the source's first) to its own; the last reading also to the source's last.
+    start = F.when(~first_of_second, F.col("sec") + 1).otherwise(F.coalesce(prev_sec + 1, _second(F.col("src_lo"))))
+    end = F.when(last, _second(F.col("src_hi"))).otherwise(F.col("sec"))
+    rows = rows.withColumn("slot", F.explode(F.when(start <= end, F.sequence(start, end))))
+    at = F.col("slot") * 1_000_000
+    after, read = F.col("slot") > F.col("sec"), F.col("slot") == F.col("sec")
+    u = F.when(at == us("ts"), F.lit(1.0)).otherwise((at - us("p1.ts")) / 1_000_000.0 / F.col("h"))
+    smooth = {
+        c: F.when(~after & F.col("h").isNotNull(), _hermite(F.col(f"p1.{v[c]}"), F.col(v[c]), F.col(f"m0_{c}"), F.col(f"m1_{c}"), F.col("h"), u)).when(read & (at == us("ts")) & F.col("hn").isNotNull(), F.col(v[c]))
+        for c in level
+    }
+    rows = rows.withColumns({f"{c}_smooth": e for c, e in smooth.items()})
+    inside = F.col("h").isNotNull() & ~after
     for c in level:
-        u = age / F.when(F.col("joined"), F.col("h"))
-        out[f"{c}_smooth"] = F.when(F.col("joined"), _hermite(F.col(v[c]), F.col(f"n1.{v[c]}"), F.col(f"m0_{c}"), F.col(f"m1_{c}"), F.col("h"), u))
-        out[c] = F.when(age <= max_gap, F.col(v[c]))
-    smooth = smooth.select(*s, "slot", F.when(age <= max_gap, F.col("id")).otherwise(-1).cast("long").alias("carried_id"), *[e.alias(n) for n, e in out.items()], *[F.lit(None).cast("struct<ts:timestamp,id:bigint>").alias("own")], *[F.lit(None).cast("double").alias(f"own_{c}") for c in level], *[F.lit(0.0).alias(c) for c in flow])
-    lead = lead_in.withColumn("slot", _slots(_second(F.col("src_lo")), F.coalesce(F.ceil(us("first_ts") / 1_000_000).cast("long") - 1, _second(F.col("src_hi")))))
-    lead = lead.select(*s, "slot", F.lit(-1).cast("long").alias("carried_id"), *[F.lit(None).cast("double").alias(n) for n in out], F.lit(None).cast("struct<ts:timestamp,id:bigint>").alias("own"), *[F.lit(None).cast("double").alias(f"own_{c}") for c in level], *[F.lit(0.0).alias(c) for c in flow])
-    read = readings.where("usable").withColumn("slot", _second(F.col("ts")))
-    read = read.select(*s, "slot", F.lit(None).cast("long").alias("carried_id"), *[F.lit(None).cast("double").alias(n) for n in out], F.struct("ts", F.col("id").cast("long").alias("id")).alias("own"), *[F.col(v[c]).alias(f"own_{c}") for c in level], *[F.col(v[c]).alias(c) for c in flow])
-    every = smooth.unionByName(lead).unionByName(read)
-    grid = every.groupBy(*s, "slot").agg(F.max("carried_id").alias("carried_id"), F.max_by("own.id", "own").alias("own_id"), *[F.max(n).alias(n) for n in out], *[F.max_by(f"own_{c}", "own").alias(f"own_{c}") for c in level], *[F.sum(c).alias(c) for c in flow])
-    status = F.when(F.col("own_id").isNotNull(), "read").when(F.col("carried_id") >= 0, "carried").otherwise("gap")
-    return grid.select(
-        *[F.col(a).alias(c) for c, a in zip(source, s)],
-        F.col("slot").cast("long").alias("slot"),
-        status.alias("status"),
-        F.coalesce("own_id", "carried_id", F.lit(-1)).cast("long").alias("reading_id"),
-        *[F.coalesce(f"own_{c}", c).alias(c) for c in level],
+        inside = inside & F.col(f"{c}_smooth").isNotNull()
+    carrier = F.when(after, F.col("own")).otherwise(F.struct(F.col("p1.id").alias("id"), *[F.col(f"p1.{x}").alias(x) for x in v.values()]))
+    fresh = at - F.when(after, us("ts")).otherwise(us("p1.ts")) <= max_gap * 1_000_000
+    rows = rows.withColumn("status", F.when(read, "read").when(inside, "filled").when(fresh, "carried").otherwise("gap"))
+    known = F.when(F.col("status") != "gap", F.when(F.col("status") == "read", F.col("own")).otherwise(carrier))
+    rows = rows.withColumn("known", known)
+    made = rows.select(
+        *s,
+        "slot",
+        "status",
+        F.coalesce("known.id", F.lit(-1)).cast("long").alias("reading_id"),
+        *[F.col(f"known.{v[c]}").alias(c) for c in level],
         *[f"{c}_smooth" for c in level],
-        *flow,
+        *[F.when(F.col("status") == "read", F.col(f"sum_{c}")).otherwise(F.lit(0.0)).alias(c) for c in flow],
+    )
+    unread = unread.select(
+        *s,
+        F.explode(F.sequence(_second(F.col("src_lo")), _second(F.col("src_hi")))).alias("slot"),
+        F.lit("gap").alias("status"),
+        F.lit(-1).cast("long").alias("reading_id"),
+        *[F.lit(None).cast("double").alias(c) for c in [*level, *[f"{c}_smooth" for c in level]]],
+        *[F.lit(0.0).alias(c) for c in flow],
     )
+    return made.unionByName(unread).select(*[F.col(a).alias(c) for c, a in zip(source, s)], F.col("slot").cast("long").alias("slot"), "status", "reading_id", *level, *[f"{c}_smooth" for c in level], *flow)
+
+
+def missing_slots(series: DataFrame) -> DataFrame:
+    """The seconds of a regular_series() without a usable reading, with what is carried into them (-1: marked as a gap)."""
+    return series.where("status <> 'read'").drop("status")

@@ -53,14 +53,18 @@ def _readings(spark: SparkSession, d: str, values: list[str]) -> DataFrame:
     return regular.last_copies(table(spark, d, "mbo_full_book_1s"), "reading_id", "recv_at", ["symbol", "session_date"], "ts", values)
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    readings = _readings(spark, d, ["best_bid", "close", "volume"]).drop("v0", "v1", "v2")
-    return regular.missing_slots(readings, ["symbol", "session_date"]).drop("session_date")
+def _series(spark: SparkSession, d: str) -> DataFrame:
+    values = ["best_bid", "close", "volume"]
+    return regular.regular_series(_readings(spark, d, values), ["symbol", "session_date"], values, ["best_bid", "close"], ["volume"])
 
 
 def p4_series(spark: SparkSession, d: str) -> DataFrame:
-    values = ["best_bid", "close", "volume"]
-    return regular.regular_series(_readings(spark, d, values), ["symbol", "session_date"], values, ["best_bid", "close"], ["volume"])
+    smooth = {c: F.round(c, 6) for c in ("best_bid_smooth", "close_smooth")}
+    return _series(spark, d).withColumns(smooth | {"session_date": F.date_format("session_date", "yyyy-MM-dd")}).withColumnRenamed("session_date", "day")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return regular.missing_slots(_series(spark, d)).select("symbol", "slot", "reading_id")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -101,6 +105,59 @@ WITH last AS (
   FROM spine s LEFT JOIN daily d USING (run_id, day)
 )
 """
+def _p4_level(c: str) -> dict[str, str]:
+    """SQL of one level's slopes, tangents and cubic."""
+    inner = lambda d0, d1, h0, h1: f"CASE WHEN {d0} * {d1} > 0 THEN ((2 * {h1} + {h0}) + ({h1} + 2 * {h0})) / ((2 * {h1} + {h0}) / {d0} + ({h1} + 2 * {h0}) / {d1}) ELSE 0 END"
+
+    def end(d0: str, d1: str, h0: str, h1: str) -> str:
+        m = f"(((2 * {h0} + {h1}) * {d0} - {h0} * {d1}) / ({h0} + {h1}))"
+        return f"CASE WHEN sign({m}) <> sign({d0}) THEN 0 WHEN sign({d0}) <> sign({d1}) AND abs({m}) > 3 * abs({d0}) THEN 3 * {d0} ELSE {m} END"
+
+    d, dp, dn = f"d_{c}", f"dp_{c}", f"dn_{c}"
+    return {
+        "slopes": f"(p1_{c} - p2_{c}) / hp AS {dp}, (l_{c} - p1_{c}) / h AS {d}, (n1_{c} - l_{c}) / hn AS {dn}",
+        "tangents": f"CASE WHEN hp IS NOT NULL THEN {inner(dp, d, 'hp', 'h')} WHEN hn IS NOT NULL THEN {end(d, dn, 'h', 'hn')} ELSE {d} END AS m0_{c}, CASE WHEN hn IS NOT NULL THEN {inner(d, dn, 'h', 'hn')} WHEN hp IS NOT NULL THEN {end(d, dp, 'h', 'hp')} ELSE {d} END AS m1_{c}",
+        "cubic": f"CASE WHEN h IS NOT NULL THEN (2 * (u * u * u) - 3 * (u * u) + 1) * p1_{c} + ((u * u * u) - 2 * (u * u) + u) * h * m0_{c} + (3 * (u * u) - 2 * (u * u * u)) * l_{c} + ((u * u * u) - (u * u)) * h * m1_{c} WHEN slot * 1000000 = us AND hn IS NOT NULL THEN l_{c} END",
+    }
+
+
+_L = {c: _p4_level(c) for c in ("bid", "close")}
+_P4_SERIES = f"""
+WITH last AS (
+  SELECT *, row_number() OVER (PARTITION BY reading_id ORDER BY recv_at DESC) AS n FROM mbo_full_book_1s
+), r AS (
+  SELECT symbol, session_date, epoch_us(ts) AS us, reading_id AS id, floor(epoch_us(ts) / 1000000)::BIGINT AS sec, best_bid AS l_bid, "close" AS l_close, volume,
+         coalesce(best_bid::VARCHAR <> 'nan' AND "close"::VARCHAR <> 'nan' AND volume IS NOT NULL, false) AS usable
+  FROM last WHERE n = 1 AND ts IS NOT NULL
+), slots AS (
+  SELECT symbol, session_date, unnest(generate_series(min(sec), max(sec))) AS slot FROM r GROUP BY symbol, session_date
+), own AS (
+  SELECT symbol, session_date, sec, arg_max(id, struct_pack(a := us, b := id)) AS id, arg_max(l_bid, struct_pack(a := us, b := id)) AS bid, arg_max(l_close, struct_pack(a := us, b := id)) AS c, sum(volume) AS volume
+  FROM r WHERE usable GROUP BY symbol, session_date, sec
+), near AS (
+  SELECT *, lag(us) OVER w AS p1, lag(us, 2) OVER w AS p2, lead(us) OVER w AS n1, lag(l_bid) OVER w AS p1_bid, lag(l_bid, 2) OVER w AS p2_bid, lead(l_bid) OVER w AS n1_bid,
+         lag(l_close) OVER w AS p1_close, lag(l_close, 2) OVER w AS p2_close, lead(l_close) OVER w AS n1_close
+  FROM r WHERE usable WINDOW w AS (PARTITION BY symbol, session_date ORDER BY us, id)
+), gaps AS (
+  SELECT *, CASE WHEN us > p1 AND us - p1 <= 30000000 THEN (us - p1) / 1000000.0::DOUBLE END AS h, CASE WHEN p1 > p2 AND p1 - p2 <= 30000000 THEN (p1 - p2) / 1000000.0::DOUBLE END AS hp,
+         CASE WHEN n1 > us AND n1 - us <= 30000000 THEN (n1 - us) / 1000000.0::DOUBLE END AS hn, row_number() OVER (PARTITION BY symbol, session_date, us ORDER BY id) AS one FROM near
+), slopes AS (SELECT *, {_L["bid"]["slopes"]}, {_L["close"]["slopes"]} FROM gaps WHERE one = 1
+), tangents AS (SELECT *, {_L["bid"]["tangents"]}, {_L["close"]["tangents"]} FROM slopes
+), before AS (SELECT symbol, session_date, us, max(id) AS id, arg_max(l_bid, id) AS bid, arg_max(l_close, id) AS c FROM r WHERE usable GROUP BY symbol, session_date, us
+), carried AS (
+  SELECT s.symbol, s.session_date, s.slot, b.us AS b_us, b.id AS b_id, b.bid AS b_bid, b.c AS b_c FROM (SELECT *, slot * 1000000 AS t0 FROM slots) s
+  ASOF LEFT JOIN before b ON s.symbol = b.symbol AND s.session_date = b.session_date AND s.t0 >= b.us
+), placed AS (
+  SELECT a.*, t.* EXCLUDE (symbol, session_date), CASE WHEN a.t0 = t.us THEN 1.0::DOUBLE ELSE (a.t0 - t.p1) / 1000000.0::DOUBLE / h END AS u FROM (SELECT *, slot * 1000000 AS t0 FROM carried) a
+  ASOF LEFT JOIN tangents t ON a.symbol = t.symbol AND a.session_date = t.session_date AND a.t0 <= t.us
+), cubic AS (SELECT *, {_L["bid"]["cubic"]} AS bid_smooth, {_L["close"]["cubic"]} AS close_smooth FROM placed)
+SELECT p.symbol, strftime(p.session_date, '%Y-%m-%d') AS day, p.slot::BIGINT AS slot,
+       CASE WHEN o.id IS NOT NULL THEN 'read' WHEN h IS NOT NULL THEN 'filled' WHEN p.t0 - b_us <= 30000000 THEN 'carried' ELSE 'gap' END AS status,
+       coalesce(o.id, CASE WHEN p.t0 - b_us <= 30000000 THEN b_id END, -1)::BIGINT AS reading_id,
+       coalesce(o.bid, CASE WHEN p.t0 - b_us <= 30000000 THEN b_bid END) AS best_bid, coalesce(o.c, CASE WHEN p.t0 - b_us <= 30000000 THEN b_c END) AS close,
+       round(bid_smooth, 6) AS best_bid_smooth, round(close_smooth, 6) AS close_smooth, coalesce(o.volume, 0)::DOUBLE AS volume
+FROM cubic p LEFT JOIN own o ON p.symbol = o.symbol AND p.session_date = o.session_date AND p.slot = o.sec
+"""
 _P7 = """
 WITH once AS (
   SELECT *, min(arrived_at) OVER (PARTITION BY snapshot_id) AS arr, row_number() OVER (PARTITION BY snapshot_id ORDER BY arrived_at) AS n FROM options_oi_snapshot
@@ -167,6 +224,7 @@ SELECT m.symbol, m.slot::BIGINT AS slot, (CASE WHEN m.slot * 1000000 - epoch_us(
 FROM (SELECT *, make_timestamp(slot * 1000000) AS at FROM missing) m
 ASOF LEFT JOIN (SELECT * FROM r WHERE usable) u ON m.symbol = u.symbol AND m.session_date = u.session_date AND m.at >= u.ts
 """,
+    "p4_series": _P4_SERIES,
     "p6_found": """
 WITH last AS (
   SELECT *, row_number() OVER (PARTITION BY instrument_id, session_date ORDER BY loaded_at DESC) AS n FROM options_5m_contracts

@@ -220,7 +220,8 @@ def test_missing_slots_equal_brute_force(spark):
     rows = reading_rows(8)
     df = spark.createDataFrame(rows, READ)
     readings = regular.last_copies(df, "reading_id", "recv_at", ["symbol", "session_date"], "ts", ["best_bid", "close", "volume"])
-    got = {(g.symbol, g.slot): g.reading_id for g in regular.missing_slots(readings, ["symbol", "session_date"], 30, 60).collect()}
+    series = lambda x: regular.regular_series(x, ["symbol", "session_date"], ["best_bid", "close", "volume"], ["best_bid", "close"], ["volume"], 30, 60)
+    got = {(g.symbol, g.slot): g.reading_id for g in regular.missing_slots(series(readings)).collect()}
     last = {}
     for x in rows:
         if x[0] not in last or x[7] > last[x[0]][7]:
@@ -237,7 +238,7 @@ def test_missing_slots_equal_brute_force(spark):
                 before = [x for x in ok if sec(x[3]) <= slot]
                 want[s, slot] = before[-1][0] if before and slot - sec(before[-1][3]) <= 30 else -1
     assert got == want
-    assert regular.missing_slots(readings.limit(0), ["symbol", "session_date"]).count() == 0
+    assert regular.missing_slots(series(readings.limit(0))).count() == 0
 
 
 def test_series_interpolates_without_overshoot(spark):
@@ -250,7 +251,7 @@ def test_series_interpolates_without_overshoot(spark):
     assert all(a <= b + 1e-12 for a, b in zip(y[:13], y[1:14]) if b is not None)
     assert all(v == pytest.approx(2.0) for v in y[4:9])
     by = {g.slot - first: g for g in got}
-    assert by[2].status == "carried" and by[2].best_bid == 1.0 and by[2].volume == 0
+    assert by[2].status == "filled" and by[2].best_bid == 1.0 and by[2].volume == 0
     assert by[43].status == "carried" and by[43].best_bid_smooth is None
     assert by[44].status == "gap" and by[44].best_bid is None and by[100].status == "read"
 
