@@ -66,7 +66,7 @@ def latest_copies(df: DataFrame, feed: Feed, epoch_size: int = 4096) -> DataFram
     extra = [F.col(feed.txn).alias("txn"), F.col(feed.txn_size).alias("txn_size")] if feed.txn else []
     rows = df.select(
         *[F.col(c).alias(a) for c, a in zip(feed.table, t)],
-        F.expr(f"floor(`{feed.seq}` / {epoch_size})").cast("int").alias("epoch"),
+        F.expr(f"(`{feed.seq}` - pmod(`{feed.seq}`, {epoch_size})) DIV {epoch_size}").alias("epoch"),
         F.col(feed.seq).cast("long").alias("seq"),
         F.col(feed.arrived).alias("arrived"),
         feed.op.cast("tinyint").alias("op"),
@@ -74,7 +74,7 @@ def latest_copies(df: DataFrame, feed: Feed, epoch_size: int = 4096) -> DataFram
         F.col(feed.amount).alias("amount"),
         *[F.col(c).alias(a) for c, a in zip(feed.payload, p)],
         *extra,
-    ).where(F.col("seq").isNotNull() & F.col("arrived").isNotNull() & ~F.greatest(*[F.col(c).isNull() for c in t], F.lit(False)))
+    ).where(F.col("seq").isNotNull() & F.col("epoch").isNotNull() & F.col("arrived").isNotNull() & ~F.greatest(*[F.col(c).isNull() for c in t], F.lit(False)))
     last = Window.partitionBy(*t, "epoch", "seq").orderBy(
         F.desc("arrived"), F.desc("op"), F.desc("key"), F.desc("amount"), *[F.desc(c) for c in p]
     )
