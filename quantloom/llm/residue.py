@@ -1,19 +1,31 @@
 """Template residue, filler and error pages in a corpus.
 
-Records that came from one template are aligned: a text is cut into units
-(sentences, lines, form fields), numbers, dates, tickers and anything that has
-the form of a placeholder become slots, and what remains is the unit's
-skeleton. Units of equal skeleton are records of one template. Over the corpus
-each slot is known by what it holds:
-
-- a slot that other records fill, or that holds different names in different
-  records, is a real slot; a record that still shows a variable name, a
-  default or a blank there is residue;
-- a slot that always holds the same words is residue too, however often it
-  occurs, unless its sentence speaks of them (an instruction how to write them,
-  or words such as "the placeholder" beside them);
-- a short word in weak brackets in such a slot counts only if its name is one
-  that real slots carry elsewhere in the corpus.
+Records that came from one template are aligned and its slots induced from
+what differs between them, whatever it looks like. A text is cut into units
+(sentences, lines, form fields); numbers, dates and tickers are masked, which
+gives the unit's form. Two alignments of all forms of the corpus:
+
+- whole units: forms that are equal once placeholders are masked as well are
+  records of one template; a slot that others fill, or that holds different
+  names in different records, is real;
+- by what stands around: a gap of up to three words between equal neighbours
+  (up to three words or marks on each side, three at least) holds different
+  words in different records; a gap with four or more fillers is a slot. The
+  gaps of suspected left-overs are looked up among the forms of all units, so
+  words become slots without looking like placeholders.
+
+What a slot retains is residue: a variable name, a default or a blank where
+other records have a value.
+
+- a form that no ordinary prose has ({{author}}, <<day>>, ____) is residue in
+  any slot, even one that always holds the same words, unless its sentence
+  speaks of it (an instruction how to write it, or words such as "the
+  placeholder" beside it);
+- a word in weak brackets counts in a real slot, or if its name is one that
+  real slots carry elsewhere in the corpus;
+- a bare variable name (customer_name, FIRST NAME), a bare default (undefined,
+  N/A) and a blank (a space too many, or before a comma or full stop) count
+  only in a slot induced by what other records hold there.
 
 Placeholders that are quoted or stand in code are spoken of, not left over.
 Units that only ever make up whole pages, never part of other texts, are page
@@ -24,9 +36,11 @@ A longer text with a notice is judged twice: first by the texts that are plain
 (short ones make page units, longer ones without a notice content), then with
 its own units counted on the side on which it came out.
 
-One pass over the texts in Python yields small rows, kept in the shared folder;
-all statistics are Spark aggregates over the whole corpus (counts, minimum,
-maximum: nothing is gathered).
+One pass over the texts in Python yields small rows and the forms, kept as a
+table in the shared folder; the gaps are looked up in one pass over the
+distinct forms, behind a bitmap of fixed size; all statistics are Spark
+aggregates over the whole corpus (counts, minimum, maximum: nothing is
+gathered).
 """
 
 from __future__ import annotations
@@ -35,59 +49,61 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.session import cut
+from quantloom.session import kept
 
 # Forms of placeholders that no ordinary prose has.
 STRONG = [
-    r"\$?\$\{[^{}\n]{1,40}\}",
-    r"#\{[^{}\n]{1,40}\}",
-    r"\{\{\{?[^{}\n]{1,40}\}\}\}?",
-    r"\{%[^%\n]{1,40}%\}",
-    r"\{!?[A-Za-z_][A-Za-z_. ]{0,40}\}",
+    r"\$?\$\{[^{}\n]+\}",
+    r"#\{[^{}\n]+\}",
+    r"\{\{\{?[^{}\n]+\}\}\}?",
+    r"\{%[^%\n]+%\}",
+    r"\{!?[A-Za-z_][A-Za-z_. ]*\}",
     r"\{\d\}",
-    r"<%=?[^%\n]{1,40}%>",
-    r"<<[^<>\n]{1,40}>>",
-    r"<[A-Za-z ]{1,40} goes here>",
+    r"<%=?[^%\n]+%>",
+    r"<<[^<>\n]+>>",
+    r"<[A-Za-z ]+ goes here>",
     r"<[A-Z]+(?:_[A-Z]+)+>",
-    r"\[\[[^\[\]\n]{1,40}\]\]",
-    r"\[(?i:your|insert|enter|add) [^\[\]\n]{1,40}\]",
+    r"\[\[[^\[\]\n]+\]\]",
+    r"\[(?i:your|insert|enter|add) [^\[\]\n]+\]",
     r"\[[A-Z]+(?:_[A-Z]+)+\]",
     r"%\([A-Za-z_]+\)[sdf]",
     r"%[A-Z][A-Z_]+%",
-    r"\*\|[^|\n]{1,40}\|\*",
+    r"\*\|[^|\n]+\|\*",
     r"@@[A-Za-z_]+@@",
     r"\$\$[A-Za-z_]+\$\$",
     r"\$[A-Z]+(?:_[A-Z]+)+\b",
-    r"\((?i:[a-z ]{1,40} to be (?:inserted|filled in|added|completed|confirmed))\)",
-    r"&lt;[A-Za-z_ ]{1,40}&gt;",
+    r"\((?i:[a-z ]+ to be (?:inserted|filled in|added|completed|confirmed))\)",
+    r"&lt;[A-Za-z_ ]+&gt;",
     r"%\d+\$[sdf]",
-    r"(?<![_\w])_{4,24}(?![_\w])",
+    r"(?<![_\w])_{4,}(?![_\w])",
 ]
 # Forms that prose has as well; the name decides.
 WEAK = [
-    r"\[[A-Za-z][A-Za-z_]{0,30}\]",
-    r"<[A-Za-z][A-Za-z_]{0,30}>",
-    r"(?<![\w:]):[a-z][a-z_]{1,30}:(?![\w:])",
+    r"\[[A-Za-z][A-Za-z_]*\]",
+    r"<[A-Za-z][A-Za-z_]*>",
+    r"(?<![\w:]):[a-z][a-z_]+:(?![\w:])",
     r"\$[A-Z]{3,}\b",
-    r"(?<!\w)%[A-Za-z_]{2,30}%",
-    r"(?<!\w)__[A-Za-z][A-Za-z_]{1,30}__(?!\w)",
+    r"(?<!\w)%[A-Za-z_]{2,}%",
+    r"(?<!\w)__[A-Za-z][A-Za-z_]+__(?!\w)",
     r"(?<!\w)@[a-z]+_[a-z_]+\b",
     r"\b(?:TBD|TBC|TODO|FIXME)\b",
-    *[rf"(?<![\w{m}]){m}{{1,3}}[A-Za-z][A-Za-z_]{{1,30}}{m}{{1,3}}(?![\w{m}])" for m in (r"\?", "~", r"\^", "#", r"\|", "=", "!", "§")],
+    *[rf"(?<![\w{m}]){m}{{1,3}}[A-Za-z][A-Za-z_]+{m}{{1,3}}(?![\w{m}])" for m in (r"\?", "~", r"\^", "#", r"\|", "=", "!", "§")],
 ]
 # What stands before or after a placeholder that is spoken of.
 SPOKEN_BEFORE = regex.compile(
     r"""(?ix)
-      ^\W*(?:please\s+)?(?:mark|tag|label|write|note|enter|type|record|flag|list|name|spell|denote|log)\b[^.;:]{0,80}\bas\s*$
-    | ^\W*(?:schreiben|markieren|notieren|kennzeichnen|bezeichnen)\s+sie\b[^.;:]{0,80}\bals\s*$
-    | ^\W*(?:écrivez|notez|marquez|indiquez|saisissez)\b[^.;:]{0,80}\bcomme\s*$
-    | ^\W*(?:escriba|anote|marque|indique|introduzca)\b[^.;:]{0,80}\bcomo\s*$
+      ^\W*(?:please\s+)?(?:mark|tag|label|write|note|enter|type|record|flag|list|name|spell|denote|log)\b[^.;:]*\bas\s*$
+    | ^\W*(?:schreiben|markieren|notieren|kennzeichnen|bezeichnen)\s+sie\b[^.;:]*\bals\s*$
+    | ^\W*(?:écrivez|notez|marquez|indiquez|saisissez)\b[^.;:]*\bcomme\s*$
+    | ^\W*(?:escriba|anote|marque|indique|introduzca)\b[^.;:]*\bcomo\s*$
     | \b(?:placeholders?|variables?|macros?|merge\s+fields?|wildcards?|platzhaltern?|variablen|marcador(?:es)?|espaces?\s+réservés?)\s+(?:(?:called|named|such\s+as|like|namens|wie|llamad[oa]s?|como|nommée?s?|comme)\s+)?$
     """
 )
@@ -99,34 +115,34 @@ LATIN = set(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum "
     "metus nullam libero donec tempus justo massa turpis faucibus eget pretium vitae sapien orci mauris felis augue nibh luctus ligula porta ac vel ante arcu at auctor bibendum blandit condimentum congue convallis cras curabitur cursus dapibus diam dictum dignissim dui egestas eleifend elementum erat eros etiam euismod facilisis fames fermentum feugiat finibus fringilla fusce gravida habitant hendrerit iaculis imperdiet integer interdum lacinia lacus laoreet lectus leo lobortis maecenas magnis malesuada mattis maximus molestie mi morbi nec neque netus nunc odio ornare pellentesque pharetra phasellus placerat porttitor posuere potenti praesent primis proin pulvinar purus quam quisque rhoncus risus rutrum sagittis scelerisque sem semper senectus sodales sollicitudin suscipit suspendisse tellus tincidunt tortor tristique ullamcorper ultrices ultricies urna varius vehicula venenatis vestibulum vivamus viverra volutpat vulputate".split()
 )
-LATIN_LONG = {w + end for w in LATIN if len(w) >= 4 for end in ("", *".,;:!?")}
 # Prompts to write something, in the languages of the corpus.
 PROMPTS = regex.compile(
     r"""(?ix) \W*(?:
-      (?:please\s+)?(?:enter|write|type|add|insert|put|describe|paste|provide)\s+(?:a|an|your|the|some)\b.{0,60}\bhere\b.{0,60}
-    | your\s.{1,40}\s(?:goes\s|text\s)?here
-    | click\s+(?:here\s+)?to\s+(?:edit|add|change)\b.{0,60}
-    | placeholder\s+(?:paragraph|text|copy)\b.{0,80}
-    | (?:this\s+is\s+)?(?:some\s+)?(?:sample|dummy|filler|example)\s+(?:text|copy|content|paragraph)\b.{0,80}
-    | replace\s+(?:it|this(?:\s+text)?)\s+with\s+your\s+own.{0,20}
+      (?:please\s+)?(?:enter|write|type|add|insert|put|describe|paste|provide)\s+(?:a|an|your|the|some)\b.*\bhere\b.*
+    | your\s.+\s(?:goes\s|text\s)?here
+    | click\s+(?:here\s+)?to\s+(?:edit|add|change)\b.*
+    | placeholder\s+(?:paragraph|text|copy)\b.*
+    | (?:this\s+is\s+)?(?:some\s+)?(?:sample|dummy|filler|example)\s+(?:text|copy|content|paragraph)\b.*
+    | replace\s+(?:it|this(?:\s+text)?)\s+with\s+your\s+own.*
     | keep\s+it\s+to\s+two\s+or\s+three\s+lines
-    | (?:text|content|copy)\s+(?:to\s+(?:come|follow)|coming\s+soon).{0,20}
-    | (?:beispiel|blind|platzhalter|muster)text\b.{0,60}
-    | (?:hier|bitte)\s+(?:.{0,20}\s)?text\s+(?:eingeben|einfügen|einsetzen|ergänzen).{0,40}
-    | (?:ihr|dein)\s+text\s+(?:steht\s+)?hier.{0,20}
-    | hier\s+(?:steht|kommt)\s+(?:ihr|dein)\s+text.{0,60}
-    | ici\s+(?:vient\s+)?votre\s+texte.{0,60}
-    | aquí\s+(?:va\s+)?(?:su|tu|el)\s+texto.{0,60}
-    | (?:geben|fügen|schreiben)\s+sie\s+hier\s.{0,60}
-    | texte\s+(?:de\s+remplissage|d['’]exemple|provisoire)\b.{0,60}
-    | votre\s+(?:texte|contenu)\s+ici.{0,20}
-    | (?:saisissez|entrez|écrivez|insérez|ajoutez)\s.{0,30}\bici\b.{0,40}
-    | texto\s+(?:de\s+(?:ejemplo|relleno)|provisional)\b.{0,60}
-    | (?:su|tu)\s+texto\s+aquí.{0,20}
-    | (?:escriba|introduzca|inserte|añada|escribe)\s+aquí\b.{0,60}
+    | (?:text|content|copy)\s+(?:to\s+(?:come|follow)|coming\s+soon).*
+    | (?:beispiel|blind|platzhalter|muster)text\b.*
+    | (?:hier|bitte)\s+(?:.*\s)?text\s+(?:eingeben|einfügen|einsetzen|ergänzen).*
+    | (?:ihr|dein)\s+text\s+(?:steht\s+)?hier.*
+    | hier\s+(?:steht|kommt)\s+(?:ihr|dein)\s+text.*
+    | ici\s+(?:vient\s+)?votre\s+texte.*
+    | aquí\s+(?:va\s+)?(?:su|tu|el)\s+texto.*
+    | (?:geben|fügen|schreiben)\s+sie\s+hier\s.*
+    | texte\s+(?:de\s+remplissage|d['’]exemple|provisoire)\b.*
+    | votre\s+(?:texte|contenu)\s+ici.*
+    | (?:saisissez|entrez|écrivez|insérez|ajoutez)\s.*\bici\b.*
+    | texto\s+(?:de\s+(?:ejemplo|relleno)|provisional)\b.*
+    | (?:su|tu)\s+texto\s+aquí.*
+    | (?:escriba|introduzca|inserte|añada|escribe)\s+aquí\b.*
     )\W*$"""
 )
-PROMPT_WORDS = re.compile(r"here|click|placeholder|sample|dummy|filler|example|replace|keep it|text|copy|content|ici|aquí|hier|relleno|ejemplo|provisional|provisoire")
+# One of these stands in whatever PROMPTS finds.
+PROMPT_WORDS = "here click placeholder sample dummy filler example replace keep text copy content ici aquí hier relleno ejemplo provisional provisoire".split()
 # A prompt starts a unit, a capitalised word or what follows a mark of separation.
 PROMPT_START = re.compile(r"^\S|(?<=\s)[^\w\s]{0,3}[A-ZÉÁ]\S|(?<=[:–—|>=-])\s*[^\w\s]{0,3}[^\W\d]|(?<=[(\[*])[A-ZÉÁ]\S")
 #: A run of so many words of dummy text, so many of them different ones of four letters or more, is no chance.
@@ -162,7 +178,7 @@ BESIDE = regex.compile(
 # The line of a trace that is followed by a line of code.
 TRACE = regex.compile(r"(?i)^file\b.{0,200},\s+line\s+\d+")
 # One of these stands in whatever NOTICE finds (tested against it); saves time.
-STEMS = "error erreur fehler http forbidden found gateway unavailable timeout time-out gone nginx apache could introuvable encontrada gefunden timed connection answer certificate requests maintenance denied verweigert denegado refusé permission blocked expired abgelaufen caducado expiré sign limit script js skript unable wrong unexpected available exist traceback stopped cannot checking taken nothing broken".split()
+STEMS = "error erreur fehler http forbidden gateway unavailable timeout time-out gone nginx apache could introuvable encontrada gefunden timed connection answer certificate requests maintenance denied verweigert denegado refusé permission blocked expired abgelaufen caducado expiré limit script js skript unable unexpected available exist traceback stopped cannot checking taken broken".split() + ["not found", "not_found", "not-found", "sign in", "nothing here", "went wrong"]
 # Lines that only serve to move about a page.
 NAVIGATION = regex.compile(r"(?i)^[\s«»|<>/·•-]*(?:(?:skip to content|back to (?:overview|top|start|list)|home|charts|help|menu|login|log in|contact|previous|next|about|search|imprint|overview)[\s«»|<>/·•-]*)+$")
 TAGS = regex.compile(r"</?(?:html|head|body|title|div|p|h[1-6]|hr|br|noscript|span|center|b|i|em|strong|pre|section|article|main|meta|ul|ol|li|a|table|tr|td|th)(?:\s[^<>]*)?/?>", regex.I)
@@ -172,10 +188,49 @@ LINES = re.compile(r"[\r\n\v\f\x85  ]+")
 SENTENCES = regex.compile(r"(?<=[.?!])[\s﻿]+(?=[\p{Lu}¿¡\"“«'`\[\{<$%#@*:(_-]|[\p{So}])")
 CANDIDATE = re.compile("|".join([f"(?P<s{i}>{p})" for i, p in enumerate(STRONG)] + [f"(?P<w{i}>{p})" for i, p in enumerate(WEAK)]))
 VALUE = re.compile(r"\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{8,}\b|[-+−]?\d+(?:[.,:/-]\d+)*|\b[A-Z]{3}\b")
-MAY_OPEN = re.compile(r"[\[{<%$@*_&?~^#|=!§]\s?[\w({%$!#@|&]|:\w+:|to be |\bTB[DC]\b|TODO|FIXME")
-SLOT = "\x00"
+MAY_OPEN = re.compile(r"[\[{<%$@*_&?~^#|=!§]\s?[\w({%$!#@|&]")
+MAY_OPEN_COLON = re.compile(r":\w+:")
+# Words that stand in the placeholders that have no mark.
+OPEN_WORDS = ["to be ", "tbd", "tbc", "todo", "fixme"]
+# What a slot may retain that is no placeholder by its form; counts only in an induced slot.
+BARE = re.compile(r"(?<![\w.@/\\])[a-z]+(?:_[a-z]+)+(?![\w(@/\\])|\b[A-Z]{2,}(?:[ _][A-Z]{2,})+\b|(?<![\w.])(?:undefined|null|None|NaN|N/A)(?!\w)|(?<=\w)\s(?=[,.](?:\s|$))|\x02")
+MAY_BARE = re.compile(r"[a-z]_[a-z]|[A-Z]{2}[ _][A-Z]{2}|undefined|null|None|NaN|N/A|\w [,.]|\x02")
+#: A run of blanks between words of a line whose other gaps are single.
+WIDE = re.compile(r"(?<=[\w,])  +(?=\w)")
+SLOT, OPEN = "\x00", "\x03"
+#: Words and marks of a form, as gaps see them.
+TOKENS = re.compile(r"[,;:.!?()]|[^\s,;:.!?()]+")
+MARKS = frozenset(",;:.!?()")
+#: Neighbours of a gap on each side, the fewest of them in all, words in a gap, fillers of a slot.
+SIDE, LEAST, WIDTH, VARIES = 3, 3, 3, 4
+#: Bits of the bitmap of gaps looked for: 1 MB, whatever the corpus.
+BITMAP = 1 << 23
 #: A text of up to so many units, heading and navigation apart, shows page units by itself; of longer ones the notice decides.
 SHORT = 5
+SAYS_STEM, PROMPT_STEM, LATIN_STEM, OPEN_STEM = 1, 2, 4, 8
+
+
+def _stems() -> ahocorasick.Automaton:
+    """One automaton for all words without which a costlier pattern finds nothing."""
+    found: dict[str, int] = {}
+    for flag, words in ((SAYS_STEM, STEMS), (PROMPT_STEM, PROMPT_WORDS), (LATIN_STEM, [w for w in LATIN if len(w) >= 4]), (OPEN_STEM, OPEN_WORDS)):
+        for w in words:
+            found[w] = found.get(w, 0) | flag
+    out = ahocorasick.Automaton()
+    for w, flag in found.items():
+        out.add_word(w, flag)
+    out.make_automaton()
+    return out
+
+
+STEM_SEARCH = _stems()
+
+
+def stems(low: str) -> int:
+    flags = 0
+    for _, flag in STEM_SEARCH.iter(low):
+        flags |= flag
+    return flags
 
 
 def _name(value: str) -> str:
@@ -185,10 +240,6 @@ def _name(value: str) -> str:
     return re.sub(r"_+", "_", re.sub(r"[^a-zA-Z0-9]+", "_", words)).strip("_").lower()
 
 
-def _hash(skeleton: str) -> int:
-    return xxhash.xxh64_intdigest(skeleton.encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
 def _skeleton(unit: str) -> str:
     return VALUE.sub(SLOT, unit).lower().strip(" .,:;!?")
 
@@ -229,17 +280,18 @@ def latin_run(words: list[str]) -> bool:
     return False
 
 
-def is_filler(unit: str) -> bool:
+def is_filler(unit: str, low: str | None = None, flags: int | None = None) -> bool:
     """Dummy text or a prompt to write something, in place of content.
 
     A word three times in a row is dummy text wherever it stands; a prompt, or a
     run of dummy Latin, may follow a lead of any length on its line.
     """
-    low = unit.lower()
+    low = unit.lower() if low is None else low
+    flags = stems(low) if flags is None else flags
     raw = low.split()
     if len(raw) >= 3:
         repeats = len(raw) - len(set(raw)) >= 2
-        latin = len(raw) >= 4 and sum(w.strip(".,;:!?") in LATIN for w in raw[:4]) >= 3
+        latin = flags & LATIN_STEM and len(raw) >= 4 and sum(w.strip(".,;:!?") in LATIN for w in raw[:4]) >= 3
         if repeats or latin:
             words = [w for w in (w.strip(".,;:!?") for w in raw) if w]
             if any(a == b == c and len(a) > 2 and a.isalpha() for a, b, c in zip(words, words[1:], words[2:])):
@@ -248,42 +300,103 @@ def is_filler(unit: str) -> bool:
                 return True
             if 3 * len(set(words)) <= 2 * len(words) and repeated_phrase(words):
                 return True
-        if not LATIN_LONG.isdisjoint(raw) and latin_run(unit.split()):
+        if flags & LATIN_STEM and latin_run(unit.split()):
             return True
-    if not PROMPT_WORDS.search(low):
-        return False
-    return any(PROMPTS.match(unit, m.start()) for m in PROMPT_START.finditer(unit))
+    return bool(flags & PROMPT_STEM) and any(PROMPTS.match(unit, m.start()) for m in PROMPT_START.finditer(unit))
+
+
+def _digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _left(tokens: list[str], i: int) -> list[str]:
+    """The neighbours before position i, nearest last; a mask ends them, the start of the unit is one."""
+    out: list[str] = []
+    while len(out) < SIDE:
+        i -= 1
+        if i < 0:
+            return ["^", *out]
+        if SLOT in tokens[i] or OPEN in tokens[i]:
+            break
+        out.insert(0, tokens[i])
+    return out
+
 
+def _right(tokens: list[str], j: int) -> list[str]:
+    out: list[str] = []
+    while len(out) < SIDE:
+        if j >= len(tokens):
+            return [*out, "$"]
+        if SLOT in tokens[j] or OPEN in tokens[j]:
+            break
+        out.append(tokens[j])
+        j += 1
+    return out
 
-def _open_slots(unit: str, found: list) -> tuple[str, list[tuple[int, str, bool, bool]]]:
-    pieces, values, at, k, spoken = [], [], 0, 0, False
+
+def _gap(left: list[str], right: list[str]) -> int | None:
+    """The gap between these neighbours, None if they are too few to tell a template by."""
+    if sum(x not in "^$" for x in left) + sum(x not in "^$" for x in right) < LEAST:
+        return None
+    return _digest(" ".join(left) + "\x02" + " ".join(right))
+
+
+def _gaps_of(form: str) -> list[tuple[int | None, int]]:
+    """(gap, digest of its left side) of each OPEN of a form, in order."""
+    tokens = TOKENS.findall(form.replace(OPEN, f" {OPEN} "))
+    return [(_gap(left := _left(tokens, i), _right(tokens, i + 1)), _digest(" ".join(left))) for i, t in enumerate(tokens) if t == OPEN]
+
+
+def _masked(unit: str, spans: list[tuple[int, int]], mark: str) -> str:
+    pieces, at = [], 0
+    for a, b in spans:
+        pieces += [unit[at:a], mark]
+        at = b
+    return _skeleton("".join([*pieces, unit[at:]]))
+
+
+def _open_slots(unit: str, found: list) -> tuple[str, list[tuple]]:
+    """The form of a unit with placeholders; (form, slot, value, strong form, spoken of?, gap, left side) of each."""
+    values, at, k, spoken = [], 0, 0, False
     for m in found:
         before = unit[at : m.start()]
         k += len(VALUE.findall(before))
-        pieces += [before, SLOT]
-        spoken = (spoken and bool(SPOKEN_ON.match(before))) or bool(SPOKEN_BEFORE.search(unit, max(0, m.start() - 200), m.start()) or SPOKEN_AFTER.match(unit[m.end() : m.end() + 80]))
+        spoken = (spoken and bool(SPOKEN_ON.match(before))) or bool(SPOKEN_BEFORE.search(unit, 0, m.start()) or SPOKEN_AFTER.match(unit[m.end() :]))
         values.append((k, m.group(), m.lastgroup[0] == "s", spoken))
         k += 1
         at = m.end()
-    pieces.append(unit[at:])
-    return _skeleton("".join(pieces)), values
+    spans = [m.span() for m in found]
+    form, gaps = _masked(unit, spans, SLOT), _gaps_of(_masked(unit, spans, OPEN))
+    return form, [(form, *v, *g) for v, g in zip(values, gaps)]
+
+
+def _bare(unit: str) -> list[tuple]:
+    """(form, slot, value, strong form, spoken of?, gap, left side) of bare names, defaults and blanks; slot -1."""
+    found = list(BARE.finditer(unit))
+    spans = [m.span() for m in found]
+    form, gaps = _skeleton(unit.replace("\x02", " ")), _gaps_of(_masked(unit, spans, OPEN))
+    spoken = [bool(SPOKEN_BEFORE.search(unit, 0, m.start()) or SPOKEN_AFTER.match(unit[m.end() :])) for m in found]
+    return [(form, -1, m.group().strip("\x02"), False, x, *g) for m, x, g in zip(found, spoken, gaps) if g[0] is not None]
 
 
 def _units(text: str) -> Iterator[tuple[str, bool]]:
-    """(unit, heading?) of a text; a mark stands for what is quoted, code is left out."""
+    """(unit, heading?) of a text; a mark stands for what is quoted, one for a blank too wide, code is left out."""
     if "```" in text:
         text = FENCE.sub(" ", text)
     # Quoted passages are spoken of.
     text = QUOTED.sub(lambda m: " \x01 " if len(m.group()) > 12 or CANDIDATE.search(m.group()) else m.group(), text)
     if "<" in text:
         text = TAGS.sub("\n", text)
-    lines = [x for x in (" ".join(x.split()).strip(" \ufeff\u200b") for x in LINES.split(text)) if x]
+    lines = LINES.split(text)
+    if "  " in text:
+        lines = [WIDE.sub(" \x02 ", x) if 0 < 4 * len(WIDE.findall(x)) <= len(x.split()) else x for x in lines]
+    lines = [x for x in (" ".join(x.split()).strip(" \ufeff\u200b") for x in lines) if x]
     for n, line in enumerate(lines):
-        if len(line) < 80 and NAVIGATION.match(line):
+        if NAVIGATION.match(line):
             continue
-        heading = n == 0 and len(lines) > 1 and len(line.split()) <= 8 and line[-1:] not in ".!?…" and not NOTICE.search(line)
+        heading = n == 0 and len(lines) > 1 and line[-1:] not in ".!?…" and len(line.split()) <= 8 and not says_notice(line)
         for sentence in SENTENCES.split(line):
-            if MAY_OPEN.search(sentence):
+            if ": " in sentence and MAY_OPEN.search(sentence):
                 first = CANDIDATE.match(sentence)
                 if first and sentence[first.end() : first.end() + 2] == ": ":
                     yield sentence[: first.end() + 1], heading
@@ -293,48 +406,60 @@ def _units(text: str) -> Iterator[tuple[str, bool]]:
                 yield sentence, heading
 
 
-def says_notice(unit: str) -> bool:
-    low = unit.lower()
-    return any(x in low for x in STEMS) and bool(NOTICE.search(unit))
+def says_notice(unit: str, flags: int | None = None) -> bool:
+    flags = stems(unit.lower()) if flags is None else flags
+    return bool(flags & SAYS_STEM) and bool(NOTICE.search(unit))
 
 
-def analyse(text: str) -> tuple[list[str], list[tuple[str, int, str, bool, bool]], bool, list[tuple[str, bool, bool]], bool]:
-    """(filled skeletons, open slots, filler?, page units, short?) of one text.
+def analyse(text: str) -> tuple[list[str], list[tuple], bool, list[tuple[str, bool, bool]], bool]:
+    """(forms without placeholders, suspects, filler?, page units, short?) of one text.
 
-    Open slots: (skeleton, slot number, value, strong form, spoken of?). Page
-    units, all but the heading of a text that says a notice: (skeleton, says a
-    notice, goes along), each once.
+    Suspects: as of _open_slots() and _bare(). Page units, all but the heading
+    of a text that says a notice: (form, says a notice, goes along), each once.
     """
     filled: list[str] = []
-    open_: list[tuple[str, int, str, bool, bool]] = []
+    open_: list[tuple] = []
     content: list[tuple[str, str]] = []
+    says: list[bool] = []
     filler = False
-    n = 0
+    may_bare = MAY_BARE.search(text) is not None or "  " in text
     for unit, heading in _units(text):
-        filler = filler or ("\x01" not in unit and is_filler(unit.lstrip("-*• ")))
-        found = list(CANDIDATE.finditer(unit)) if MAY_OPEN.search(unit) else []
+        bare = may_bare and MAY_BARE.search(unit) is not None
+        suspects = _bare(unit) if bare else []
+        if "\x02" in unit:
+            unit = " ".join(unit.replace("\x02", " ").split())
+        low = unit.lower()
+        flags = stems(low)
+        quotes = "\x01" in unit
+        filler = filler or (not quotes and is_filler(unit.lstrip("-*• "), low, flags))
+        may = flags & OPEN_STEM or MAY_OPEN.search(unit) or (":" in unit and MAY_OPEN_COLON.search(unit))
+        found = list(CANDIDATE.finditer(unit)) if may and unit.strip("_ ") else []  # a line of underscores is a rule
         if found:
             skeleton, values = _open_slots(unit, found)
-            open_.extend((skeleton, *v) for v in values)
+            open_.extend(values)
         else:
             skeleton = _skeleton(unit)
             filled.append(skeleton)
+            open_.extend(suspects)
         if not heading:
-            n += 1
             content.append((skeleton, unit))
-    says = ["\x01" not in u and says_notice(u) for _, u in content]
+            says.append(not quotes and says_notice(unit, flags))
     page: dict = {}
     if any(says):
         before = ["", *(u for _, u in content)]
         page = dict.fromkeys((k, x, bool(BESIDE.search(u) or TRACE.search(b))) for (k, u), x, b in zip(content, says, before))
-    return filled, open_, filler, list(page), 0 < n <= SHORT
+    return filled, open_, filler, list(page), 0 < len(content) <= SHORT
 
 
-ROWS = "kind string, doc_id bigint, skeleton bigint, slot int, value string, name string, strong boolean, spoken boolean, text bigint, short boolean, notice boolean, beside boolean, long_n bigint, short_n bigint, maybe_n bigint"
+ROWS = "kind string, doc_id bigint, skeleton bigint, form string, slot int, value string, name string, strong boolean, spoken boolean, gap bigint, lead bigint, text bigint, short boolean, notice boolean, beside boolean, long_n bigint, short_n bigint, maybe_n bigint"
 _KINDS = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
 _SCHEMA = pa.schema([(c, _KINDS[kind]) for c, kind in (x.split() for x in ROWS.split(", "))])
 
 
+def _storable(form: str) -> str:
+    return form.encode("utf-8", "replace").decode()
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[dict] = []
@@ -344,19 +469,74 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             filled, open_, filler, page, short = analyse(text)
             counts["short_n" if short else "maybe_n" if page else "long_n"].update(set(filled))
-            for skeleton, slot, value, strong, spoken in open_:
-                out.append({"kind": "open", "doc_id": doc, "skeleton": _hash(skeleton), "slot": slot, "value": value, "name": _name(value), "strong": strong, "spoken": spoken})
+            for skeleton, slot, value, strong, spoken, gap, lead in open_:
+                out.append({"kind": "open", "doc_id": doc, "skeleton": _digest(skeleton), "slot": slot, "value": value, "name": _name(value), "strong": strong, "spoken": spoken, "gap": gap, "lead": lead})
             if filler:
                 out.append({"kind": "filler", "doc_id": doc})
             for skeleton, notice, beside in page:
-                out.append({"kind": "page", "doc_id": doc, "skeleton": _hash(skeleton), "text": _hash(text), "short": short, "notice": notice, "beside": beside})
+                out.append({"kind": "page", "doc_id": doc, "skeleton": _digest(skeleton), "text": _digest(text), "short": short, "notice": notice, "beside": beside})
         if keys := list(set().union(*counts.values())):
-            units = {"kind": ["unit"] * len(keys), "skeleton": [_hash(x) for x in keys]} | {c: [n[x] for x in keys] for c, n in counts.items()}
+            units = {"kind": ["unit"] * len(keys), "skeleton": [_digest(x) for x in keys], "form": [_storable(x) for x in keys]} | {c: [n[x] for x in keys] for c, n in counts.items()}
             yield pa.RecordBatch.from_arrays([pa.array(units[f.name], f.type) if f.name in units else pa.nulls(len(keys), f.type) for f in _SCHEMA], schema=_SCHEMA)
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
 
 
+def _bitmap(wanted: DataFrame) -> bytes | None:
+    """The bitmap of the digests in wanted.x, at most BITMAP / 64 words; None if there are none."""
+    bit = F.pmod("x", F.lit(BITMAP))
+    words = wanted.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(x & 63 AS INT))")).alias("bits")).collect()
+    if not words:
+        return None
+    out = np.zeros(BITMAP // 64, np.int64)
+    out[[w.word for w in words]] = [w.bits for w in words]
+    return out.tobytes()
+
+
+def _fillers(forms: DataFrame, wanted: bytes) -> DataFrame:
+    """(gap, filler): what stands in the gaps of the bitmap, over all forms, each once a batch."""
+    shared = forms.sparkSession.sparkContext.broadcast(wanted)  # BITMAP / 8 bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+
+        def asked(digest: int) -> bool:
+            at = digest % BITMAP
+            return bits[at >> 3] >> (at & 7) & 1
+
+        for batch in batches:
+            found = set()
+            for form in batch.column(0).to_pylist():
+                tokens = TOKENS.findall(form)
+                for i in range(len(tokens)):
+                    if tokens[i] in MARKS or SLOT in tokens[i]:
+                        continue
+                    left = _left(tokens, i)
+                    if not asked(_digest(" ".join(left))):
+                        continue
+                    for j in range(i + 1, min(i + WIDTH, len(tokens)) + 1):
+                        if tokens[j - 1] in MARKS or SLOT in tokens[j - 1]:
+                            break
+                        gap = _gap(left, _right(tokens, j))
+                        if gap is not None and asked(gap):
+                            found.add((gap, _digest(" ".join(tokens[i:j]))))
+            if found:
+                gap, filler = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(gap, pa.int64()), pa.array(filler, pa.int64())], names=["gap", "filler"])
+
+    return forms.mapInArrow(run, "gap bigint, filler bigint")
+
+
+def _induced(open_: DataFrame, forms: DataFrame) -> DataFrame:
+    """(gap): the gaps of suspects that other units fill in at least VARIES ways."""
+    wanted = open_.where("gap IS NOT NULL").select(F.explode(F.array("gap", "lead")).alias("x"))
+    bitmap = _bitmap(wanted)
+    if bitmap is None:
+        return open_.where("FALSE").select("gap")
+    fillers = _fillers(forms, bitmap).distinct().groupBy("gap").agg(F.count(F.lit(1)).alias("ways"))
+    return fillers.where(F.col("ways") >= VARIES).select("gap")
+
+
 def _judged(page: DataFrame) -> DataFrame:
     """doc_id, text: the texts that are pages, of page units with long_n, short_n and texts (in how many different texts).
 
@@ -393,22 +573,28 @@ def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     only one that is spoken of, and never filled or varied, is fixed text.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    rows = cut(rows.mapInArrow(_rows, ROWS))
+    rows = kept(rows.mapInArrow(_rows, ROWS))
     units = rows.where("kind = 'unit'").groupBy("skeleton").agg(*[F.sum(c).alias(c) for c in ("long_n", "short_n", "maybe_n")])
-    open_ = rows.where("kind = 'open'").select("doc_id", "skeleton", "slot", "value", "name", "strong", "spoken")
-    slots = open_.groupBy("skeleton", "slot").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    forms = rows.where("kind = 'unit'").groupBy("skeleton").agg(F.first("form").alias("form")).select("form")
+    open_ = rows.where("kind = 'open'").select("doc_id", "skeleton", "slot", "value", "name", "strong", "spoken", "gap", "lead")
+    induced = _induced(open_, forms).withColumn("induced", F.lit(True))
+    open_ = open_.drop("lead").join(induced, "gap", "left").drop("gap")
+    placed = open_.where("slot >= 0")
+    slots = placed.groupBy("skeleton", "slot").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     slots = slots.join(units, "skeleton", "left").select(
         "skeleton", "slot", ((F.coalesce(F.col("long_n") + F.col("short_n") + F.col("maybe_n"), F.lit(0)) > 0) | (F.col("lo") != F.col("hi"))).alias("real")
     )
-    judged = open_.join(slots, ["skeleton", "slot"])
+    judged = placed.join(slots, ["skeleton", "slot"])
     names = judged.where("strong AND real AND name <> ''").select("name").distinct().withColumn("known", F.lit(True))
     left_over = judged.join(names, "name", "left").where(
-        F.col("real") | ((F.col("strong") | F.col("known")) & ~F.col("spoken"))
+        F.col("real") | ((F.col("strong") | F.col("known") | F.col("induced")) & ~F.col("spoken"))
     )
+    bare = open_.where("slot < 0 AND induced AND NOT spoken")
     page = rows.where("kind = 'page'").select("doc_id", "text", "skeleton", "short", "notice", "beside")
     pages = _pages(page, units)
     return (
         left_over.select("doc_id", F.lit("residue").alias("reason"))
+        .unionByName(bare.select("doc_id", F.lit("residue").alias("reason")))
         .unionByName(rows.where("kind = 'filler'").select("doc_id", F.lit("filler").alias("reason")))
         .unionByName(pages.select("doc_id", F.lit("notice").alias("reason")))
         .distinct()

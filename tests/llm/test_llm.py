@@ -234,3 +234,26 @@ def test_notice_stems():
 def test_very_long_text(spark):
     t = "The stop held at 5. " * 20_000 + "Filled {{price}} at {{time}}, stop {{sl}}."
     assert residue.residue(spark.createDataFrame([(1, t)], "doc_id long, text string")).first().reason == "residue"
+
+
+LETTERS = [f"Dear {n}, your order of the {x} is ready for collection at our shop." for n in ("Anna", "Bob Hart", "Chidi", "Dolores", "Emre") for x in ("garden chair", "lamp", "oak table", "rug", "blue kettle", "shelf", "mirror", "door mat")]
+
+
+def test_slots_are_induced_from_what_varies(spark):
+    left = ["Dear FIRST NAME, your order of the lamp is ready for collection at our shop.", "Dear CUSTOMER NAME, your order of the PRODUCT NAME is ready for collection at our shop.", "Dear customer_name, your order of the rug is ready for collection at our shop.", "Dear , your order of the  is ready for collection at our shop.", "Dear [Name], your order of the lamp is ready for collection at our shop.", "Dear Anna, your order of the undefined is ready for collection at our shop."]
+    good = ["The FIRST NAME on the list was Anna, and the rug went to the shop.", "The parameter max_depth is set once.", "Dear all, the shop is closed on Monday .", "The ORDER BOOK of the day was thin.", "Our lamp is ready for collection at our shop ."]
+    rows = [(i, t) for i, t in enumerate(LETTERS)] + [(100 + i, t) for i, t in enumerate(left)] + [(200 + i, t) for i, t in enumerate(good)]
+    got = {r.doc_id for r in residue.residue(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {100 + i for i in range(len(left))}
+
+
+def test_names_count_only_where_others_hold_values(spark):
+    rows = [(i, f"The parameter customer_name is set in block {i} of the export sheet.") for i in range(9)] + [(50, "Dear FIRST NAME, your order of the lamp is ready."), (51, "Dear Anna, your order of the lamp is ready."), (52, "Dear Bob, your order of the rug is ready.")]
+    assert residue.residue(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+
+
+def test_forms_of_any_length(spark):
+    path = "customer.address." + "inner." * 12 + "name"
+    rows = [(1, f"Prepared by {{{{{path}}}}} today."), (2, "Name: " + "_" * 40 + " of the desk"), (3, "The stop held.\n" + "_" * 90 + "\nThe bid held."), (4, "A summary of the week, the positions held over the roll, and the reasons for each one: Insert your report on the whole of the last quarter here and keep it as short as you can so that all can read it in the morning")]
+    got = {r.doc_id: r.reason for r in residue.residue(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "residue", 2: "residue", 4: "filler"}
