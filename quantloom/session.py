@@ -77,6 +77,16 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where a scan gives too few partitions for costly work on each row.
+
+    A table of many files or row groups is taken as it lies; only one that
+    would leave more than half of the cores idle is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
