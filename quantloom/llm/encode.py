@@ -23,6 +23,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.session import spread
+
 TOKENIZERS = os.environ.get("QUANTLOOM_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: how texts are cut into pre-tokens; white space as Unicode has it.
@@ -148,7 +150,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>").withColumnRenamed("doc_id", doc_id)
+    return spread(rows).mapInArrow(run, f"doc_id {kind}, ids array<int>").withColumnRenamed("doc_id", doc_id)
 
 
 def decode(df: DataFrame, doc_id: str = "doc_id", ids: str = "ids", path: str | None = None) -> DataFrame:
@@ -178,4 +180,4 @@ def token_counts(docs: DataFrame, keep: list[str], text: str = "text", path: str
 
     rows = docs.select(*keep, F.col(text).alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{kinds}, n_tokens bigint")
+    return spread(rows).mapInArrow(run, f"{kinds}, n_tokens bigint")

@@ -9,10 +9,13 @@ horizon, when no nearer candidate can come any more, and candidates are evicted
 once no open record can want them. Buffers are sorted numpy arrays packed as
 bytes, one state row per cell.
 
-A bounded input ends with a closing mark in the far future, which moves the
-watermark past every horizon. Results go to a file sink in the shared folder;
-a record that was sent again with other values is emitted again with its
-version, and the reader keeps the latest version.
+A bounded input is replayed in slices of time: it is laid out once by ranges of
+time, and the stream takes one slice after the other, so that no record is late
+whatever order they came in, the watermark moves on with each slice, and the
+state never holds more than the cells of two slices. A closing mark in the far
+future moves it past every horizon in the end. Results go to a file sink in the
+shared folder; a record that was sent again with other values is emitted again
+with its version, and the reader keeps the latest version.
 """
 
 from __future__ import annotations
@@ -26,10 +29,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quantloom.session import shared_dir
+from quantloom.session import remove, remove_at_exit, shared_dir
 
 #: Far beyond any event, the time of the closing mark.
 CLOSING = "2262-01-01 00:00:00"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "record_id bigint, version bigint, match_id bigint"
 STATE = "left binary, right binary"
 LEFT = np.dtype([("ts", "<i8"), ("id", "<i8"), ("version", "<i8")])
@@ -37,7 +41,7 @@ RIGHT = np.dtype([("ts", "<i8"), ("id", "<i8")])
 
 
 def left_side(df: DataFrame, record_id: str, entity: str, ts: str, version: str) -> DataFrame:
-    """Records to match. A record without entity or time is handed on, as it can match nothing but replaces earlier versions."""
+    """Records to match. One without entity or time is handed on: it matches nothing, but match_bounded() lets it hide earlier versions."""
     return df.select(F.lit(True).alias("is_left"), F.col(entity).alias("entity"), F.col(ts).alias("ts"), F.col(record_id).cast("long").alias("id"), F.unix_micros(version).alias("version"))
 
 
@@ -116,30 +120,81 @@ def stream(sides: list[DataFrame], tolerance_seconds: int, cell_seconds: int, de
     own = F.floor(us / cell).cast("long")
     lo, hi = F.floor((us - tolerance) / cell).cast("long"), F.floor((us + tolerance) / cell).cast("long")
     rows = both.withWatermark("ts", delay).withColumn("us", us).withColumn("cell", F.explode(F.when(F.col("is_left"), F.array(own)).otherwise(F.sequence(lo, hi))))
-    rows = rows.where("entity IS NOT NULL")
+    # One condition on both columns, so that it stays behind the watermark, which the closing mark is to move.
+    rows = rows.where(F.when(F.col("entity").isNotNull(), F.col("ts").isNotNull()).otherwise(False))
     return rows.groupBy("entity", "cell").applyInPandasWithState(_step(tolerance), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def closing_mark(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of one record in the far future; it belongs to no entity and only moves the watermark."""
-    spark.range(1).select(F.lit(False).alias("is_left"), F.lit(None).cast("string").alias("entity"), F.to_timestamp(F.lit(CLOSING)).alias("ts"), F.lit(0).cast("long").alias("id"), F.lit(None).cast("long").alias("version")).coalesce(1).write.mode("overwrite").parquet(folder)
-    return spark.readStream.schema("is_left boolean, entity string, ts timestamp, id bigint, version bigint").parquet(folder)
+def _make(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
 
 
-def match_bounded(spark: SparkSession, sides: list[DataFrame], tolerance_seconds: int = 90, cell_seconds: int = 24 * 3600, delay: str = "0 seconds") -> DataFrame:
+def _publish(spark: SparkSession, files: list, folder: str) -> None:
+    """Move files into the folder that the stream watches; each appears at once and whole."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for f in files:
+        f.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(f, path(f"{folder}/{f.getParent().getName()}-{f.getName()}"))
+
+
+def _files(spark: SparkSession, folder: str) -> list:
+    """The data files of a folder by name, which is the order of the partitions written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted((f.getPath() for f in listed if f.getPath().getName().startswith("part-")), key=lambda f: f.getName())
+
+
+def match_bounded(
+    spark: SparkSession, sides: list[DataFrame], tolerance_seconds: int = 90, cell_seconds: int = 24 * 3600, delay: str = "1 seconds", slice_rows: int = 50_000_000, least_slices: int = 6, report: dict | None = None
+) -> DataFrame:
     """(record_id, match_id) of a bounded replay: runs the stream to its end and reads its result.
 
-    sides are streaming left_side() and right_side() frames over all files
-    there are. All waiting files make one batch, so no record is late however
-    the files are ordered; the closing mark then releases every open record.
-    Of the versions of a record the latest holds; one without a match hides
-    earlier matches. Records without id are left out. Empty inputs give an
-    empty result.
+    sides are left_side() and right_side() frames of whole tables, rows in any
+    order. They are replayed in slices of about slice_rows rows, at least
+    least_slices. Of the versions of a record the latest holds; one without a
+    match, entity or time hides earlier matches. Records without id are left
+    out. Empty inputs give an empty result. report takes the number of batches
+    and the most state cells held.
     """
+    both = sides[0]
+    for x in sides[1:]:
+        both = both.unionByName(x)
     base = f"{shared_dir(spark)}/nearest-{uuid.uuid4().hex}"
-    out = stream([*sides, closing_mark(spark, f"{base}/closing")], tolerance_seconds, cell_seconds, delay)
-    query = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    found = spark.read.schema(OUT).parquet(f"{base}/out").where("record_id IS NOT NULL")
-    last = found.groupBy("record_id").agg(F.max(F.struct("version", "match_id")).alias("x"))
+    timed = both.where("entity IS NOT NULL AND ts IS NOT NULL AND id IS NOT NULL")
+    slices = max(least_slices, -(-timed.count() // slice_rows))
+    width = max(1, spark.sparkContext.defaultParallelism)
+    timed.repartitionByRange(slices * width, "ts").write.parquet(f"{base}/laid")
+    mark = spark.range(1).select(F.lit(False).alias("is_left"), F.lit(None).cast(both.schema["entity"].dataType).alias("entity"), F.to_timestamp(F.lit(CLOSING)).alias("ts"), F.lit(0).cast("long").alias("id"), F.lit(None).cast("long").alias("version"))
+    for n in (1, 2):  # the first moves the watermark, the second is the batch in which it has moved
+        mark.coalesce(1).write.parquet(f"{base}/close{n}")
+    laid = _files(spark, f"{base}/laid")
+    steps = [laid[i : i + width] for i in range(0, len(laid), width)] + [_files(spark, f"{base}/close{n}") for n in (1, 2)]
+    settings = {"spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.streaming.stateStore.providerClass": ROCKS}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        _make(spark, f"{base}/in")
+        _publish(spark, steps[0], f"{base}/in")
+        out = stream([spark.readStream.schema(both.schema).parquet(f"{base}/in")], tolerance_seconds, cell_seconds, delay)
+        query = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    try:
+        query.processAllAvailable()
+        for files in steps[1:]:
+            _publish(spark, files, f"{base}/in")
+            query.processAllAvailable()
+        if report is not None:
+            held = [o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]]
+            report |= {"batches": len(steps), "most_cells": max(held, default=0)}
+    finally:
+        query.stop()
+    for part in ("laid", "close1", "close2", "in", "state"):
+        remove(spark, f"{base}/{part}")
+    remove_at_exit(spark, base)
+    found = spark.read.schema(OUT).parquet(f"{base}/out")
+    blank = both.where("is_left AND id IS NOT NULL AND (entity IS NULL OR ts IS NULL)").select(F.col("id").alias("record_id"), F.coalesce("version", F.lit(-1)).alias("version"), F.lit(-1).cast("long").alias("match_id"))
+    last = found.unionByName(blank).groupBy("record_id").agg(F.max(F.struct("version", "match_id")).alias("x"))
     return last.where("x.match_id >= 0").select("record_id", F.col("x.match_id").alias("match_id"))

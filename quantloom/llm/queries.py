@@ -10,21 +10,11 @@ from quantloom.llm.sql import SQL  # noqa: F401
 from quantloom.session import table
 
 
-def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """A table as a stream of its files; one that is a single file is read through its folder."""
-    path = f"{d}/{name}.parquet"
-    now = spark.read.parquet(path)
-    reader = spark.readStream.schema(now.schema)
-    if all(f.endswith(f"/{name}.parquet") for f in now.inputFiles()):
-        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(d)
-    return reader.parquet(path)
-
-
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     sides = [
-        nearest.left_side(_stream(spark, d, "trades"), "trade_id", "asset", "entry_time", "saved_at"),
-        nearest.left_side(_stream(spark, d, "options_oi_snapshot"), "snapshot_id", "underlying", "snapshot_time", "arrived_at"),
-        nearest.right_side(_stream(spark, d, "candles_1m"), "candle_id", "symbol", "ts", F.col("close").isNotNull() & ~F.isnan("close")),
+        nearest.left_side(table(spark, d, "trades"), "trade_id", "asset", "entry_time", "saved_at"),
+        nearest.left_side(table(spark, d, "options_oi_snapshot"), "snapshot_id", "underlying", "snapshot_time", "arrived_at"),
+        nearest.right_side(table(spark, d, "candles_1m"), "candle_id", "symbol", "ts", F.col("close").isNotNull() & ~F.isnan("close")),
     ]
     return nearest.match_bounded(spark, sides, 90).withColumnRenamed("match_id", "candle_id")
 
@@ -33,12 +23,17 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(table(spark, d, "documents"))
 
 
+def _mix(spark: SparkSession, d: str) -> mix.Mix:
+    """The largest mix in which every source that has text takes its target share."""
+    return mix.prepare(table(spark, d, "documents"), table(spark, d, "source_targets"), "exact")
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mix.positions(mix.prepare(table(spark, d, "documents"), table(spark, d, "source_targets")))
+    return mix.positions(_mix(spark, d))
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    m = mix.prepare(table(spark, d, "documents"), table(spark, d, "source_targets"))
+    m = _mix(spark, d)
     return mix.report(m, mix.positions(m))
 
 

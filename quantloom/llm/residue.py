@@ -57,7 +57,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.session import kept
+from quantloom.session import kept, spread
 
 # Forms of placeholders that no ordinary prose has.
 STRONG = [
@@ -573,7 +573,7 @@ def residue(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     only one that is spoken of, and never filled or varied, is fixed text.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    rows = kept(rows.mapInArrow(_rows, ROWS))
+    rows = kept(spread(rows).mapInArrow(_rows, ROWS))
     units = rows.where("kind = 'unit'").groupBy("skeleton").agg(*[F.sum(c).alias(c) for c in ("long_n", "short_n", "maybe_n")])
     forms = rows.where("kind = 'unit'").groupBy("skeleton").agg(F.first("form").alias("form")).select("form")
     open_ = rows.where("kind = 'open'").select("doc_id", "skeleton", "slot", "value", "name", "strong", "spoken", "gap", "lead")

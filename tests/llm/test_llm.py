@@ -17,23 +17,26 @@ LEFT = "record_id long, k string, t timestamp, saved timestamp"
 RIGHT = "match_id long, k string, t timestamp, x int, is_left string"
 
 
-def sides(spark, tmp_path, left, right):
-    spark.createDataFrame(left, LEFT).coalesce(1).write.parquet(f"{tmp_path}/l")
-    spark.createDataFrame(right, RIGHT).coalesce(1).write.parquet(f"{tmp_path}/r")
+def sides(spark, left, right):
     return [
-        nearest.left_side(spark.readStream.schema(LEFT).parquet(f"{tmp_path}/l"), "record_id", "k", "t", "saved"),
-        nearest.right_side(spark.readStream.schema(RIGHT).parquet(f"{tmp_path}/r"), "match_id", "k", "t", F.col("x").isNotNull()),
+        nearest.left_side(spark.createDataFrame(left, LEFT), "record_id", "k", "t", "saved"),
+        nearest.right_side(spark.createDataFrame(right, RIGHT), "match_id", "k", "t", F.col("x").isNotNull()),
     ]
 
 
-def test_nearest_equals_brute_force(spark, tmp_path):
+def test_nearest_equals_brute_force(spark):
     r = random.Random(1)
     at = lambda: T0 + timedelta(seconds=r.randrange(40_000), microseconds=r.choice([0, 1]))
     left = [(i, r.choice(["HOT", "HOT", "b", None]), at() if r.random() > 0.05 else None, T0) for i in range(300)]
     left += [(*x[:2], at() if r.random() > 0.3 else None, T0 + timedelta(hours=1)) for x in left[:60]] + left[100:120]
     right = [(10_000 + i, r.choice(["HOT", "b", None]), at() if r.random() > 0.02 else None, r.choice([1, None, 2]), "clash") for i in range(500)]
     right += right[:20]
-    got = {x.record_id: x.match_id for x in nearest.match_bounded(spark, sides(spark, tmp_path, left, right), 90, 3600).collect()}
+    r.shuffle(left)
+    r.shuffle(right)
+    report = {}
+    got = {x.record_id: x.match_id for x in nearest.match_bounded(spark, sides(spark, left, right), 90, 3600, least_slices=10, report=report).collect()}
+    cells = {(x[1], (x[2] - T0) // timedelta(hours=1)) for x in left + right if x[1] and x[2]}
+    assert report["batches"] == 12 and 0 < report["most_cells"] < len(cells) * 2 // 3
     last = {}
     for x in left:
         if x[0] not in last or x[3] > last[x[0]][3]:
@@ -46,8 +49,8 @@ def test_nearest_equals_brute_force(spark, tmp_path):
     assert got == want
 
 
-def test_nearest_of_nothing(spark, tmp_path):
-    assert nearest.match_bounded(spark, sides(spark, tmp_path, [], []), 90).count() == 0
+def test_nearest_of_nothing(spark):
+    assert nearest.match_bounded(spark, sides(spark, [], []), 90).count() == 0
 
 
 def test_nearest_ties_take_the_earlier():
@@ -147,6 +150,18 @@ def test_mix_reaches_shares_and_caps(spark):
             assert sum(r.n_tokens for r in half if r.source == s) == pytest.approx(early * n, abs=0.03 * n + 60)
 
 
+def test_exact_mix_meets_every_share_within_half_a_document(spark):
+    docs, goal = documents(spark)
+    m = mix.prepare(docs, goal, "exact")
+    rep = mix.report(m, mix.positions(m)).collect()
+    able = {s.source: s.target for s in m.shares if s.tokens}
+    whole = sum(r.mixed_tokens for r in rep)
+    longest = m.sized.agg(F.max("n_tokens")).first()[0]
+    assert {r.source for r in rep if r.copies} == set(able)
+    for r in rep:
+        assert abs(r.mixed_tokens - whole * able.get(r.source, 0) / sum(able.values())) <= longest / 2 * (1 + len(able))
+
+
 def test_mix_is_the_same_for_any_bucket_size(spark, monkeypatch):
     docs, goal = documents(spark)
     m = mix.prepare(docs, goal, 3000)
