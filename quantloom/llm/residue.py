@@ -194,7 +194,8 @@ MAY_OPEN_COLON = re.compile(r":\w+:")
 OPEN_WORDS = ["to be ", "tbd", "tbc", "todo", "fixme"]
 # What a slot may retain that is no placeholder by its form; counts only in an induced slot.
 BARE = re.compile(r"(?<![\w.@/\\])[a-z]+(?:_[a-z]+)+(?![\w(@/\\])|\b[A-Z]{2,}(?:[ _][A-Z]{2,})+\b|(?<![\w.])(?:undefined|null|None|NaN|N/A)(?!\w)|(?<=\w)\s(?=[,.](?:\s|$))|\x02")
-MAY_BARE = re.compile(r"[a-z]_[a-z]|[A-Z]{2}[ _][A-Z]{2}|undefined|null|None|NaN|N/A|\w [,.]|\x02")
+BARE_SIGNS = ("_", " ,", " .", "\x02", "undefined", "null", "None", "NaN", "N/A")
+CAPS = re.compile(r"[A-Z]{2}[ _][A-Z]{2}")
 #: A run of blanks between words of a line whose other gaps are single.
 WIDE = re.compile(r"(?<=[\w,])  +(?=\w)")
 SLOT, OPEN = "\x00", "\x03"
@@ -292,7 +293,7 @@ def is_filler(unit: str, low: str | None = None, flags: int | None = None) -> bo
     if len(raw) >= 3:
         repeats = len(raw) - len(set(raw)) >= 2
         latin = flags & LATIN_STEM and len(raw) >= 4 and sum(w.strip(".,;:!?") in LATIN for w in raw[:4]) >= 3
-        if repeats or latin:
+        if latin or (repeats and (3 * len(set(raw)) <= 2 * len(raw) + 6 or any(a[:3] == b[:3] for a, b in zip(raw, raw[1:])))):
             words = [w for w in (w.strip(".,;:!?") for w in raw) if w]
             if any(a == b == c and len(a) > 2 and a.isalpha() for a, b, c in zip(words, words[1:], words[2:])):
                 return True
@@ -422,9 +423,10 @@ def analyse(text: str) -> tuple[list[str], list[tuple], bool, list[tuple[str, bo
     content: list[tuple[str, str]] = []
     says: list[bool] = []
     filler = False
-    may_bare = MAY_BARE.search(text) is not None or "  " in text
+    caps = CAPS.search(text) is not None
+    may_bare = caps or "  " in text or any(x in text for x in BARE_SIGNS)
     for unit, heading in _units(text):
-        bare = may_bare and MAY_BARE.search(unit) is not None
+        bare = may_bare and (any(x in unit for x in BARE_SIGNS) or (caps and CAPS.search(unit) is not None))
         suspects = _bare(unit) if bare else []
         if "\x02" in unit:
             unit = " ".join(unit.replace("\x02", " ").split())
@@ -534,7 +536,7 @@ def _induced(open_: DataFrame, forms: DataFrame) -> DataFrame:
     if bitmap is None:
         return open_.where("FALSE").select("gap")
     fillers = _fillers(forms, bitmap).distinct().groupBy("gap").agg(F.count(F.lit(1)).alias("ways"))
-    return fillers.where(F.col("ways") >= VARIES).select("gap")
+    return kept(fillers.where(F.col("ways") >= VARIES).select("gap"))
 
 
 def _judged(page: DataFrame) -> DataFrame:
