@@ -1,13 +1,14 @@
 """Matching records by nearest time: a stateful streaming join.
 
 Both sides come as one stream of (entity, time) records. State is kept by
-(entity, time cell): a reference record is sent to its own cell and, near an
-edge, to the neighbour within the tolerance, so a hot entity is spread over its
-cells and every record finds all its candidates in one cell. Both sides are
+bucket of (entity, time cell): a reference record is sent to the bucket of its
+own cell and, near an edge, to the neighbour's within the tolerance, so a hot
+entity is spread over its cells, every record finds all its candidates in one
+bucket, and one call of the state function serves many cells at once. Both sides are
 buffered; a left record is emitted once the watermark has passed its tolerance
 horizon, when no nearer candidate can come any more, and candidates are evicted
-once no open record can want them. Buffers are sorted numpy arrays packed as
-bytes, one state row per cell.
+once no open record can want them. Buffers are numpy arrays packed as bytes, one
+state row per bucket; entities are told apart by 128 bits of hash.
 
 A bounded input is replayed in slices of time: it is laid out once by ranges of
 time, and the stream takes one slice after the other, so that no record is late
@@ -36,8 +37,8 @@ CLOSING = "2262-01-01 00:00:00"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "record_id bigint, version bigint, match_id bigint"
 STATE = "left binary, right binary"
-LEFT = np.dtype([("ts", "<i8"), ("id", "<i8"), ("version", "<i8")])
-RIGHT = np.dtype([("ts", "<i8"), ("id", "<i8")])
+RIGHT = np.dtype([("h1", "<i8"), ("h2", "<i8"), ("ts", "<i8"), ("id", "<i8")])
+LEFT = np.dtype([*((n, RIGHT[n]) for n in RIGHT.names), ("version", "<i8")])
 
 
 def left_side(df: DataFrame, record_id: str, entity: str, ts: str, version: str) -> DataFrame:
@@ -50,24 +51,55 @@ def right_side(df: DataFrame, match_id: str, entity: str, ts: str, counts: Colum
     return df.where(counts).select(F.lit(False).alias("is_left"), F.col(entity).alias("entity"), F.col(ts).alias("ts"), F.col(match_id).cast("long").alias("id"), F.lit(None).cast("long").alias("version")).where("entity IS NOT NULL AND ts IS NOT NULL AND id IS NOT NULL")
 
 
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """The rows sorted by their fields, repeats left out."""
+    rows = rows[np.lexsort([rows[n] for n in reversed(rows.dtype.names)])]
+    new = np.zeros(len(rows), bool)
+    new[:1] = True
+    for n in rows.dtype.names:
+        new[1:] |= rows[n][1:] != rows[n][:-1]
+    return rows[new]
+
+
+def _axis(left: np.ndarray, right: np.ndarray, tolerance_us: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of both sides on one time axis, on which entities lie farther apart than the tolerance."""
+    h1, h2 = (np.concatenate([left[n], right[n]]) for n in ("h1", "h2"))
+    ts = np.concatenate([left["ts"], right["ts"]])
+    order = np.lexsort((ts, h2, h1))
+    h1, h2, ts = h1[order], h2[order], ts[order]
+    step = np.zeros(len(ts), np.int64)
+    other = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    step[1:] = np.where(other, 2 * tolerance_us + 2, ts[1:] - ts[:-1])
+    place = np.empty(len(ts), np.int64)
+    place[order] = np.cumsum(step)
+    return place[: len(left)], place[len(left) :]
+
+
 def nearest(left: np.ndarray, right: np.ndarray, tolerance_us: int) -> np.ndarray:
-    """For each left record the id of the nearest right one within the tolerance, else -1.
+    """For each left record the id of the nearest right one of its entity within the tolerance, else -1.
 
-    right is sorted by (ts, id). On a tie in distance the earlier record holds,
-    of equal times the smaller id.
+    right is sorted by its fields. On a tie in distance the earlier record
+    holds, of equal times the smaller id.
     """
     out = np.full(len(left), -1, np.int64)
     if not len(right) or not len(left):
         return out
-    first = np.concatenate(([True], right["ts"][1:] != right["ts"][:-1]))
-    right = right[first]
-    ts = right["ts"]
-    after = np.searchsorted(ts, left["ts"], "left")
-    lo, hi = np.clip(after - 1, 0, None), np.clip(after, None, len(ts) - 1)
-    back = np.where(after > 0, left["ts"] - ts[lo], np.iinfo(np.int64).max)
-    ahead = np.where(after < len(ts), ts[hi] - left["ts"], np.iinfo(np.int64).max)
+    at, ref = _axis(left, right, tolerance_us)
+    first = np.concatenate(([True], ref[1:] != ref[:-1]))
+    ref, ids = ref[first], right["id"][first]
+    after = np.searchsorted(ref, at, "left")
+    lo, hi = np.clip(after - 1, 0, None), np.clip(after, None, len(ref) - 1)
+    back = np.where(after > 0, at - ref[lo], np.iinfo(np.int64).max)
+    ahead = np.where(after < len(ref), ref[hi] - at, np.iinfo(np.int64).max)
     pick, gap = np.where(back <= ahead, lo, hi), np.minimum(back, ahead)
-    return np.where(gap <= tolerance_us, right["id"][pick], -1)
+    return np.where(gap <= tolerance_us, ids[pick], -1)
+
+
+def _records(pdf: pd.DataFrame, kind: np.dtype) -> np.ndarray:
+    out = np.empty(len(pdf), kind)
+    for n in kind.names:
+        out[n] = (pdf[n].fillna(-1) if n == "version" else pdf[n]).to_numpy(np.int64)
+    return out
 
 
 def _step(tolerance_us: int):
@@ -76,20 +108,13 @@ def _step(tolerance_us: int):
             held = state.get
             lefts, rights = [np.frombuffer(held[0], LEFT)], [np.frombuffer(held[1], RIGHT)]
         else:
-            lefts, rights = [], []
+            lefts, rights = [np.empty(0, LEFT)], [np.empty(0, RIGHT)]
         if not state.hasTimedOut:
             for pdf in pdfs:
                 is_left = pdf["is_left"].to_numpy(bool)
-                ts = pdf["us"].to_numpy(np.int64)
-                ids = pdf["id"].to_numpy(np.int64)
-                new = np.empty(int(is_left.sum()), LEFT)
-                new["ts"], new["id"], new["version"] = ts[is_left], ids[is_left], pdf["version"][is_left].fillna(-1).to_numpy(np.int64)
-                lefts.append(new)
-                new = np.empty(int((~is_left).sum()), RIGHT)
-                new["ts"], new["id"] = ts[~is_left], ids[~is_left]
-                rights.append(new)
-        left = np.unique(np.concatenate(lefts)) if lefts else np.empty(0, LEFT)
-        right = np.unique(np.concatenate(rights)) if rights else np.empty(0, RIGHT)
+                lefts.append(_records(pdf[is_left], LEFT))
+                rights.append(_records(pdf[~is_left], RIGHT))
+        left, right = _distinct(np.concatenate(lefts)), _distinct(np.concatenate(rights))
         passed = state.getCurrentWatermarkMs() * 1000
         due = left["ts"] + tolerance_us < passed
         if due.any():
@@ -109,20 +134,28 @@ def _step(tolerance_us: int):
     return step
 
 
-def stream(sides: list[DataFrame], tolerance_seconds: int, cell_seconds: int, delay: str) -> DataFrame:
-    """The streaming join of left_side() and right_side() streams: record_id, version, match_id (-1: none)."""
+def stream(sides: list[DataFrame], tolerance_seconds: int, cell_seconds: int, delay: str, buckets: int | None = None) -> DataFrame:
+    """The streaming join of left_side() and right_side() streams: record_id, version, match_id (-1: none).
+
+    buckets: units of the state, by default two for each shuffle partition.
+    """
     tolerance = tolerance_seconds * 1_000_000
     cell = cell_seconds * 1_000_000
     both = sides[0]
     for s in sides[1:]:
         both = both.unionByName(s)
+    buckets = buckets or 2 * int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     us = F.unix_micros("ts")
     own = F.floor(us / cell).cast("long")
     lo, hi = F.floor((us - tolerance) / cell).cast("long"), F.floor((us + tolerance) / cell).cast("long")
-    rows = both.withWatermark("ts", delay).withColumn("us", us).withColumn("cell", F.explode(F.when(F.col("is_left"), F.array(own)).otherwise(F.sequence(lo, hi))))
+    unit = lambda c: F.pmod(F.xxhash64("entity", c), F.lit(buckets)).cast("int")
+    homes = F.when(F.col("is_left"), F.array(unit(own))).otherwise(F.array_distinct(F.transform(F.sequence(lo, hi), unit)))
+    rows = both.withWatermark("ts", delay).withColumn("bucket", F.explode(homes))
     # One condition on both columns, so that it stays behind the watermark, which the closing mark is to move.
     rows = rows.where(F.when(F.col("entity").isNotNull(), F.col("ts").isNotNull()).otherwise(False))
-    return rows.groupBy("entity", "cell").applyInPandasWithState(_step(tolerance), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    rows = rows.select("bucket", "ts", "is_left", F.xxhash64("entity").alias("h1"), F.xxhash64(F.lit(1), "entity").alias("h2"), us.alias("us"), "id", "version")
+    rows = rows.withColumnsRenamed({"ts": "event_time", "us": "ts"})
+    return rows.groupBy("bucket").applyInPandasWithState(_step(tolerance), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _make(spark: SparkSession, folder: str) -> None:
@@ -145,7 +178,7 @@ def _files(spark: SparkSession, folder: str) -> list:
 
 
 def match_bounded(
-    spark: SparkSession, sides: list[DataFrame], tolerance_seconds: int = 90, cell_seconds: int = 24 * 3600, delay: str = "1 seconds", slice_rows: int = 50_000_000, least_slices: int = 6, report: dict | None = None
+    spark: SparkSession, sides: list[DataFrame], tolerance_seconds: int = 90, cell_seconds: int = 24 * 3600, delay: str = "1 seconds", slice_rows: int = 50_000_000, least_slices: int = 6, buckets: int | None = None, report: dict | None = None
 ) -> DataFrame:
     """(record_id, match_id) of a bounded replay: runs the stream to its end and reads its result.
 
@@ -153,8 +186,8 @@ def match_bounded(
     order. They are replayed in slices of about slice_rows rows, at least
     least_slices. Of the versions of a record the latest holds; one without a
     match, entity or time hides earlier matches. Records without id are left
-    out. Empty inputs give an empty result. report takes the number of batches
-    and the most state cells held.
+    out. Empty inputs give an empty result. buckets: see stream(). report takes
+    the number of batches and the most state rows held.
     """
     both = sides[0]
     for x in sides[1:]:
@@ -176,7 +209,7 @@ def match_bounded(
             spark.conf.set(k, v)
         _make(spark, f"{base}/in")
         _publish(spark, steps[0], f"{base}/in")
-        out = stream([spark.readStream.schema(both.schema).parquet(f"{base}/in")], tolerance_seconds, cell_seconds, delay)
+        out = stream([spark.readStream.schema(both.schema).parquet(f"{base}/in")], tolerance_seconds, cell_seconds, delay, buckets)
         query = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").start()
     finally:
         for k, v in before.items():
@@ -188,7 +221,7 @@ def match_bounded(
             query.processAllAvailable()
         if report is not None:
             held = [o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]]
-            report |= {"batches": len(steps), "most_cells": max(held, default=0)}
+            report |= {"batches": len(steps), "most_held": max(held, default=0)}
     finally:
         query.stop()
     for part in ("laid", "close1", "close2", "in", "state"):

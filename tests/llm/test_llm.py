@@ -34,9 +34,9 @@ def test_nearest_equals_brute_force(spark):
     r.shuffle(left)
     r.shuffle(right)
     report = {}
-    got = {x.record_id: x.match_id for x in nearest.match_bounded(spark, sides(spark, left, right), 90, 3600, least_slices=10, report=report).collect()}
+    got = {x.record_id: x.match_id for x in nearest.match_bounded(spark, sides(spark, left, right), 90, 3600, least_slices=10, buckets=100_000, report=report).collect()}
     cells = {(x[1], (x[2] - T0) // timedelta(hours=1)) for x in left + right if x[1] and x[2]}
-    assert report["batches"] == 12 and 0 < report["most_cells"] < len(cells) * 2 // 3
+    assert report["batches"] == 12 and 0 < report["most_held"] < len(cells) * 2 // 3
     last = {}
     for x in left:
         if x[0] not in last or x[3] > last[x[0]][3]:
@@ -54,11 +54,11 @@ def test_nearest_of_nothing(spark):
 
 
 def test_nearest_ties_take_the_earlier():
-    left = np.array([(100, 1, 0)], nearest.LEFT)
-    right = np.array([(90, 8), (90, 9), (110, 7)], nearest.RIGHT)
-    assert nearest.nearest(left, right, 10).tolist() == [8]
-    assert nearest.nearest(left, right, 9).tolist() == [-1]
-    assert nearest.nearest(left, right[:0], 9).tolist() == [-1]
+    left = np.array([(5, 5, 100, 1, 0), (5, 6, 100, 2, 0)], nearest.LEFT)
+    right = np.array([(5, 5, 90, 8), (5, 5, 90, 9), (5, 5, 110, 7), (5, 7, 100, 6)], nearest.RIGHT)
+    assert nearest.nearest(left, right, 10).tolist() == [8, -1]
+    assert nearest.nearest(left, right, 9).tolist() == [-1, -1]
+    assert nearest.nearest(left, right[:0], 9).tolist() == [-1, -1]
 
 
 def texts():
