@@ -183,11 +183,16 @@ STEMS = "error erreur fehler http forbidden gateway unavailable timeout time-out
 NAVIGATION = regex.compile(r"(?i)^[\s«»|<>/·•-]*(?:(?:skip to content|back to (?:overview|top|start|list)|home|charts|help|menu|login|log in|contact|previous|next|about|search|imprint|overview)[\s«»|<>/·•-]*)+$")
 TAGS = regex.compile(r"</?(?:html|head|body|title|div|p|h[1-6]|hr|br|noscript|span|center|b|i|em|strong|pre|section|article|main|meta|ul|ol|li|a|table|tr|td|th)(?:\s[^<>]*)?/?>", regex.I)
 FENCE = re.compile(r"```.*?(?:```|$)", re.S)
-QUOTED = re.compile(r"`[^`\n]+`|“[^”\n]+”|«[^»\n]+»|„[^“”\n]+[“”]|‘[^’\n]+’|\"[^\"\n]+\"|(?<![\w])'[^'\n]+'(?!\w)")
+# Each pattern begins with the set of its first characters, by which texts are skipped through fast.
+QUOTED = re.compile(r"[`“«„‘\"'](?:(?<=`)[^`\n]+`|(?<=“)[^”\n]+”|(?<=«)[^»\n]+»|(?<=„)[^“”\n]+[“”]|(?<=‘)[^’\n]+’|(?<=\")[^\"\n]+\"|(?<=')(?<!\w')[^'\n]+'(?!\w))")
 LINES = re.compile(r"[\r\n\v\f\x85  ]+")
 SENTENCES = regex.compile(r"(?<=[.?!])[\s﻿]+(?=[\p{Lu}¿¡\"“«'`\[\{<$%#@*:(_-]|[\p{So}])")
 CANDIDATE = re.compile("|".join([f"(?P<s{i}>{p})" for i, p in enumerate(STRONG)] + [f"(?P<w{i}>{p})" for i, p in enumerate(WEAK)]))
-VALUE = re.compile(r"\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{8,}\b|[-+−]?\d+(?:[.,:/-]\d+)*|\b[A-Z]{3}\b")
+VALUE = re.compile(
+    r"[0-9a-f](?<!\w[0-9a-f])(?=[0-9a-f]{7})(?=[0-9a-f]*\d|(?<=\d))(?=[0-9a-f]*[a-f]|(?<=[a-f]))[0-9a-f]+\b"  # a hexadecimal number of eight digits or more
+    r"|[-+−0-9](?:(?<=\d)|(?=\d))\d*(?:[.,:/-]\d+)*"  # a number, date or time
+    r"|[A-Z](?<!\w[A-Z])[A-Z]{2}\b"  # a ticker
+)
 MAY_OPEN = re.compile(r"[\[{<%$@*_&?~^#|=!§]\s?[\w({%$!#@|&]")
 MAY_OPEN_COLON = re.compile(r":\w+:")
 # Words that stand in the placeholders that have no mark.
@@ -208,6 +213,7 @@ SIDE, LEAST, WIDTH, VARIES = 3, 3, 3, 4
 BITMAP = 1 << 23
 #: A text of up to so many units, heading and navigation apart, shows page units by itself; of longer ones the notice decides.
 SHORT = 5
+HALF = 1 << 63
 SAYS_STEM, PROMPT_STEM, LATIN_STEM, OPEN_STEM = 1, 2, 4, 8
 
 
@@ -307,7 +313,7 @@ def is_filler(unit: str, low: str | None = None, flags: int | None = None) -> bo
 
 
 def _digest(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - HALF
 
 
 def _left(tokens: list[str], i: int) -> list[str]:
@@ -500,27 +506,29 @@ def _fillers(forms: DataFrame, wanted: bytes) -> DataFrame:
     shared = forms.sparkSession.sparkContext.broadcast(wanted)  # BITMAP / 8 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-
-        def asked(digest: int) -> bool:
-            at = digest % BITMAP
-            return bits[at >> 3] >> (at & 7) & 1
-
+        bits, digest = shared.value, xxhash.xxh64_intdigest
         for batch in batches:
             found = set()
             for form in batch.column(0).to_pylist():
                 tokens = TOKENS.findall(form)
-                for i in range(len(tokens)):
-                    if tokens[i] in MARKS or SLOT in tokens[i]:
+                start = 0  # after the last mask
+                for i, token in enumerate(tokens):
+                    if SLOT in token:
+                        start = i + 1
+                        continue
+                    if token in MARKS:
                         continue
-                    left = _left(tokens, i)
-                    if not asked(_digest(" ".join(left))):
+                    left = tokens[max(start, i - SIDE) : i]
+                    if i < SIDE and not start:
+                        left = ["^", *left]
+                    at = digest(" ".join(left)) - HALF & BITMAP - 1
+                    if not bits[at >> 3] >> (at & 7) & 1:
                         continue
                     for j in range(i + 1, min(i + WIDTH, len(tokens)) + 1):
                         if tokens[j - 1] in MARKS or SLOT in tokens[j - 1]:
                             break
                         gap = _gap(left, _right(tokens, j))
-                        if gap is not None and asked(gap):
+                        if gap is not None and bits[(gap & BITMAP - 1) >> 3] >> (gap & 7) & 1:
                             found.add((gap, _digest(" ".join(tokens[i:j]))))
             if found:
                 gap, filler = zip(*found)
