@@ -18,20 +18,27 @@ BOOK = ["symbol", "session_date"]
 
 
 def _lives(changes: DataFrame, epoch_size: int = 4096) -> DataFrame:
-    """changes with life: the number of resets up to each; counted by epoch of the sequence, then within it."""
-    x = changes.withColumns({"block": F.floor(F.col("seq") / epoch_size).cast("int"), "reset": (F.col("action") == "R").cast("int")})
-    sums = x.groupBy(*BOOK, "block").agg(F.sum("reset").alias("resets"))
+    """changes with life, the number of resets up to each, and sec, the latest second seen up to it in its book.
+
+    Both are running figures of a book in order of the sequence; they are
+    summed up by epoch, then within the epoch, so that no book is gathered.
+    """
+    sec = F.floor(F.unix_micros("ts") / 1_000_000)
+    x = changes.withColumns({"block": F.expr(f"(seq - pmod(seq, {epoch_size})) DIV {epoch_size}"), "reset": (F.col("action") == "R").cast("int"), "own_sec": sec})
+    sums = x.groupBy(*BOOK, "block").agg(F.sum("reset").alias("resets"), F.max("own_sec").alias("latest"))
     before = Window.partitionBy(*BOOK).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*BOOK, "block", F.coalesce(F.sum("resets").over(before), F.lit(0)).alias("earlier"))
+    sums = sums.select(*BOOK, "block", F.coalesce(F.sum("resets").over(before), F.lit(0)).alias("earlier"), F.max("latest").over(before).alias("latest"))
     within = Window.partitionBy(*BOOK, "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return x.withColumn("life", F.sum("reset").over(within)).join(sums, [*BOOK, "block"]).withColumn("life", F.col("life") + F.col("earlier")).drop("block", "reset", "earlier")
+    x = x.withColumns({"life": F.coalesce(F.sum("reset").over(within), F.lit(0)), "sec": F.max("own_sec").over(within)}).join(sums, [*BOOK, "block"])
+    return x.withColumns({"life": F.col("life") + F.col("earlier"), "sec": F.greatest("sec", "latest")}).drop("block", "reset", "own_sec", "earlier", "latest")
 
 
 def depth_changes(changes: DataFrame) -> DataFrame:
     """book, seq, sec, side, px, delta: how each change moves the depth.
 
     changes: one row per change (symbol, session_date, seq, ts, action, side,
-    px, sz, order_id). A enters and M replaces an order; C and F take off what
+    px, sz, order_id). sec is the latest second that the book's changes up to
+    it have shown, as clocks may step back; the same for all its levels. A enters and M replaces an order; C and F take off what
     is there at most; R ends every order's life at its place in the sequence.
     """
     r = _lives(changes)
@@ -48,8 +55,7 @@ def depth_changes(changes: DataFrame) -> DataFrame:
     # A replacement takes off what was left of the order it replaces, at that order's level.
     old = F.struct(F.lag("o_side").over(by).alias("side"), F.lag("o_px").over(by).alias("px"), F.lag("left").over(by).alias("left"))
     x = x.withColumn("old", F.when(isset & (F.lag("left").over(by) > 0), old))
-    sec = F.floor(F.unix_micros("ts") / 1_000_000)
-    cols = [*BOOK, "life", "seq", sec.alias("sec")]
+    cols = [*BOOK, "life", "seq", "sec"]
     here = x.where("delta <> 0").select(*cols, F.col("o_side").alias("side"), F.col("o_px").alias("px"), "delta")
     gone = x.where("old IS NOT NULL").select(*cols, F.col("old.side").alias("side"), F.col("old.px").alias("px"), (-F.col("old.left")).alias("delta"))
     return here.unionByName(gone)
@@ -58,13 +64,9 @@ def depth_changes(changes: DataFrame) -> DataFrame:
 def depth_by_second(changes: DataFrame) -> DataFrame:
     """book, life, sec, side, px, size: size of each level after each second in which it changed (0: gone).
 
-    Seconds follow the sequence: a change counts in the latest second seen up
-    to it, as clocks may step back.
+    Seconds are those of depth_changes(), which follow the book's sequence.
     """
-    d = depth_changes(changes)
-    clock = Window.partitionBy(*BOOK, "life", "side", "px").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("sec", F.max("sec").over(clock))
-    per = d.groupBy(*BOOK, "life", "sec", "side", "px").agg(F.sum("delta").alias("delta"))
+    per = depth_changes(changes).groupBy(*BOOK, "life", "sec", "side", "px").agg(F.sum("delta").alias("delta"))
     run = Window.partitionBy(*BOOK, "life", "side", "px").orderBy("sec").rowsBetween(Window.unboundedPreceding, 0)
     return per.withColumn("size", F.sum("delta").over(run).cast("long")).drop("delta")
 

@@ -61,5 +61,5 @@ def versions(df: DataFrame, entity: str, day: str, loaded: str, attributes: dict
 
 
 def cents(c: Column) -> Column:
-    """A price to the cent, as a whole number of cents; NaN and infinity give null."""
-    return F.when(F.abs(c) < 1e15, F.round(c * 100)).cast("long")
+    """A price in whole cents; NaN and infinity give null."""
+    return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.round(c * 100) + 0.0)

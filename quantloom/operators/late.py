@@ -2,9 +2,9 @@
 
 The triangle of event periods by arrival periods: every counted publication
 becomes a change of its period's total at its time of arrival (new value less
-the one it replaces), the changes are added by (period, arrival hour) cell and
+the one it replaces), the changes are added by (period, arrival period) cell and
 the cells cumulated across arrivals. Each cumulated cell is a revision. Arrival
-hour 0 holds all that came by the end of the period's day; what comes after
+period 0 holds all that came by the end of the period's day; what comes after
 the cut-off is filtered out before anything is added.
 """
 
@@ -27,7 +27,7 @@ WITH once AS (  -- a repeat counts from its first arrival
   FROM once
   WHERE p.snapshot_time IS NOT NULL AND p.oi IS NOT NULL AND p.type IN ('evening', 'morning')
 ), counted AS (
-  SELECT *, CASE WHEN late_us <= 0 THEN 0 ELSE (late_us + 3599999999) DIV 3600000000 END AS arrival
+  SELECT *, CASE WHEN late_us <= 0 THEN 0 ELSE (late_us + {step_us} - 1) DIV {step_us} END AS arrival
   FROM placed WHERE late_us <= {cutoff_us}
 ), winners AS (  -- the publication that holds for the contract after each arrival
   SELECT *, max(pub) OVER (PARTITION BY series, day, snapshot_type, instrument_id ORDER BY arrived_at, pub
@@ -57,15 +57,15 @@ FROM (
 """
 
 
-def revisions(pubs: DataFrame, cutoff_hours: int = 36) -> DataFrame:
+def revisions(pubs: DataFrame, cutoff_hours: int = 36, step_seconds: int = 3600) -> DataFrame:
     """series, day, snapshot_type, arrival, oi_total, publications: every revision of every period.
 
-    arrival is the hour after the end of the day in which the revision came
-    (0: by midnight). Publications without id, times, known type or value do
+    arrival is the period of step_seconds after the end of the day in which the
+    revision came (0: by midnight); what comes within one period is one revision. Publications without id, times, known type or value do
     not count, nor do those that arrive after cutoff_hours. A null series or
     instrument is one of its own. An empty table has no revisions.
     """
-    return pubs.sparkSession.sql(TRIANGLE.replace("{cutoff_us}", str(cutoff_hours * 3_600_000_000)), pubs=pubs)
+    return pubs.sparkSession.sql(TRIANGLE.replace("{cutoff_us}", str(cutoff_hours * 3_600_000_000)).replace("{step_us}", str(step_seconds * 1_000_000)), pubs=pubs)
 
 
 def corrected(pubs: DataFrame, cutoff_hours: int = 36) -> DataFrame:

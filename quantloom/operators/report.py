@@ -147,21 +147,42 @@ def histogram(df: DataFrame, series: str, value: str, width: float) -> DataFrame
     return df.withColumn("bin", F.floor(F.col(value) / width).cast("long")).groupBy(series, "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: More values than this are no axis of a grid.
+MOST_AXIS = 10_000
+
+
+def _axis(df: DataFrame, column: str) -> Column:
+    """The distinct values of a column as one array, null among them; an error beyond MOST_AXIS."""
+    one = df.select(column).distinct().agg(F.collect_list(F.struct(column)).alias("axis"))  # one row
+    return one.select(F.when(F.size("axis") > MOST_AXIS, F.raise_error(F.lit(f"more than {MOST_AXIS} values on an axis")).cast(one.schema["axis"].dataType)).otherwise(F.col("axis"))).scalar()
+
+
 def dense_grid(metrics: DataFrame, x: str, y: str) -> DataFrame:
     """metrics on the full grid of the x and y values there are; missing cells are null."""
-    xs, ys = metrics.select(x).distinct(), metrics.select(y).distinct()
-    spine = xs.withColumn("_one", F.lit(1)).join(ys.withColumn("_one", F.lit(1)), "_one").drop("_one")  # axes of a parameter grid
+    spine = metrics.select(x).distinct().select(x, F.explode(_axis(metrics, y)).alias("_y")).select(x, f"_y.{y}")
     return spine.join(metrics, [x, y], "left")
 
 
-def bucket_days(events: DataFrame, day: str, name: str, impact: str) -> DataFrame:
-    """day, bucket: the most important of a day's events: holiday (any grey), then fomc, cpi, nfp, ppi, other high impact."""
+# Words that name the class of a red event, by rank; a day takes the best class of its events.
+EVENT_CLASSES = {"fomc": ["fomc"], "cpi": ["cpi"], "nfp": ["non-farm employment change"], "ppi": ["ppi"]}
+BUCKETS = ["holiday", *EVENT_CLASSES, "other_high_impact", "normal"]
+
+
+def bucket_days(events: DataFrame, day: str, name: Column | str, impact: Column | str) -> DataFrame:
+    """day, bucket: holiday (any grey event), else the best class of the day's red events.
+
+    Classes are told by words in the names of red events only; a red event of
+    no class is other_high_impact. Days without a grey or red event have no row
+    (they are normal, see joins.with_default); null names are of no class.
+    """
     t = F.lower(name)
-    order = ["holiday", "fomc", "cpi", "nfp", "ppi", "other_high_impact"]
-    # Words that name an event class.
-    rank = F.when(F.lower(impact) == "grey", 0).when(t.contains("fomc") | t.contains("rate decision"), 1).when(t.contains("cpi"), 2).when(t.contains("non-farm") | t.contains("nfp"), 3).when(t.contains("ppi"), 4).when(F.lower(impact) == "red", 5)
-    best = events.groupBy(day).agg(F.min(rank).alias("r")).where("r IS NOT NULL")
-    return best.select(day, F.element_at(F.array(*[F.lit(o) for o in order]), F.col("r") + 1).alias("bucket"))
+    red = F.lit(len(EVENT_CLASSES) + 1)
+    for i, words in reversed(list(enumerate(EVENT_CLASSES.values(), 1))):
+        red = F.when(F.greatest(*[t.contains(w) for w in words], F.lit(False)), i).otherwise(red)
+    kind = F.col(impact) if isinstance(impact, str) else impact
+    rank = F.when(kind == "grey", 0).when(kind == "red", red)
+    best = events.where(F.col(day).isNotNull()).groupBy(day).agg(F.min(rank).alias("r")).where("r IS NOT NULL")
+    return best.select(day, F.element_at(F.array(*[F.lit(o) for o in BUCKETS]), F.col("r") + 1).alias("bucket"))
 
 
 def split_halves(df: DataFrame, keys: list[str], day: str) -> DataFrame:
@@ -185,18 +206,22 @@ def sample_split(df: DataFrame, keys: list[str], day: str, pnl: str, fraction: f
 def correlations(df: DataFrame, member: str, day: str, pnl: str) -> DataFrame:
     """a, b, corr (a < b): Pearson correlation of daily totals, days without a trade counting zero; 0 where undefined.
 
-    From sums alone: products meet only on days both traded (a join on the
-    day of one row per member and day), and the number of days is that of all
-    distinct days.
+    Every pair of members has a row, also one that shares no day: this is a
+    matrix for up to MOST_AXIS members. From sums alone: products meet only on
+    days both traded (a join on the day of one row per member and day), and the
+    number of days is that of all distinct days. Rows without a member are left
+    out; those without a day or gain count nothing.
     """
-    daily = df.groupBy(member, day).agg(F.sum(pnl).alias("d"))
-    n = daily.select(day).distinct().agg(F.count(F.lit(1)).cast("double").alias("n"))
+    daily = df.where(F.col(member).isNotNull() & F.col(day).isNotNull()).groupBy(member, day).agg(F.coalesce(F.sum(pnl), F.lit(0.0)).alias("d"))
+    n = daily.select(day).distinct().agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
     m = daily.groupBy(member).agg(F.sum("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("q"))
     a, b = daily.select(F.col(member).alias("a"), day, F.col("d").alias("da")), daily.select(F.col(member).alias("b"), day, F.col("d").alias("db"))
     products = a.join(b, day).where("a < b").groupBy("a", "b").agg(F.sum(F.col("da") * F.col("db")).alias("p"))
-    full = products.join(m.select(F.col(member).alias("a"), F.col("s").alias("sa"), F.col("q").alias("qa")), "a").join(m.select(F.col(member).alias("b"), F.col("s").alias("sb"), F.col("q").alias("qb")), "b").join(F.broadcast(n))  # n is one row
+    pairs = m.select(F.col(member).alias("a"), F.col("s").alias("sa"), F.col("q").alias("qa"), F.explode(_axis(m, member)).alias("_b")).select("a", "sa", "qa", F.col(f"_b.{member}").alias("b")).where("a < b")
+    full = pairs.join(m.select(F.col(member).alias("b"), F.col("s").alias("sb"), F.col("q").alias("qb")), "b").join(products, ["a", "b"], "left").withColumn("n", n)
     va, vb = F.col("n") * F.col("qa") - F.col("sa") * F.col("sa"), F.col("n") * F.col("qb") - F.col("sb") * F.col("sb")
-    return full.select("a", "b", F.coalesce(F.when((va > 0) & (vb > 0), (F.col("n") * F.col("p") - F.col("sa") * F.col("sb")) / F.sqrt(F.when(va > 0, va) * F.when(vb > 0, vb))), F.lit(0.0)).alias("corr"))
+    p = F.coalesce("p", F.lit(0.0))
+    return full.select("a", "b", F.coalesce(F.when((va > 0) & (vb > 0), (F.col("n") * p - F.col("sa") * F.col("sb")) / F.sqrt(F.when(va > 0, va) * F.when(vb > 0, vb))), F.lit(0.0)).alias("corr"))
 
 
 def transitions(df: DataFrame, keys: list[str], day: str, state: str, max_gap_days: int = 5) -> DataFrame:

@@ -33,6 +33,13 @@ def latest_by(df: DataFrame, key: str, saved: str, columns: dict[str, Column]) -
     return pick.groupBy("k").agg(F.max("x").alias("x")).select(F.col("k").alias(key), *[F.col(f"x.{n}").alias(n) for n in columns])
 
 
+def _exact(amount: Column) -> Column:
+    """An amount as an exact decimal; null, NaN and infinite ones give null, one too large for it is an error."""
+    x = amount.cast("double")
+    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    return F.when(finite & (F.abs(x) >= 1e28), F.raise_error(F.lit("an amount of 1e28 or more is not added exactly")).cast(EXACT)).when(finite, amount.try_cast(EXACT))
+
+
 def trailing_segments(df: DataFrame, entity: str, day: str, amount: str, windows: tuple[int, ...] = (7, 30)) -> DataFrame:
     """entity, from_day, to_day, total_<n>...: spells of days with equal totals.
 
@@ -45,7 +52,7 @@ def trailing_segments(df: DataFrame, entity: str, day: str, amount: str, windows
     entity brings is bounded by its days.
     """
     counted = (
-        df.select(F.col(entity).alias("e"), F.col(day).alias("d"), F.when(F.abs(F.col(amount)) < float(1e28), F.col(amount)).try_cast(EXACT).alias("x"))
+        df.select(F.col(entity).alias("e"), F.col(day).alias("d"), _exact(F.col(amount)).alias("x"))
         .where("e IS NOT NULL AND d IS NOT NULL AND x IS NOT NULL")
         .groupBy("e", "d")
         .agg(F.sum("x").alias("x"))

@@ -77,7 +77,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_revisions(spark: SparkSession, d: str) -> DataFrame:
-    return late.revisions(table(spark, d, "options_oi_snapshot")).withColumn("arrival", F.col("arrival").cast("long"))
+    return late.revisions(table(spark, d, "options_oi_snapshot")).withColumns({"arrival": F.col("arrival").cast("long"), "day": F.date_format("day", "yyyy-MM-dd")})
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_committed, p2_found, p2_attributes, p3_found, p3_trailing, p4_found, p4_series, p6_found, p7_found, p7_revisions)}
@@ -241,4 +241,14 @@ SELECT instrument_id, strftime(session_date, '%Y-%m-%d') AS valid_from,
 FROM v
 """,
     "p7_found": _P7,
+    "p7_revisions": _P7.split("), final AS (")[0] + """), hours AS (
+  SELECT *, CASE WHEN arr::TIMESTAMP <= midnight THEN 0 ELSE ceil((epoch_us(arr) - epoch_us(midnight)) / 3600000000.0) END::BIGINT AS arrival FROM ok
+), cells AS (SELECT series, day, snapshot_type, arrival, count(*) AS n FROM hours GROUP BY ALL
+), held AS (
+  SELECT c.series, c.day, c.snapshot_type, c.arrival, arg_max(h.oi, struct_pack(a := h.snapshot_time, b := h.snapshot_id)) AS oi
+  FROM cells c JOIN hours h ON c.series IS NOT DISTINCT FROM h.series AND c.day = h.day AND c.snapshot_type = h.snapshot_type AND h.arrival <= c.arrival GROUP BY c.series, c.day, c.snapshot_type, c.arrival, h.instrument_id
+), totals AS (SELECT series, day, snapshot_type, arrival, sum(oi) AS total FROM held GROUP BY ALL)
+SELECT t.series, strftime(t.day, '%Y-%m-%d') AS day, t.snapshot_type, t.arrival, t.total::BIGINT AS oi_total, (sum(c.n) OVER (PARTITION BY t.series, t.day, t.snapshot_type ORDER BY t.arrival))::BIGINT AS publications
+FROM totals t JOIN cells c ON t.series IS NOT DISTINCT FROM c.series AND t.day = c.day AND t.snapshot_type = c.snapshot_type AND t.arrival = c.arrival
+""",
 }

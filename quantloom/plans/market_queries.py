@@ -313,7 +313,7 @@ def pool_is_oos_split(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {T}, dl AS (SELECT asset, day, sum(ticks) AS d FROM tr WHERE asset IS NOT NULL GROUP BY ALL), n AS (SELECT count(DISTINCT day)::DOUBLE AS n FROM dl), m AS (SELECT asset, sum(d) AS s, sum(d * d) AS q FROM dl GROUP BY ALL),
 p AS (SELECT a.asset AS a, b.asset AS b, sum(a.d * b.d) AS p FROM dl a JOIN dl b ON a.day = b.day AND a.asset < b.asset GROUP BY ALL)
-SELECT a, b, round(coalesce((n * p - x.s * y.s) / nullif(sqrt((n * x.q - x.s * x.s) * (n * y.q - y.s * y.s)), 0), 0), 6) AS corr FROM p JOIN m x ON p.a = x.asset JOIN m y ON p.b = y.asset, n""")
+SELECT a, b, round(coalesce((n * coalesce(p, 0) - x.s * y.s) / nullif(sqrt((n * x.q - x.s * x.s) * (n * y.q - y.s * y.s)), 0), 0), 6) AS corr FROM (SELECT x.asset AS a, y.asset AS b FROM m x JOIN m y ON x.asset < y.asset) LEFT JOIN p USING (a, b) JOIN m x ON a = x.asset JOIN m y ON b = y.asset, n""")
 def corr_matrix_zero_filled(spark: SparkSession, d: str) -> DataFrame:
     return report.correlations(_trades(spark, d).where("asset IS NOT NULL"), "asset", "day", "ticks").withColumn("corr", F.round("corr", 6))
 
@@ -488,21 +488,12 @@ def equity_four_curves(spark: SparkSession, d: str) -> DataFrame:
     return c.select("trade_id", F.round("commission", 6).alias("commission"), F.round("slippage", 6).alias("slippage"), *[F.round(x, 4).alias(x) for x in ("equity_gross", "equity_commission", "equity_slippage", "equity_net")])
 
 
-@query(f"""WITH {T}, n AS (SELECT row_number() OVER (ORDER BY trade_id) - 1 AS k, ticks * 12.5 AS p FROM tr WHERE run_id = (SELECT min(run_id) FROM tr)), c AS (SELECT count(*) AS c FROM n),
-g AS (SELECT path, step, (((((path * 7919 + step * 104729 + 11) % 2147483647) * 48271 + 11) % 2147483647 * 48271 + 7) % 2147483647) % c AS k FROM range(400) a(path), range(1, 51) b(step), c),
-e AS (SELECT path, step, sum(p) OVER (PARTITION BY path ORDER BY step) + 100000 AS q FROM g JOIN n USING (k))
-SELECT step::INT AS step, unnest([5.0, 50.0, 95.0])::DOUBLE AS percentile, round(unnest([quantile_cont(q, 0.05), quantile_cont(q, 0.5), quantile_cont(q, 0.95)]), 4) AS equity FROM e GROUP BY step""")
-def mc_percentile_bands(spark: SparkSession, d: str) -> DataFrame:
-    t = _trades(spark, d)
-    first = t.agg(F.min("run_id").alias("run_id"))
-    t = t.join(F.broadcast(first), "run_id").withColumns({"k": (F.row_number().over(Window.partitionBy("run_id").orderBy("trade_id")) - 1).cast("long"), "p": F.col("ticks") * 12.5})  # first is one row
-    n = t.count()
-    return simulate.bands(simulate.bootstrap_fixed(t, "k", "p", 400, 50, n, 11, 100_000.0), [5.0, 50.0, 95.0]).withColumn("equity", F.round("equity", 4))
-
-
-@query()
+@query(f"""WITH {T}, n AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY trade_id) - 1 AS k, count(*) OVER (PARTITION BY run_id) AS c, ticks * 12.5 AS p FROM tr), r AS (SELECT DISTINCT run_id, c FROM n),
+g AS (SELECT run_id, path, step, (((((path * 7919 + step * 104729 + 11) % 2147483647) * 48271 + 11) % 2147483647 * 48271 + 7) % 2147483647) % c AS k FROM range(400) a(path), range(1, 51) b(step), r),
+e AS (SELECT run_id, path, step, sum(p) OVER (PARTITION BY run_id, path ORDER BY step) + 100000 AS q FROM g JOIN n USING (run_id, k))
+SELECT run_id, step::INT AS step, unnest([5.0, 50.0, 95.0])::DOUBLE AS percentile, round(unnest([quantile_cont(q, 0.05), quantile_cont(q, 0.5), quantile_cont(q, 0.95)]), 4) AS equity FROM e GROUP BY run_id, step""")
 def mc_percentile_bands_by_run(spark: SparkSession, d: str) -> DataFrame:
-    """mc_percentile_bands, whose SQL holds the first run only, for every run."""
+    """Percentile bands of the bootstrapped equity of every run."""
     t = _trades(spark, d).select("run_id", "trade_id", (F.col("ticks") * 12.5).alias("p"))
     return simulate.fixed_by_run(t, ["run_id"], ["trade_id"], "p", 400, 50, 11, 100_000.0, [5.0, 50.0, 95.0]).withColumn("equity", F.round("equity", 4))
 
@@ -548,7 +539,15 @@ def rank_correlation(spark: SparkSession, d: str) -> DataFrame:
     return r.select("symbol", "n", F.round(F.col("c") / F.sqrt(F.col("a") * F.col("b")), 6).alias("rho"))
 
 
-@query()
+@query("""WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, session_date, seq ORDER BY ts_recv DESC) AS n FROM order_feed) WHERE n = 1),
+l AS (SELECT *, sum((action = 'R')::INT) OVER w AS life, max(floor(epoch_us(ts) / 1000000)) OVER w AS sec FROM f WINDOW w AS (PARTITION BY symbol, session_date ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+o AS (SELECT *, sum((action IN ('A', 'M'))::INT) OVER (PARTITION BY symbol, session_date, life, order_id ORDER BY seq) AS epoch FROM l WHERE action IN ('A', 'M', 'C', 'F') AND order_id IS NOT NULL),
+x AS (SELECT *, first_value(upper(side)) OVER w AS o_side, first_value(px) OVER w AS o_px, greatest(first_value(sz) OVER w - sum(CASE WHEN action IN ('C', 'F') THEN sz ELSE 0 END) OVER w, 0) AS lft
+FROM o WHERE epoch > 0 WINDOW w AS (PARTITION BY symbol, session_date, life, order_id, epoch ORDER BY seq)),
+y AS (SELECT *, lft - coalesce(lag(lft) OVER (PARTITION BY symbol, session_date, life, order_id, epoch ORDER BY seq), 0) AS delta, lag(o_side) OVER w AS p_side, lag(o_px) OVER w AS p_px, lag(lft) OVER w AS p_lft FROM x WINDOW w AS (PARTITION BY symbol, session_date, life, order_id ORDER BY seq)),
+c AS (SELECT symbol, session_date, life, sec, o_side AS side, o_px AS px, delta FROM y WHERE delta <> 0 UNION ALL SELECT symbol, session_date, life, sec, p_side, p_px, -p_lft FROM y WHERE action IN ('A', 'M') AND p_lft > 0),
+p AS (SELECT symbol, session_date, life, sec, side, px, sum(delta) AS delta FROM c GROUP BY ALL)
+SELECT symbol, strftime(session_date, '%Y-%m-%d') AS session_date, life::BIGINT AS life, sec::BIGINT AS sec, side, px, (sum(delta) OVER (PARTITION BY symbol, session_date, life, side, px ORDER BY sec))::BIGINT AS size FROM p""")
 def book_depth_by_second(spark: SparkSession, d: str) -> DataFrame:
     return book.depth_by_second(_changes(spark, d)).withColumn("session_date", _day("session_date"))
 
@@ -632,11 +631,17 @@ def expiry_tombstones(spark: SparkSession, d: str) -> DataFrame:
     return options.tombstones(table(spark, d, "options_oi_snapshot"), table(spark, d, "options_5m_contracts")).withColumn("expiry", _sec("expiry"))
 
 
-@query()
+@query(f"""WITH {T}, {B}, st AS (SELECT symbol AS asset, day, arg_max("close", minute) - arg_min(open, minute) AS x FROM bars GROUP BY ALL), dl AS (SELECT asset, day, sum(ticks) AS y FROM tr GROUP BY ALL), p AS (SELECT * FROM st JOIN dl USING (asset, day)),
+f AS (SELECT asset, count(*) AS n, avg(x) AS mx, var_pop(x) AS vx, regr_slope(y, x) AS beta, regr_intercept(y, x) AS alpha, regr_r2(y, x) AS r2 FROM p GROUP BY asset HAVING count(*) >= 3 AND var_pop(x) > 0),
+r AS (SELECT *, y - alpha - beta * x AS u FROM p JOIN f USING (asset)), l AS (SELECT *, lag(u, 1) OVER w AS u1, lag(u * x, 1) OVER w AS v1, lag(u, 2) OVER w AS u2, lag(u * x, 2) OVER w AS v2, lag(u, 3) OVER w AS u3, lag(u * x, 3) OVER w AS v3, lag(u, 4) OVER w AS u4, lag(u * x, 4) OVER w AS v4, lag(u, 5) OVER w AS u5, lag(u * x, 5) OVER w AS v5 FROM r WINDOW w AS (PARTITION BY asset ORDER BY day)),
+m AS (SELECT asset, sum((u) * (u)) + 0.8333333333333334 * coalesce(sum((u) * u1 + u1 * (u)), 0) + 0.6666666666666667 * coalesce(sum((u) * u2 + u2 * (u)), 0) + 0.5 * coalesce(sum((u) * u3 + u3 * (u)), 0) + 0.33333333333333337 * coalesce(sum((u) * u4 + u4 * (u)), 0) + 0.16666666666666663 * coalesce(sum((u) * u5 + u5 * (u)), 0) AS m00, sum((u) * (u * x)) + 0.8333333333333334 * coalesce(sum((u) * v1 + u1 * (u * x)), 0) + 0.6666666666666667 * coalesce(sum((u) * v2 + u2 * (u * x)), 0) + 0.5 * coalesce(sum((u) * v3 + u3 * (u * x)), 0) + 0.33333333333333337 * coalesce(sum((u) * v4 + u4 * (u * x)), 0) + 0.16666666666666663 * coalesce(sum((u) * v5 + u5 * (u * x)), 0) AS m01, sum((u * x) * (u)) + 0.8333333333333334 * coalesce(sum((u * x) * u1 + v1 * (u)), 0) + 0.6666666666666667 * coalesce(sum((u * x) * u2 + v2 * (u)), 0) + 0.5 * coalesce(sum((u * x) * u3 + v3 * (u)), 0) + 0.33333333333333337 * coalesce(sum((u * x) * u4 + v4 * (u)), 0) + 0.16666666666666663 * coalesce(sum((u * x) * u5 + v5 * (u)), 0) AS m10, sum((u * x) * (u * x)) + 0.8333333333333334 * coalesce(sum((u * x) * v1 + v1 * (u * x)), 0) + 0.6666666666666667 * coalesce(sum((u * x) * v2 + v2 * (u * x)), 0) + 0.5 * coalesce(sum((u * x) * v3 + v3 * (u * x)), 0) + 0.33333333333333337 * coalesce(sum((u * x) * v4 + v4 * (u * x)), 0) + 0.16666666666666663 * coalesce(sum((u * x) * v5 + v5 * (u * x)), 0) AS m11 FROM l GROUP BY asset),
+b AS (SELECT *, (vx + mx * mx) / (n * vx) AS a, -mx / (n * vx) AS b, 1.0::DOUBLE / (n * vx) AS c FROM f JOIN m USING (asset))
+SELECT asset, n::BIGINT AS n, round(beta, 6) AS beta, round(alpha, 4) AS alpha, round(r2, 6) AS r2, round(alpha / sqrt(greatest(a * a * m00 + a * b * (m01 + m10) + b * b * m11, 0)), 4) AS t_alpha, round(beta / sqrt(greatest(b * b * m00 + b * c * (m01 + m10) + c * c * m11, 0)), 4) AS t_beta FROM b""")
 def exposure_hac(spark: SparkSession, d: str) -> DataFrame:
     s = bars.session_statistics(_bars(spark, d), ["symbol", "day"], "minute", F.col("rth")).select(F.col("symbol").alias("asset"), "day", (F.col("globex_close") - F.col("globex_open")).alias("x"))
     y = _trades(spark, d).groupBy("asset", "day").agg(F.sum("ticks").alias("y"))
-    return report.exposure(s.join(y, ["asset", "day"]), ["asset"], "day")
+    e = report.exposure(s.join(y, ["asset", "day"]), ["asset"], "day")
+    return e.select("asset", "n", F.round("beta", 6).alias("beta"), F.round("alpha", 4).alias("alpha"), F.round("r2", 6).alias("r2"), F.round("t_alpha", 4).alias("t_alpha"), F.round("t_beta", 4).alias("t_beta"))
 
 
 @query()

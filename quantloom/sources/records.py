@@ -1,13 +1,17 @@
 """Files of fixed-size binary records, possibly zstd-compressed, as a Python data source.
 
-A file is a prefix of eight bytes (four of magic, four of metadata length, both
-little-endian), metadata to skip, and records of one layout. Files are the
-partitions; records come out as arrow batches. Options: layout (a name of
-LAYOUTS), path (a file or folder).
+A file is a prefix of eight bytes (three of magic, one of version, four of
+metadata length, little-endian), metadata to skip, and records of one layout,
+each of which begins with its own length in words of four bytes. A compressed
+file may have several frames. A file of another magic, version or record length
+and one that ends within a record are errors, as rows would be lost unseen.
+Files are the partitions; records come out as arrow batches. Options: layout (a
+name of LAYOUTS), path (a file or folder).
 """
 
 from __future__ import annotations
 
+import io
 import os
 import struct
 from collections.abc import Iterator
@@ -17,13 +21,23 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-# Fields of the record layouts, with their numpy types; h_ fields are the record header.
-HEADER = [("h_length", "u1"), ("h_rtype", "u1"), ("h_publisher", "<u2"), ("instrument_id", "<u4"), ("ts_event", "<u8")]
+# Fields of the published record layouts, with their numpy types.
+HEADER = [("length", "u1"), ("rtype", "u1"), ("publisher_id", "<u2"), ("instrument_id", "<u4"), ("ts_event", "<u8")]
 LAYOUTS = {
-    "statistics": [*HEADER, ("ts_recv", "<u8"), ("ts_ref", "<u8"), ("price", "<i8"), ("quantity", "<i4"), ("sequence", "<u4"), ("ts_in_delta", "<i4"), ("stat_type", "<u2"), ("channel_id", "<u2"), ("update_action", "u1"), ("stat_flags", "u1"), ("_pad", "V6")],
+    "statistics": [*HEADER, ("ts_recv", "<u8"), ("ts_ref", "<u8"), ("price", "<i8"), ("quantity", "<i4"), ("sequence", "<u4"), ("ts_in_delta", "<i4"), ("stat_type", "<u2"), ("channel_id", "<u2"), ("update_action", "u1"), ("stat_flags", "u1"), ("_reserved", "V6")],
+    "definition": [
+        *HEADER, ("ts_recv", "<u8"), ("min_price_increment", "<i8"), ("display_factor", "<i8"), ("expiration", "<u8"), ("activation", "<u8"), ("_limits", "V24"), ("trading_reference_price", "<i8"), ("unit_of_measure_qty", "<i8"), ("_increments", "V20"),
+        ("underlying_id", "<u4"), ("raw_instrument_id", "<u4"), ("_sizes", "V36"), ("contract_multiplier", "<i4"), ("_decay", "V14"), ("maturity_year", "<u2"), ("_decay_start", "V4"), ("currency", "S4"), ("settl_currency", "S4"), ("secsubtype", "S6"), ("raw_symbol", "S22"), ("group", "S21"), ("exchange", "S5"), ("asset", "S7"), ("cfi", "S7"),
+        ("security_type", "S7"), ("unit_of_measure", "S31"), ("underlying", "S21"), ("strike_price_currency", "S4"), ("instrument_class", "S1"), ("_reserved4", "V2"), ("strike_price", "<i8"), ("_reserved5", "V6"), ("_display", "V7"), ("security_update_action", "S1"), ("maturity_month", "u1"), ("maturity_day", "u1"), ("maturity_week", "u1"), ("user_defined_instrument", "S1"), ("_rest", "V6"),
+    ],
     "quotes": [*HEADER, ("price", "<i8"), ("size", "<u4"), ("action", "S1"), ("side", "S1"), ("flags", "u1"), ("depth", "u1"), ("ts_recv", "<u8"), ("ts_in_delta", "<i4"), ("sequence", "<u4"), ("bid_px", "<i8"), ("ask_px", "<i8"), ("bid_sz", "<u4"), ("ask_sz", "<u4"), ("bid_ct", "<u4"), ("ask_ct", "<u4")],
-}
-_SQL = {"u1": "int", "<u2": "int", "<u4": "bigint", "<u8": "bigint", "<i8": "bigint", "<i4": "int", "S1": "string"}
+    "orders": [*HEADER, ("order_id", "<u8"), ("price", "<i8"), ("size", "<u4"), ("flags", "u1"), ("channel_id", "u1"), ("action", "S1"), ("side", "S1"), ("ts_recv", "<u8"), ("ts_in_delta", "<i4"), ("sequence", "<u4")],
+}
+# Fields that are no columns; those with an underscore are reserved or not used.
+LEFT_OUT = {"length", "rtype", "publisher_id"}
+# Magic and versions of the format.
+MAGIC, VERSIONS = b"DBN", {1, 2, 3}
+_SQL = {"u1": "int", "<u2": "int", "<u4": "bigint", "<u8": "bigint", "<i8": "bigint", "<i4": "int"}
 _ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
 
 
@@ -34,12 +48,14 @@ def dtype(layout: str) -> np.dtype:
 
 def fields(layout: str) -> list[tuple[str, str]]:
     """(column, SQL type) of a layout, without header bytes and padding."""
-    return [(n, _SQL[t]) for n, t in LAYOUTS[layout] if not n.startswith(("h_", "_"))]
+    return [(n, "string" if t[0] == "S" else _SQL[t]) for n, t in LAYOUTS[layout] if n not in LEFT_OUT and n[0] != "_"]
 
 
 def pack(records: np.ndarray, compress: bool = True) -> bytes:
     """A file of records (used to write fixtures)."""
-    raw = b"RECS" + struct.pack("<I", 0) + records.tobytes()
+    records = records.copy()
+    records["length"] = records.dtype.itemsize // 4
+    raw = MAGIC + b"\x01" + struct.pack("<I", 0) + records.tobytes()
     if not compress:
         return raw
     import zstandard
@@ -48,17 +64,29 @@ def pack(records: np.ndarray, compress: bool = True) -> bytes:
 
 
 def unpack(raw: bytes, layout: str) -> np.ndarray:
-    """The records of a file; a part of a record at the end is left out."""
+    """The records of a file, of all its frames. A broken file is an error; an empty one has no records."""
     if raw[:4] == b"\x28\xb5\x2f\xfd":
         import zstandard
 
-        raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
-    if len(raw) < 8:
+        raw = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw), read_across_frames=True).read()
+    if not raw:
         return np.empty(0, dtype(layout))
-    start = 8 + struct.unpack_from("<I", raw, 4)[0]
-    size = dtype(layout).itemsize
-    n = max(0, (len(raw) - start) // size)
-    return np.frombuffer(raw, dtype(layout), n, start) if n else np.empty(0, dtype(layout))
+    if len(raw) < 8 or raw[:3] != MAGIC or raw[3] not in VERSIONS:
+        raise ValueError("no record file of a known version")
+    start, size = 8 + struct.unpack_from("<I", raw, 4)[0], dtype(layout).itemsize
+    n, rest = divmod(len(raw) - start, size)
+    if n < 0 or rest:
+        raise ValueError("the file ends within a record")
+    rows = np.frombuffer(raw, dtype(layout), n, start)
+    if n and (rows["length"].astype(int) * 4 != size).any():
+        raise ValueError(f"the records are not of the layout {layout}")
+    return rows
+
+
+def _text(v: np.ndarray) -> pa.Array:
+    """Fixed-size byte strings as text, padding left out; each distinct value is decoded once."""
+    values, at = np.unique(v, return_inverse=True)
+    return pa.array([x.decode("latin-1") for x in values.tolist()], pa.string()).take(pa.array(at))
 
 
 class _File(InputPartition):
@@ -83,7 +111,7 @@ class _Reader(DataSourceReader):
             columns = []
             for name, kind in fields(self.layout):
                 v = part[name]
-                columns.append(pa.array([x.decode("latin-1") for x in v.tolist()], pa.string()) if kind == "string" else pa.array(v.astype("i8" if kind == "bigint" else "i4"), _ARROW[kind]))
+                columns.append(_text(v) if kind == "string" else pa.array(v.astype("i8" if kind == "bigint" else "i4"), _ARROW[kind]))
             yield pa.RecordBatch.from_arrays(columns, names=[n for n, _ in fields(self.layout)])
 
 

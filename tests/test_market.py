@@ -234,6 +234,26 @@ def test_day_buckets(spark):
     assert got == {D: "fomc", D + timedelta(1): "holiday", D + timedelta(2): "other_high_impact"}
 
 
+def test_red_events_make_the_bucket_of_a_day(spark):
+    rows = [("a", "Bank Holiday", "grey"), ("a", "CPI m/m", "red"), ("b", "Retail Sales m/m", "red"), ("b", "Core PPI m/m", "red"), ("c", "CPI m/m", "red"), ("c", "FOMC Statement", "red"), ("d", "Flash Manufacturing PMI", "red"), ("e", "CPI m/m", "orange"), ("f", "Non-Farm Employment Change", "red"), ("g", "Rate Decision", "red"), ("h", None, "red"), (None, "CPI", "red")]
+    got = {r.d: r.bucket for r in report.bucket_days(spark.createDataFrame(rows, "d string, name string, impact string"), "d", F.col("name"), "impact").collect()}
+    assert got == {"a": "holiday", "b": "ppi", "c": "fomc", "d": "other_high_impact", "f": "nfp", "g": "other_high_impact", "h": "other_high_impact"}
+
+
+def test_members_without_a_common_day_have_a_correlation(spark):
+    rows = [("a", 1, 5.0), ("a", 2, -1.0), ("b", 3, 4.0), ("c", 1, 2.0), ("c", 3, 2.0), (None, 1, 1.0)]
+    got = {(r.a, r.b): r["corr"] for r in report.correlations(spark.createDataFrame(rows, "m string, d int, x double"), "m", "d", "x").collect()}
+    daily = {"a": [5, -1, 0], "b": [0, 0, 4], "c": [2, 0, 2]}
+    assert got == {(x, y): pytest.approx(float(np.corrcoef(daily[x], daily[y])[0, 1])) for x in daily for y in daily if x < y}
+
+
+def test_clock_of_a_book_holds_for_all_its_levels(spark):
+    day = date(2026, 1, 5)
+    rows = [("S", day, 1, datetime(2026, 1, 5, 10, 0, 9), "A", "B", 100, 5, 1), ("S", day, 2, datetime(2026, 1, 5, 10, 0, 4), "A", "A", 101, 5, 2), ("S", day, 5000, datetime(2026, 1, 5, 10, 0, 2), "A", "A", 102, 5, 3)]
+    df = spark.createDataFrame(rows, "symbol string, session_date date, seq long, ts timestamp, action string, side string, px long, sz long, order_id long")
+    assert {r.sec % 60 for r in book.depth_by_second(df).collect()} == {9}
+
+
 def test_book_depth_follows_a_hand_trace(spark):
     ev = [("A", "B", 100, 5, 1), ("A", "B", 100, 3, 2), ("F", None, 9, 2, 1), ("M", "B", 101, 4, 2), ("C", None, 9, 9, 7), ("C", "A", 9, 3, 1), ("R", "N", 0, 0, 0), ("A", "A", 102, 1, 1)]
     rows = [("S", D, i + 1, datetime(2026, 1, 5, 0, 0, i), a, s, p, z, o) for i, (a, s, p, z, o) in enumerate(ev)]

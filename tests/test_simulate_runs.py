@@ -2,6 +2,8 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quantloom.operators import simulate
@@ -22,7 +24,10 @@ def test_bands_of_the_first_run(spark):
     every = entry.queries()["mc_percentile_bands_by_run"](spark, SF).collect()
     first = min(r.run_id for r in every)
     got = {(r.step, r.percentile): r.equity for r in every if r.run_id == first}
-    want = {(r.step, r.percentile): r.equity for r in entry.queries()["mc_percentile_bands"](spark, SF).collect()}
+    t = market_queries._trades(spark, SF).where(F.col("run_id") == first)
+    t = t.withColumns({"k": (F.row_number().over(Window.partitionBy("run_id").orderBy("trade_id")) - 1).cast("long"), "p": F.col("ticks") * 12.5})
+    paths = simulate.bootstrap_fixed(t, "k", "p", 400, 50, t.count(), 11, 100_000.0)
+    want = {(r.step, r.percentile): r.equity for r in simulate.bands(paths, [5.0, 50.0, 95.0]).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-3) for k in want)
 
 

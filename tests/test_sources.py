@@ -36,19 +36,39 @@ def test_binary_records(spark, tmp_path, compress):
     rows["instrument_id"], rows["price"], rows["side"] = [1, 2, 3], [10**9, 2**63 - 1, -5], [b"A", b"B", b"N"]
     folder = tmp_path / "d"
     folder.mkdir()
-    (folder / "2026-01-05.bin").write_bytes(records.pack(rows, compress) if compress else records.pack(rows, False) + b"torn")
+    (folder / "2026-01-05.bin").write_bytes(records.pack(rows, compress))
     records.register(spark)
     got = spark.read.format("records").option("layout", "quotes").option("path", str(folder)).load().orderBy("instrument_id").collect()
     assert [(r.instrument_id, r.price, r.side) for r in got] == [(1, 10**9, "A"), (2, 2**63 - 1, "B"), (3, -5, "N")]
     assert len(records.unpack(b"", "quotes")) == 0
 
 
+def test_record_files_with_frames_and_faults():
+    import zstandard
+
+    sizes = {k: records.dtype(k).itemsize for k in records.LAYOUTS}
+    assert sizes == {"statistics": 64, "definition": 360, "quotes": 80, "orders": 56}
+    rows = np.zeros(50, records.dtype("definition"))
+    rows["strike_price"], rows["raw_symbol"], rows["instrument_class"], rows["maturity_year"] = np.arange(50) * 10**9, b"AXN C100", b"C", 2026
+    raw = records.pack(rows, False)
+    z = zstandard.ZstdCompressor()
+    back = records.unpack(z.compress(raw[:1000]) + z.compress(raw[1000:]), "definition")
+    assert back["strike_price"].tolist() == rows["strike_price"].tolist() and back["raw_symbol"][0] == b"AXN C100"
+    for bad in (raw + b"torn", b"RECS" + raw[4:], raw[:3] + b"\x09" + raw[4:]):
+        with pytest.raises(ValueError):
+            records.unpack(bad, "definition")
+    with pytest.raises(ValueError):
+        records.unpack(records.pack(np.zeros(9, records.dtype("quotes")), False), "definition")
+
+
 def test_calendar_text(spark, tmp_path):
     (tmp_path / "c.txt").write_text("Mon\nJan 5\n8:30am\nUSD\nCPI m/m\nUSD\nRetail Sales\n10:00pm\nEUR\nZEW\nTue\nJan 6\nAll Day\nUSD\nBank Holiday\n")
     got = sorted((str(r.date), r.time, r.event) for r in calendar_text.events(spark, str(tmp_path), 2026).collect())
-    assert got == [("2026-01-05", "08:30", "CPI m/m"), ("2026-01-05", "08:30", "Retail Sales"), ("2026-01-06", None, "Bank Holiday")]
-    kinds = [r.i for r in spark.createDataFrame([("Bank Holiday",), ("CPI m/m",), ("ZEW",)], "e string").select(calendar_text.impact(F.col("e")).alias("i")).collect()]
-    assert kinds == ["grey", "red", "orange"]
+    assert got == [("2026-01-05", "08:30", "CPI m/m"), ("2026-01-05", "08:30", "Retail Sales"), ("2026-01-06", "All Day", "Bank Holiday")]
+    kinds = [r.i for r in spark.createDataFrame([("Bank Holiday",), ("CPI m/m",), ("ZEW",), ("Daylight Saving Time Shift",), (None,)], "e string").select(calendar_text.impact(F.col("e")).alias("i")).collect()]
+    assert kinds == ["grey", "red", "red", None, None]
+    (tmp_path / "of_2031.txt").write_text("Wed Jan 1\nAll Day\nUSD\nBank Holiday\n")
+    assert {str(r.date) for r in calendar_text.events(spark, str(tmp_path / "of_2031.txt")).collect()} == {"2031-01-01"}
 
 
 def test_streams_equal_batch(spark, tmp_path):
