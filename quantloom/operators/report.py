@@ -212,13 +212,13 @@ def correlations(df: DataFrame, member: str, day: str, pnl: str) -> DataFrame:
     number of days is that of all distinct days. Rows without a member are left
     out; those without a day or gain count nothing.
     """
-    daily = df.where(F.col(member).isNotNull() & F.col(day).isNotNull()).groupBy(member, day).agg(F.coalesce(F.sum(pnl), F.lit(0.0)).alias("d"))
+    daily = df.where(F.col(member).isNotNull() & F.col(day).isNotNull()).groupBy(member, day).agg(F.coalesce(F.sum(pnl), F.lit(0.0)).alias("_d"))
     n = daily.select(day).distinct().agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
-    m = daily.groupBy(member).agg(F.sum("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("q"))
-    a, b = daily.select(F.col(member).alias("a"), day, F.col("d").alias("da")), daily.select(F.col(member).alias("b"), day, F.col("d").alias("db"))
+    m = daily.groupBy(member).agg(F.sum("_d").alias("_s"), F.sum(F.col("_d") * F.col("_d")).alias("_q"))
+    a, b = daily.select(F.col(member).alias("a"), day, F.col("_d").alias("da")), daily.select(F.col(member).alias("b"), day, F.col("_d").alias("db"))
     products = a.join(b, day).where("a < b").groupBy("a", "b").agg(F.sum(F.col("da") * F.col("db")).alias("p"))
-    pairs = m.select(F.col(member).alias("a"), F.col("s").alias("sa"), F.col("q").alias("qa"), F.explode(_axis(m, member)).alias("_b")).select("a", "sa", "qa", F.col(f"_b.{member}").alias("b")).where("a < b")
-    full = pairs.join(m.select(F.col(member).alias("b"), F.col("s").alias("sb"), F.col("q").alias("qb")), "b").join(products, ["a", "b"], "left").withColumn("n", n)
+    pairs = m.select(F.col(member).alias("a"), F.col("_s").alias("sa"), F.col("_q").alias("qa"), F.explode(_axis(m, member)).alias("_b")).select("a", "sa", "qa", F.col(f"_b.{member}").alias("b")).where("a < b")
+    full = pairs.join(m.select(F.col(member).alias("b"), F.col("_s").alias("sb"), F.col("_q").alias("qb")), "b").join(products, ["a", "b"], "left").withColumn("n", n)
     va, vb = F.col("n") * F.col("qa") - F.col("sa") * F.col("sa"), F.col("n") * F.col("qb") - F.col("sb") * F.col("sb")
     p = F.coalesce("p", F.lit(0.0))
     return full.select("a", "b", F.coalesce(F.when((va > 0) & (vb > 0), (F.col("n") * p - F.col("sa") * F.col("sb")) / F.sqrt(F.when(va > 0, va) * F.when(vb > 0, vb))), F.lit(0.0)).alias("corr"))

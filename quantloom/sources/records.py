@@ -27,7 +27,7 @@ LAYOUTS = {
     "statistics": [*HEADER, ("ts_recv", "<u8"), ("ts_ref", "<u8"), ("price", "<i8"), ("quantity", "<i4"), ("sequence", "<u4"), ("ts_in_delta", "<i4"), ("stat_type", "<u2"), ("channel_id", "<u2"), ("update_action", "u1"), ("stat_flags", "u1"), ("_reserved", "V6")],
     "definition": [
         *HEADER, ("ts_recv", "<u8"), ("min_price_increment", "<i8"), ("display_factor", "<i8"), ("expiration", "<u8"), ("activation", "<u8"), ("_limits", "V24"), ("trading_reference_price", "<i8"), ("unit_of_measure_qty", "<i8"), ("_increments", "V20"),
-        ("underlying_id", "<u4"), ("raw_instrument_id", "<u4"), ("_sizes", "V36"), ("contract_multiplier", "<i4"), ("_decay", "V14"), ("maturity_year", "<u2"), ("_decay_start", "V4"), ("currency", "S4"), ("settl_currency", "S4"), ("secsubtype", "S6"), ("raw_symbol", "S22"), ("group", "S21"), ("exchange", "S5"), ("asset", "S7"), ("cfi", "S7"),
+        ("underlying_id", "<u4"), ("raw_instrument_id", "<u4"), ("_sizes", "V36"), ("contract_multiplier", "<i4"), ("_decay", "V16"), ("maturity_year", "<u2"), ("_decay_start", "V4"), ("currency", "S4"), ("settl_currency", "S4"), ("secsubtype", "S6"), ("raw_symbol", "S22"), ("group", "S21"), ("exchange", "S5"), ("asset", "S7"), ("cfi", "S7"),
         ("security_type", "S7"), ("unit_of_measure", "S31"), ("underlying", "S21"), ("strike_price_currency", "S4"), ("instrument_class", "S1"), ("_reserved4", "V2"), ("strike_price", "<i8"), ("_reserved5", "V6"), ("_display", "V7"), ("security_update_action", "S1"), ("maturity_month", "u1"), ("maturity_day", "u1"), ("maturity_week", "u1"), ("user_defined_instrument", "S1"), ("_rest", "V6"),
     ],
     "quotes": [*HEADER, ("price", "<i8"), ("size", "<u4"), ("action", "S1"), ("side", "S1"), ("flags", "u1"), ("depth", "u1"), ("ts_recv", "<u8"), ("ts_in_delta", "<i4"), ("sequence", "<u4"), ("bid_px", "<i8"), ("ask_px", "<i8"), ("bid_sz", "<u4"), ("ask_sz", "<u4"), ("bid_ct", "<u4"), ("ask_ct", "<u4")],
