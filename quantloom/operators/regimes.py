@@ -43,15 +43,20 @@ def realised(df: DataFrame, keys: list[str], clock: Column, minutes: int = 30) -
     return s.withColumn("vol", vol).withColumn("ln_vol", F.ln("vol")).drop("ss")
 
 
-def robust_z(df: DataFrame, keys: list[str], day: str, value: str, lookback: int = 120, least: int = 2) -> DataFrame:
+def robust_z(df: DataFrame, keys: list[str], day: str, value: str, lookback: int = 120, least: int = 2, numbered: bool = False) -> DataFrame:
     """Adds center, scale, hist_n and z: against the same key's last `lookback` days, today not included.
 
+    numbered: day is a running number of the asset's days, and the frame is by
+    number, so days on which the key has no row take their place in it; else
+    it is by rows.
+
     The center is the median, the scale the median absolute deviation from it
     x 1.4826; null for fewer than `least` days or no spread. The deviations
     are taken from the day's own center, so the window's values are kept as an
     array of at most lookback numbers.
     """
-    w = Window.partitionBy(*keys).orderBy(day).rowsBetween(-lookback, -1)
+    w = Window.partitionBy(*keys).orderBy(day)
+    w = w.rangeBetween(-lookback, -1) if numbered else w.rowsBetween(-lookback, -1)
     x = df.withColumn("_past", F.filter(F.collect_list(value).over(w), lambda v: ~F.isnan(v)))
     mid = lambda a: F.when(F.size(a) > 0, (F.element_at(a, F.floor((F.size(a) + 1) / 2).cast("int")) + F.element_at(a, F.floor(F.size(a) / 2 + 1).cast("int"))) / 2)
     x = x.withColumn("_sorted", F.array_sort("_past")).withColumns({"hist_n": F.size("_past"), "center": mid(F.col("_sorted"))})
