@@ -62,10 +62,23 @@ def temporal(facts: DataFrame, versions: DataFrame, key: str, fact_day: str, act
     return out.select(*facts.columns, *[F.when(found, F.col(f"_v_{c}")).otherwise(F.col(f"_n.{c}")).alias(c) for c in columns])
 
 
-def interval(facts: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, columns: list[str]) -> DataFrame:
-    """facts within a span [start, end) of their key, with its columns; facts in no span are dropped. An equi-join on the key with a range condition."""
-    s = spans.select(F.col(key).alias("_k"), F.col(start).alias("_lo"), F.col(end).alias("_hi"), *columns)
-    return facts.join(s, (F.col(key) == F.col("_k")) & (F.col(at) >= F.col("_lo")) & (F.col(at) < F.col("_hi"))).drop("_k", "_lo", "_hi")
+def interval(facts: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, columns: list[str], disjoint: bool = True) -> DataFrame:
+    """facts within a span [start, end) of their key, with its columns; facts in no span are dropped.
+
+    disjoint: the spans of a key do not overlap, so a fact can only lie in the
+    last one that began: an as-of sweep, and no fact meets a span it does not
+    lie in. Overlapping spans are then an error; without disjoint a fact gives
+    a row for each span it lies in, by an equi-join on the key with a range
+    condition. Spans without a key, start or end and empty ones hold nothing.
+    """
+    s = spans.where(F.col(key).isNotNull() & (F.col(start) < F.col(end))).select(key, F.col(start).alias("_lo"), F.col(end).alias("_hi"), *[F.col(c).alias(f"_s_{c}") for c in columns]).distinct()
+    back = [F.col(f"_s_{c}").alias(c) for c in columns]
+    if not disjoint:
+        return facts.join(s.withColumnRenamed(key, "_k"), (F.col(key) == F.col("_k")) & (F.col(at) >= F.col("_lo")) & (F.col(at) < F.col("_hi"))).select(*facts.columns, *back)
+    clash = F.lead("_lo").over(Window.partitionBy(key).orderBy("_lo")) < F.col("_hi")
+    sure = F.when(clash, F.raise_error(F.lit("spans of a key overlap")).cast("boolean")).otherwise(True)
+    found = asof(facts, s.withColumn("_sure", sure).where("_sure").drop("_sure"), [key], at, "_lo", ["_hi", *[f"_s_{c}" for c in columns]])
+    return found.where(F.col(at) < F.col("_hi")).select(*facts.columns, *back)
 
 
 def legs(trades: DataFrame, parts: DataFrame, key: str, size: str, sign: str) -> DataFrame:

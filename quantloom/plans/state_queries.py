@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.functions.calendar import minute_of_day
-from quantloom.operators import chain, detectors, options, settlement
+from quantloom.operators import bars, chain, detectors, joins, options, pool, report, settlement
 from quantloom.plans import market_queries
-from quantloom.plans.market_queries import _PRINT, _RET, SQL, _bars, _day, _sec, query
+from quantloom.plans.market_queries import _PRINT, _RET, SQL, B, T, _bars, _day, _sec, _trades, query
 from quantloom.session import table
 
 _OPEN = """ok AS (SELECT *, snapshot_time::DATE AS session, lower(trim(snapshot_type)) AS kind FROM options_oi_snapshot WHERE instrument_id IS NOT NULL AND lower(trim(snapshot_type)) IN ('evening', 'morning') AND (expiry IS NULL OR snapshot_time <= expiry) AND arrived_at::TIMESTAMP < (snapshot_time::DATE + 8)::TIMESTAMP)"""
@@ -122,3 +122,74 @@ SELECT symbol, strftime(day, '%Y-%m-%d') AS day, clock::INT AS clock, CASE WHEN
 def session_direction(spark: SparkSession, d: str) -> DataFrame:
     clock = minute_of_day(F.col("minute") + F.expr("INTERVAL 2 HOURS"))
     return detectors.session_direction(_bars(spark, d), ["symbol"], clock).withColumns({"day": _day("day"), "up_ratio": F.round("up_ratio", 6)})
+
+
+@query(f"""WITH RECURSIVE {T}, o AS (SELECT run_id, day, ticks, entry_time AS e, exit_time AS x, row_number() OVER (PARTITION BY run_id ORDER BY entry_time, exit_time, asset, trade_id) AS n FROM tr WHERE entry_time IS NOT NULL AND exit_time IS NOT NULL AND asset IS NOT NULL AND run_id IS NOT NULL),
+w AS (SELECT run_id, n, x AS l, true AS k FROM o WHERE n = 1 UNION ALL SELECT o.run_id, o.n, CASE WHEN o.e >= w.l THEN o.x ELSE w.l END, o.e >= w.l FROM w JOIN o ON o.run_id = w.run_id AND o.n = w.n + 1),
+d AS (SELECT run_id, day, sum(ticks) AS d, count(*) AS n FROM o JOIN w USING (run_id, n) WHERE k GROUP BY ALL), e AS (SELECT *, sum(d) OVER (PARTITION BY run_id ORDER BY day) AS e FROM d), p AS (SELECT *, max(e) OVER (PARTITION BY run_id ORDER BY day) AS p FROM e)
+SELECT run_id, sum(d) AS total_ticks, CASE WHEN count(*) >= 2 AND stddev_samp(d) > 0 THEN round(avg(d) / stddev_samp(d) * sqrt(252.0), 6) END AS sharpe_daily, min(e - p) AS max_dd_ticks, round(min(CASE WHEN p > 0 THEN (e - p) / p END) * 100, 6) AS max_dd_pct, sum(n)::BIGINT AS n_trades, count(*)::BIGINT AS n_days FROM p GROUP BY run_id""")
+def combined_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """The assets of every run taken together without overlap."""
+    t = _trades(spark, d).where("entry_time IS NOT NULL AND exit_time IS NOT NULL AND asset IS NOT NULL AND run_id IS NOT NULL")
+    t = t.select(F.concat_ws(" ", F.col("run_id"), F.col("asset")).alias("vid"), "run_id", "trade_id", "entry_time", "exit_time", "ticks", "day")
+    sets = t.select("run_id", "vid").distinct().withColumnRenamed("run_id", "set_id")
+    e = pool.evaluate(t.drop("run_id"), sets, "set_id", "entry_time", "exit_time", ["trade_id"])
+    return e.withColumnRenamed("set_id", "run_id").withColumns({"sharpe_daily": F.round("sharpe_daily", 6), "max_dd_pct": F.round("max_dd_pct", 6)})
+
+
+@query(f"""WITH {T}, v AS (SELECT *, run_id::VARCHAR || ' · ' || coalesce(direction, 'unknown') || ' · exit=' || coalesce(exit_reason, 'none') AS vid, coalesce(direction, 'unknown') AS kind FROM tr WHERE run_id IS NOT NULL AND day_type IN ('none', 'fomc', 'cpi')),
+u AS (SELECT DISTINCT day FROM v), r AS (SELECT day, row_number() OVER (ORDER BY day) <= greatest(least(floor(count(*) OVER () * 0.7), count(*) OVER () - 1), 1) AS ins FROM u),
+c AS (SELECT vid, kind, count(*) FILTER (ins) AS n_is, count(*) FILTER (NOT ins) AS n_oos, coalesce(sum(ticks) FILTER (ins), 0) AS total_is FROM v JOIN r USING (day) GROUP BY ALL)
+SELECT vid, kind, n_is::BIGINT AS n_is, n_oos::BIGINT AS n_oos, total_is FROM c WHERE n_is >= CASE kind WHEN 'long' THEN 4 WHEN 'short' THEN 3 ELSE 1 END""")
+def variant_pool(spark: SparkSession, d: str) -> DataFrame:
+    """Variants by direction and exit rule with enough in-sample trades for their kind."""
+    v = pool.variants(_trades(spark, d).withColumnRenamed("exit_reason", "exit"), "run_id", "direction", ["exit"], {"day_type": ["none", "fomc", "cpi"]})
+    p = pool.floored(pool.in_sample(v, "day", 0.7), "direction", {"long": 4, "short": 3}, 1)
+    return p.groupBy("vid", F.coalesce("direction", F.lit("unknown")).alias("kind")).agg(F.count_if("in_sample").alias("n_is"), F.count_if(~F.col("in_sample")).alias("n_oos"), F.coalesce(F.sum(F.when(F.col("in_sample"), F.col("ticks"))), F.lit(0.0)).alias("total_is"))
+
+
+@query(f"""WITH g AS ({SQL["asof_labels"]}), {T} SELECT trade_id, run_id, sum(ticks) OVER (PARTITION BY run_id ORDER BY exit_time NULLS FIRST, trade_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumulative_ticks
+FROM tr JOIN g USING (trade_id) WHERE direction IN ('long', 'short') AND day_type IN ('none', 'fomc') AND regime IN ('up', 'flat') AND exit_reason IN ('target', 'stop', 'timeout')""")
+def filtered_trades(spark: SparkSession, d: str) -> DataFrame:
+    """Direction, day type, regime at entry and exit rule, one after the other; totals of what is left."""
+    t = _trades(spark, d).drop("cumulative_ticks").join(market_queries.QUERIES["asof_labels"](spark, d), "trade_id")
+    stages = [("direction", ["long", "short"]), ("day_type", ["none", "fomc"]), ("regime", ["up", "flat"]), ("exit_reason", ["target", "stop", "timeout"])]
+    return pool.filtered(t, stages, ["run_id"], ["exit_time", "trade_id"]).select("trade_id", "run_id", "cumulative_ticks")
+
+
+@query(f"""WITH {B}, sp AS (SELECT symbol, day, min(minute) AS lo, max(minute) AS hi FROM bars GROUP BY ALL), {T} SELECT trade_id, strftime(sp.day, '%Y-%m-%d') AS session FROM tr JOIN sp ON tr.asset = sp.symbol AND tr.entry_time::TIMESTAMP >= sp.lo AND tr.entry_time::TIMESTAMP < sp.hi""")
+def interval_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """The session, of many a symbol, that a trade was entered in."""
+    spans = _bars(spark, d).groupBy(F.col("symbol").alias("asset"), "day").agg(F.min("minute").alias("lo"), F.max("minute").alias("hi")).withColumnRenamed("day", "session")
+    t = _trades(spark, d).select("trade_id", "asset", "entry_time")
+    return joins.interval(t, spans, "asset", "entry_time", "lo", "hi", ["session"]).select("trade_id", _day("session").alias("session"))
+
+
+@query(f"""WITH {_PRINT}, n AS (SELECT instrument_id, min(underlying) AS underlying, min(series) AS series FROM options_5m_contracts GROUP BY ALL), v AS (SELECT underlying, ts_event::TIMESTAMP::DATE AS day, series, sum(size) AS v FROM pr JOIN n USING (instrument_id) WHERE underlying IS NOT NULL AND series IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY underlying, day ORDER BY v DESC, series) AS k FROM v)
+SELECT underlying, strftime(day, '%Y-%m-%d') AS day, max(CASE WHEN k = 1 THEN series END) AS front, max(CASE WHEN k = 1 THEN v END)::BIGINT AS front_volume, coalesce(max(CASE WHEN k = 2 THEN v END), 0)::BIGINT AS second_volume, coalesce(max(CASE WHEN k = 2 THEN v END), 0) > 0.2 * max(CASE WHEN k = 1 THEN v END) AS is_roll_day FROM r WHERE k <= 2 GROUP BY underlying, day""")
+def front_by_volume(spark: SparkSession, d: str) -> DataFrame:
+    names = table(spark, d, "options_5m_contracts").groupBy("instrument_id").agg(F.min("underlying").alias("underlying"), F.min("series").alias("series"))
+    p = options.classified(table(spark, d, "option_trades")).join(names, "instrument_id").where("underlying IS NOT NULL AND series IS NOT NULL").withColumn("day", F.to_date("ts_event"))
+    return bars.front_and_roll(p, ["underlying", "day"], "series", "size").withColumn("day", _day("day"))
+
+
+@query("""SELECT DISTINCT c.instrument_id, strftime(c.session_date, '%Y-%m-%d') AS day FROM options_5m_contracts c WHERE c.instrument_id IS NOT NULL AND c.session_date IS NOT NULL AND NOT EXISTS (SELECT 1 FROM option_trades t WHERE t.instrument_id = c.instrument_id AND t.ts_event::TIMESTAMP::DATE = c.session_date)""")
+def listed_without_prints(spark: SparkSession, d: str) -> DataFrame:
+    listed = table(spark, d, "options_5m_contracts").where("instrument_id IS NOT NULL AND session_date IS NOT NULL").select("instrument_id", F.col("session_date").alias("day")).distinct()
+    printed = table(spark, d, "option_trades").select("instrument_id", F.to_date("ts_event").alias("day")).distinct()
+    return listed.join(printed, ["instrument_id", "day"], "left_anti").withColumn("day", _day("day"))
+
+
+_LINE = r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun) (\d{1,2}) (\d{2}:\d{2}) [A-Z]{3} (.+) (red|orange|yellow|grey)$"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '[\r\n]+')) AS line FROM documents), e AS (SELECT doc_id, regexp_extract(line, '{_LINE}', 1)::INT AS dom, lower(regexp_extract(line, '{_LINE}', 3)) AS event, regexp_extract(line, '{_LINE}', 4) AS impact FROM l WHERE regexp_matches(line, '{_LINE}')),
+r AS (SELECT doc_id, dom, min(CASE WHEN impact = 'grey' THEN 1 WHEN impact = 'red' THEN CASE WHEN event LIKE '%fomc%' THEN 2 WHEN event LIKE '%cpi%' THEN 3 WHEN event LIKE '%non-farm employment change%' THEN 4 WHEN event LIKE '%ppi%' THEN 5 ELSE 6 END END) AS r FROM e GROUP BY ALL)
+SELECT doc_id, dom, ['holiday', 'fomc', 'cpi', 'nfp', 'ppi', 'other_high_impact'][r] AS bucket FROM r WHERE r IS NOT NULL""")
+def digest_day_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """The bucket of each day of each calendar digest among the documents."""
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", r"[\r\n]+")).alias("line")).where(F.col("line").rlike(_LINE))
+    part = lambda i: F.regexp_extract("line", _LINE, i)
+    events = lines.select(F.struct("doc_id", part(1).cast("int").alias("dom")).alias("day"), part(3).alias("event"), part(4).alias("impact"))
+    return report.bucket_days(events, "day", F.col("event"), "impact").select("day.doc_id", "day.dom", "bucket")
