@@ -71,6 +71,65 @@ def depth_by_second(changes: DataFrame) -> DataFrame:
     return per.withColumn("size", F.sum("delta").over(run).cast("long")).drop("delta")
 
 
+def _active(changes: DataFrame) -> DataFrame:
+    """book, sec, nth: the seconds in which a book had an event, numbered."""
+    seconds = _lives(changes).where("sec IS NOT NULL").select(*BOOK, "sec").distinct()
+    return seconds.withColumn("nth", F.row_number().over(Window.partitionBy(*BOOK).orderBy("sec")))
+
+
+def ladders(changes: DataFrame) -> DataFrame:
+    """book, sec, side, px, size: the whole depth at the end of every second with an event.
+
+    A level stands from the second it changes in to the next that changes it,
+    or to the second of the reset that ends its life. Active seconds are
+    numbered by book, so a level's stand is a range of numbers that is
+    unfolded where it lies; nothing is joined by ranges.
+    """
+    lives = _lives(changes).where("sec IS NOT NULL")
+    ends = lives.groupBy(*BOOK, "life").agg(F.min("sec").alias("start")).withColumn("end", F.lead("start").over(Window.partitionBy(*BOOK).orderBy("life"))).drop("start")
+    nth = _active(changes)
+    by = Window.partitionBy(*BOOK, "life", "side", "px").orderBy("sec")
+    d = depth_by_second(changes).withColumn("until", F.lead("sec").over(by)).join(ends, [*BOOK, "life"]).withColumn("until", F.coalesce("until", "end")).where("size > 0 AND (until IS NULL OR until > sec)")
+    d = d.join(nth, [*BOOK, "sec"]).drop("sec").join(nth.select(*BOOK, F.col("sec").alias("until"), F.col("nth").alias("stop")), [*BOOK, "until"], "left")
+    last = nth.groupBy(*BOOK).agg(F.max("nth").alias("last"))
+    d = d.join(last, BOOK).withColumn("nth", F.explode(F.sequence("nth", F.coalesce(F.col("stop") - 1, F.col("last")))))
+    return d.join(nth, [*BOOK, "nth"]).select(*BOOK, "sec", "side", "px", "size")
+
+
+def touch_by_second(ladder: DataFrame) -> DataFrame:
+    """book, sec, best_bid, best_ask, and levels and size by side of ladders()."""
+    bid, ask = F.col("side") == "B", F.col("side") == "A"
+    return ladder.groupBy(*BOOK, "sec").agg(
+        F.max(F.when(bid, F.col("px"))).alias("best_bid"), F.min(F.when(ask, F.col("px"))).alias("best_ask"), F.count_if(bid).alias("bid_levels"), F.count_if(ask).alias("ask_levels"),
+        F.coalesce(F.sum(F.when(bid, F.col("size"))), F.lit(0)).alias("bid_size"), F.coalesce(F.sum(F.when(ask, F.col("size"))), F.lit(0)).alias("ask_size"),
+    )
+
+
+def with_trade_range(seconds: DataFrame, tape: DataFrame) -> DataFrame:
+    """seconds (book, sec) with lo and hi: the range of prices traded in that second, null without a trade. tape: book, sec, px."""
+    return seconds.join(tape.groupBy(*BOOK, "sec").agg(F.min("px").alias("lo"), F.max("px").alias("hi")), [*BOOK, "sec"], "left")
+
+
+def cropped_ladders(ladder: DataFrame, tape: DataFrame, ticks: int, tick: int, times: float, window: int = 300) -> DataFrame:
+    """book, sec, side, px, size, near, baseline: ladders() cropped around the market of each second.
+
+    Near are levels within `ticks` of the span of the second's touch and traded
+    prices. A farther level stays if its size is at least `times` the side's
+    baseline: the median, over the seconds of the last `window` before, of the
+    median size of the near levels; no farther level stays without a baseline.
+    """
+    t = with_trade_range(touch_by_second(ladder), tape)
+    lo = F.least(F.coalesce("best_bid", "best_ask"), F.coalesce("lo", "best_bid", "best_ask")) - ticks * tick
+    hi = F.greatest(F.coalesce("best_ask", "best_bid"), F.coalesce("hi", "best_ask", "best_bid")) + ticks * tick
+    x = ladder.join(t.select(*BOOK, "sec", lo.alias("lo"), hi.alias("hi")), [*BOOK, "sec"]).withColumn("near", F.col("px").between(F.col("lo"), F.col("hi")))
+    each = x.where("near").groupBy(*BOOK, "side", "sec").agg(F.percentile("size", 0.5).alias("m"))
+    seconds = x.select(*BOOK, "side", "sec").distinct().join(each, [*BOOK, "side", "sec"], "left")
+    past = F.array_sort(F.collect_list("m").over(Window.partitionBy(*BOOK, "side").orderBy("sec").rangeBetween(-window + 1, -1)))
+    base = seconds.withColumn("_p", past).withColumn("baseline", F.when(F.size("_p") > 0, (F.element_at("_p", F.floor((F.size("_p") + 1) / 2).cast("int")) + F.element_at("_p", F.floor(F.size("_p") / 2 + 1).cast("int"))) / 2))
+    x = x.join(base.select(*BOOK, "side", "sec", "baseline"), [*BOOK, "side", "sec"])
+    return x.where(F.col("near") | (F.col("size") >= times * F.col("baseline"))).select(*BOOK, "sec", "side", "px", "size", "near", "baseline")
+
+
 def final_depth(state: DataFrame) -> DataFrame:
     """book, side, price, size, orders: depth of each level from the orders resting in it (as changes.current_state())."""
     return state.groupBy(*BOOK, "side", "px").agg(F.sum("sz").cast("long").alias("size"), F.count(F.lit(1)).alias("orders")).withColumn("price", fixed_point(F.col("px"))).drop("px")

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.functions.calendar import minute_of_day
-from quantloom.operators import bars, chain, detectors, joins, options, pool, report, settlement
+from quantloom.operators import bars, book, chain, detectors, joins, options, pool, report, settlement
 from quantloom.plans import market_queries
-from quantloom.plans.market_queries import _PRINT, _RET, SQL, B, T, _bars, _day, _sec, _trades, query
+from quantloom.plans.market_queries import _PRINT, _RET, SQL, B, T, _bars, _changes, _day, _sec, _trades, query
 from quantloom.session import table
 
 _OPEN = """ok AS (SELECT *, snapshot_time::DATE AS session, lower(trim(snapshot_type)) AS kind FROM options_oi_snapshot WHERE instrument_id IS NOT NULL AND lower(trim(snapshot_type)) IN ('evening', 'morning') AND (expiry IS NULL OR snapshot_time <= expiry) AND arrived_at::TIMESTAMP < (snapshot_time::DATE + 8)::TIMESTAMP)"""
@@ -193,3 +193,29 @@ def digest_day_buckets(spark: SparkSession, d: str) -> DataFrame:
     part = lambda i: F.regexp_extract("line", _LINE, i)
     events = lines.select(F.struct("doc_id", part(1).cast("int").alias("dom")).alias("day"), part(3).alias("event"), part(4).alias("impact"))
     return report.bucket_days(events, "day", F.col("event"), "impact").select("day.doc_id", "day.dom", "bucket")
+
+
+_LADDER = SQL["book_depth_by_second"].replace("SELECT symbol, strftime(session_date, '%Y-%m-%d') AS session_date, life::BIGINT AS life, sec::BIGINT AS sec, side, px, (sum(delta) OVER (PARTITION BY symbol, session_date, life, side, px ORDER BY sec))::BIGINT AS size FROM p", """, z AS (SELECT symbol, session_date, life, sec, side, px, sum(delta) OVER w AS size, lead(sec) OVER w AS nx FROM p WINDOW w AS (PARTITION BY symbol, session_date, life, side, px ORDER BY sec)),
+le AS (SELECT symbol, session_date, life, lead(min(sec)) OVER (PARTITION BY symbol, session_date ORDER BY life) AS e FROM l WHERE sec IS NOT NULL GROUP BY symbol, session_date, life), ac AS (SELECT DISTINCT symbol, session_date, sec FROM l WHERE sec IS NOT NULL),
+ld AS (SELECT ac.symbol, ac.session_date, ac.sec, z.side, z.px, z.size FROM z JOIN le USING (symbol, session_date, life) JOIN ac ON ac.symbol = z.symbol AND ac.session_date = z.session_date AND ac.sec >= z.sec AND (coalesce(z.nx, le.e) IS NULL OR ac.sec < coalesce(z.nx, le.e)) WHERE z.size > 0),
+tb AS (SELECT symbol, session_date, sec, max(px) FILTER (side = 'B') AS best_bid, min(px) FILTER (side = 'A') AS best_ask, count(*) FILTER (side = 'B') AS bid_levels, count(*) FILTER (side = 'A') AS ask_levels, coalesce(sum(size) FILTER (side = 'B'), 0) AS bid_size, coalesce(sum(size) FILTER (side = 'A'), 0) AS ask_size FROM ld GROUP BY ALL)""")
+
+
+@query(f"""{_LADDER} SELECT symbol, strftime(session_date, '%Y-%m-%d') AS day, sec::BIGINT AS sec, best_bid, best_ask, bid_levels::BIGINT AS bid_levels, ask_levels::BIGINT AS ask_levels, bid_size::BIGINT AS bid_size, ask_size::BIGINT AS ask_size FROM tb""")
+def book_touch_by_second(spark: SparkSession, d: str) -> DataFrame:
+    t = book.touch_by_second(book.ladders(_changes(spark, d)))
+    return t.withColumn("day", _day("session_date")).drop("session_date")
+
+
+@query(f"""{_LADDER}, tp AS (SELECT symbol, session_date, floor(epoch_us(ts) / 1000000) AS sec, min(px) AS lo, max(px) AS hi FROM f WHERE action = 'T' AND ts IS NOT NULL GROUP BY ALL),
+wn AS (SELECT tb.symbol, tb.session_date, tb.sec, least(coalesce(best_bid, best_ask), coalesce(lo, best_bid, best_ask)) - 2000000000 AS lo, greatest(coalesce(best_ask, best_bid), coalesce(hi, best_ask, best_bid)) + 2000000000 AS hi FROM tb LEFT JOIN tp USING (symbol, session_date, sec)),
+nr AS (SELECT ld.*, px BETWEEN lo AND hi AS near FROM ld JOIN wn USING (symbol, session_date, sec)), md AS (SELECT symbol, session_date, side, sec, quantile_cont(size, 0.5) FILTER (near) AS m FROM nr GROUP BY ALL),
+bs AS (SELECT symbol, session_date, side, sec, quantile_cont(m, 0.5) OVER (PARTITION BY symbol, session_date, side ORDER BY sec RANGE BETWEEN 299 PRECEDING AND 1 PRECEDING) AS baseline FROM md)
+SELECT nr.symbol, strftime(nr.session_date, '%Y-%m-%d') AS day, nr.side, nr.sec::BIGINT AS sec, count(*) FILTER (near)::BIGINT AS near_levels, count(*) FILTER (NOT near)::BIGINT AS far_levels, any_value(baseline)::DOUBLE AS baseline FROM nr JOIN bs ON nr.symbol = bs.symbol AND nr.session_date = bs.session_date AND nr.side = bs.side AND nr.sec = bs.sec WHERE near OR size >= 3 * baseline GROUP BY nr.symbol, nr.session_date, nr.side, nr.sec""")
+def book_cropped_by_second(spark: SparkSession, d: str) -> DataFrame:
+    """Levels left by second and side: within eight ticks of the market, or three times the rolling baseline."""
+    c = _changes(spark, d)
+    tape = c.where("action = 'T' AND ts IS NOT NULL").select("symbol", "session_date", F.floor(F.unix_micros("ts") / 1_000_000).alias("sec"), "px")
+    x = book.cropped_ladders(book.ladders(c), tape, 8, 250_000_000, 3.0, 300)
+    g = x.groupBy("symbol", "session_date", "side", "sec").agg(F.count_if("near").alias("near_levels"), F.count_if(~F.col("near")).alias("far_levels"), F.max("baseline").alias("baseline"))
+    return g.withColumn("day", _day("session_date")).drop("session_date")
