@@ -8,9 +8,10 @@ trade in one arrow batch, and runs are the unit of parallelism.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -28,27 +29,28 @@ def no_overlap(df: DataFrame, keys: list[str], entry: str, exit_: str, tie: list
     """Rows kept by the greedy walk in order of (entry, exit, tie): a row is kept if it enters at or after the last kept exit.
 
     A row that enters at or after every exit before it starts the walk anew,
-    whatever was kept. So each group is cut into islands of overlapping rows by
-    a running maximum, and only an island is walked in one arrow batch.
+    whatever was kept: a running maximum marks it. The walk itself is a fold
+    over the sorted rows, a batch at a time, that holds one number. Rows
+    without entry or exit are left out.
     """
-    rows = df.withColumns({"_e": F.unix_micros(entry), "_x": F.unix_micros(exit_)})
+    rows = df.withColumns({"_e": F.unix_micros(entry), "_x": F.unix_micros(exit_)}).where("_e IS NOT NULL AND _x IS NOT NULL")
     order = Window.partitionBy(*keys).orderBy("_e", "_x", *tie)
-    rows = rows.withColumn("_max", F.max("_x").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("_island", F.sum(F.when(F.col("_e") < F.col("_max"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_max")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_e", "_x", *tie], kind="stable")
-        last, keep = None, []
-        for e, x in zip(pdf["_e"].tolist(), pdf["_x"].tolist()):
-            take = last is None or e >= last
-            keep.append(take)
-            if take:
-                last = x
-        return pdf[keep]
-
-    alone = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_island")))
-    single, crowded = alone.where("_n = 1").drop("_n"), alone.where("_n > 1").drop("_n")
-    return single.unionByName(crowded.groupBy(*keys, "_island").applyInPandas(walk, rows.schema)).drop("_e", "_x", "_island")
+    before = F.max("_x").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    # The window leaves its rows sorted by keys and order, and the walk takes them as they come.
+    rows = rows.withColumn("_anew", ~F.coalesce(F.col("_e") < before, F.lit(False)))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = 0
+        for batch in batches:
+            keep = []
+            for e, x, anew in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_e", "_x", "_anew"))):
+                take = anew or e >= last
+                keep.append(take)
+                if take:
+                    last = x
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(walk, rows.schema).drop("_e", "_x", "_anew")
 
 
 def hysteresis(df: DataFrame, keys: list[str], order: list[str], z: str, names: tuple[str, str, str] = ("high", "normal", "low"), enter: tuple[float, float] = (1.0, -1.0), leave: tuple[float, float] = (0.5, -0.5)) -> DataFrame:
