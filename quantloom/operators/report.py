@@ -305,3 +305,49 @@ def benchmark(stats: DataFrame, keys: list[str], day: str, tick: float) -> DataF
     px = F.coalesce("settlement", "close")
     roll = F.lag("symbol").over(w) != F.col("symbol")
     return stats.select(*keys, day, F.when(~F.coalesce(roll, F.lit(True)), (px - F.lag(px).over(w)) / tick).alias("settle_move"), F.when(~F.coalesce(roll, F.lit(False)), (F.col("rth_close") - F.col("rth_open")) / tick).alias("rth_move"))
+
+
+def color_scale(cells: DataFrame, metric: str, count: str, least: int, gamma: float = 1.0) -> DataFrame:
+    """cells with masked (fewer than `least` trades) and shade: the metric from 0 at the smallest to 1 at the largest finite value, to the power gamma.
+
+    Values that are not finite have no shade; if all finite ones are equal,
+    each is in the middle.
+    """
+    x = F.col(metric).cast("double")
+    finite = F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+    ends = cells.agg(F.min(finite).alias("lo"), F.max(finite).alias("hi"))
+    lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
+    part = F.when(hi > lo, (finite - lo) / F.when(hi > lo, hi - lo)).otherwise(F.when(finite.isNotNull(), 0.5))
+    return cells.withColumns({"masked": F.coalesce(F.col(count), F.lit(0)) < least, "shade": F.pow(part, F.lit(gamma))})
+
+
+def distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, n, mean, sd, deciles (10 to 90) of the values that are neither null nor NaN."""
+    ok = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    return ok.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.percentile(value, F.array(*[F.lit(i / 10) for i in range(1, 10)])).alias("deciles"))
+
+
+def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: n, agree (share of rows where two labels are equal), chance (what independent labels with these shares would reach) and lift (their ratio); unknown and null labels do not count."""
+    ok = df.where(f"`{a}` IS NOT NULL AND `{b}` IS NOT NULL AND `{a}` <> 'unknown' AND `{b}` <> 'unknown'")
+    counts = ok.groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    each = counts.select(F.explode(F.array(F.struct(F.col("x").alias("s"), F.col("n").alias("na"), F.lit(0).cast("long").alias("nb"), F.when(F.col("x") == F.col("y"), F.col("n")).otherwise(0).alias("ok")), F.struct(F.col("y").alias("s"), F.lit(0).cast("long").alias("na"), F.col("n").alias("nb"), F.lit(0).cast("long").alias("ok")))).alias("e")).select("e.*")
+    by = each.groupBy("s").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"), F.sum("ok").alias("ok"))
+    t = by.agg(F.sum("na").alias("n"), F.sum("ok").alias("ok"), F.sum(F.col("na").cast("double") * F.col("nb")).alias("p"))
+    n = F.col("n").cast("double")
+    return t.select("n", ratio(F.col("ok").cast("double"), n).alias("agree"), ratio(F.col("p"), n * n).alias("chance"), ratio(F.col("ok") * n, F.col("p")).alias("lift"))
+
+
+def change_rate(df: DataFrame, keys: list[str], order: list[str], clock: str, state: str) -> DataFrame:
+    """clock, n, changes, rate: how often a label differs from the one before it in its group, by clock; unknown labels break the chain."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    x = df.withColumn("_before", F.lag(state).over(w)).where(f"_before <> 'unknown' AND `{state}` <> 'unknown'")
+    g = x.groupBy(clock).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_before") != F.col(state)).alias("changes"))
+    return g.withColumn("rate", F.col("changes") / F.col("n"))
+
+
+def interval_variance(df: DataFrame, keys: list[str], clock: str, squares: str, count: str) -> DataFrame:
+    """keys, clock, variance: mean square of the returns between a snapshot and the one before, from running sums of squares and counts; null without returns."""
+    w = Window.partitionBy(*keys).orderBy(clock)
+    ds, dn = (F.col(c) - F.coalesce(F.lag(c).over(w), F.lit(0)) for c in (squares, count))
+    return df.select(*keys, clock, F.when(dn > 0, ds / F.when(dn > 0, dn)).alias("variance"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quantloom.operators.joins import asof
+
 
 def read_days(spark: SparkSession, path: str, start: date | None = None, end: date | None = None, columns: list[str] | None = None, day: str = "dt") -> DataFrame:
     """The days of a table within [start, end], only the columns asked for that there are; missing ones come as null.
@@ -56,6 +58,40 @@ def file_day(df: DataFrame) -> DataFrame:
     return df.withColumn("day", F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4}-\d{2}-\d{2})", 1).try_cast("date"))
 
 
+def read_range(spark: SparkSession, path: str, key: str, value, at: str, start, end, day: str = "dt") -> DataFrame:
+    """The rows of one key with start <= at <= end, in order of time; only the days of the range are read (and those around it)."""
+    df = spark.read.parquet(path)
+    near = F.col(day).between(F.date_sub(F.lit(start).cast("date"), 1), F.date_add(F.lit(end).cast("date"), 1))
+    return df.where(near & (F.col(key) == F.lit(value)) & F.col(at).between(F.lit(start), F.lit(end))).orderBy(at)
+
+
+def around(rows: DataFrame, keys: list[str], at: str, marks: DataFrame, mark: str, start: str, end: str, before: int, after: int) -> DataFrame:
+    """mark and rows: those from `before` rows ahead of the last one at or before start to `after` rows behind the first at or after end.
+
+    marks: mark, keys, start, end. Rows of a key are numbered in order of time
+    and a mark's span is a range of numbers, unfolded and met by equality.
+    """
+    numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(at)))
+    place = numbered.select(*keys, F.col(at).alias("_at"), "_n")
+    m = asof(marks, place, keys, start, "_at", ["_n"]).withColumnRenamed("_n", "_a")
+    back = place.select(*keys, F.timestamp_micros(-F.unix_micros("_at")).alias("_neg"), F.col("_n").alias("_b"))
+    m = asof(m.withColumn("_end", F.timestamp_micros(-F.unix_micros(end))), back, keys, "_end", "_neg", ["_b"])
+    lo, hi = F.greatest(F.coalesce("_a", F.lit(1)) - before, F.lit(1)), F.coalesce(F.col("_b"), F.lit(2**31 - 2 - after)) + after
+    last = numbered.groupBy(*keys).agg(F.max("_n").alias("_last"))
+    m = m.join(last, keys).withColumn("_n", F.explode(F.sequence(lo, F.least(F.greatest(lo, hi), "_last"))))
+    return m.select(mark, *keys, "_n").join(numbered, [*keys, "_n"]).drop("_n")
+
+
+def save_filtered(df: DataFrame, provenance: dict | None, path: str) -> None:
+    """A table of trades with the filters it went through; None says that it went through none."""
+    save_run(df, {"filters": provenance, "rows": df.count(), "bits": fingerprint(df).first()["bits"]}, path)
+
+
+def provenance(spark: SparkSession, path: str) -> dict | None:
+    """The filters of a saved table, None if it was not filtered."""
+    return load_run(spark, path)[1]["filters"]
+
+
 def save_run(df: DataFrame, meta: dict, path: str) -> None:
     """A run: its rows as a table and its description beside them, as one-row tables of one folder."""
     df.write.mode("errorifexists").parquet(f"{path}/rows")

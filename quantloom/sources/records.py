@@ -18,9 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from quantloom.functions.market import fixed_point
+from quantloom.operators.joins import interval
+
 # Fields of the published record layouts, with their numpy types.
 HEADER = [("length", "u1"), ("rtype", "u1"), ("publisher_id", "<u2"), ("instrument_id", "<u4"), ("ts_event", "<u8")]
 LAYOUTS = {
@@ -99,7 +103,7 @@ class _Reader(DataSourceReader):
         self.path, self.layout = options["path"], options.get("layout", "quotes")
 
     def partitions(self) -> list[InputPartition]:
-        if os.path.isdir(self.path):
+        if os.path.isdir(self.path):  # files that every host sees under the same path
             return [_File(os.path.join(self.path, f)) for f in sorted(os.listdir(self.path)) if not f.startswith((".", "_"))]
         return [_File(self.path)]
 
@@ -115,6 +119,35 @@ class _Reader(DataSourceReader):
             yield pa.RecordBatch.from_arrays(columns, names=[n for n, _ in fields(self.layout)])
 
 
+def order_events(orders: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """Records of layout orders as an order feed: ts, ts_recv, seq, action, side, px, sz, order_id, instrument_id, in terms of receive time.
+
+    A side other than A and B is null. symbols (instrument_id, symbol, start,
+    end): adds the symbol valid when the event was received; events without one
+    are dropped.
+    """
+    at = lambda c: F.timestamp_micros(F.expr(f"{c} DIV 1000"))
+    out = orders.select(at("ts_event").alias("ts"), at("ts_recv").alias("ts_recv"), F.col("sequence").alias("seq"), F.upper("action").alias("action"), F.when(F.upper("side").isin("A", "B"), F.upper("side")).alias("side"), F.col("price").alias("px"), F.col("size").alias("sz"), "order_id", "instrument_id")
+    return out if symbols is None else interval(out, symbols, "instrument_id", "ts_recv", "start", "end", ["symbol"])
+
+
+def definitions(records: DataFrame) -> DataFrame:
+    """Records of layout definition as a contract store: outright calls and puts only, one row per contract and activation, the latest definition of each.
+
+    instrument_id, activation, expiry, strike, cp_flag (call, put), asset,
+    underlying, underlying_id, raw_symbol, multiplier; undefined prices and
+    times are null.
+    """
+    at = lambda c: F.when(F.col(c).between(1, 2**62), F.timestamp_micros(F.expr(f"{c} DIV 1000")))
+    outright = records.where(F.col("instrument_class").isin("C", "P"))
+    rows = outright.select(
+        "instrument_id", at("activation").alias("activation"), "ts_recv", at("expiration").alias("expiry"), fixed_point(F.col("strike_price")).alias("strike"), F.when(F.col("instrument_class") == "C", "call").otherwise("put").alias("cp_flag"),
+        "asset", "underlying", "underlying_id", "raw_symbol", F.when(F.col("contract_multiplier") != 2**31 - 1, F.col("contract_multiplier")).alias("multiplier"),
+    )
+    names = [c for c in rows.columns if c not in ("instrument_id", "activation", "ts_recv")]
+    return rows.groupBy("instrument_id", "activation").agg(F.max(F.struct("ts_recv", *names)).alias("x")).select("instrument_id", "activation", *[f"x.{c}" for c in names])
+
+
 class Records(DataSource):
     """spark.read.format("records").option("layout", ...).load(path)."""
 
