@@ -469,14 +469,33 @@ def _sized(spark: SparkSession, d: str, rule) -> DataFrame:
     return folds.sized(t, ["run_id"], ["exit_time", "trade_id"], rule)
 
 
-@query()
+def _dollars_sql(facts: str, size: str) -> str:
+    """SQL of the metrics of trades sized one after the other: facts is one row a run, size the contracts at equity eq."""
+    columns = "final_equity total avg_trade avg_win avg_loss largest_win largest_loss max_dd_dollars max_dd_pct max_peak win_rate cost_drag sharpe_daily sharpe_trade profit_factor calmar".split()
+    return f"""WITH RECURSIVE {T}, o AS (SELECT run_id, trade_id, day, ticks, pnl_points, entry_price, sl, row_number() OVER (PARTITION BY run_id ORDER BY exit_time, trade_id) AS n FROM tr WHERE exit_time IS NOT NULL), fa AS ({facts}),
+z AS (SELECT run_id, 0::BIGINT AS n, 100000.0::DOUBLE AS eq, 0.0::DOUBLE AS c, 0.0::DOUBLE AS g, NULL::DATE AS day FROM (SELECT DISTINCT run_id FROM o) UNION ALL
+SELECT run_id, n, eq + ticks * 12.5::DOUBLE * c, c, ticks * 12.5::DOUBLE * c, day FROM (SELECT o.run_id, o.n, z.eq, o.ticks, o.day, {size} AS c FROM z JOIN o ON o.run_id = z.run_id AND o.n = z.n + 1 JOIN fa ON fa.run_id = o.run_id)),
+y AS (SELECT *, 100000 + sum(g) OVER w AS e FROM z WHERE n > 0 WINDOW w AS (PARTITION BY run_id ORDER BY n)), p AS (SELECT *, max(e) OVER (PARTITION BY run_id ORDER BY n) AS pk FROM y),
+dy AS (SELECT run_id, avg(d) AS m, stddev_samp(d) AS s FROM (SELECT run_id, day, sum(g) AS d FROM y GROUP BY ALL) GROUP BY run_id),
+a AS (SELECT run_id, arg_max(e, n) AS final_equity, sum(g) AS total, avg(g) AS avg_trade, coalesce(avg(g) FILTER (g > 0), 0) AS avg_win, coalesce(avg(g) FILTER (g < 0), 0) AS avg_loss, max(g) AS largest_win, min(g) AS largest_loss, min(e - pk) AS max_dd_dollars, min(CASE WHEN pk > 0 THEN (e - pk) / pk * 100 ELSE 0 END) AS max_dd_pct, max(pk) AS max_peak,
+count(*) FILTER (c > 0) AS total_trades, coalesce(avg((g > 0)::INT) FILTER (c > 0), 0) AS win_rate, count(*) FILTER (c <= 0) AS skipped, 0.0::DOUBLE AS cost_drag, coalesce(avg(g) / nullif(stddev_samp(g), 0) * sqrt(count(DISTINCT day)), 0) AS sharpe_trade, coalesce(sum(g) FILTER (c > 0 AND g > 0), 0) AS w, coalesce(-sum(g) FILTER (c > 0 AND g < 0), 0) AS l FROM p GROUP BY run_id),
+b AS (SELECT a.*, coalesce(dy.m / nullif(dy.s, 0) * sqrt(252.0::DOUBLE), 0) AS sharpe_daily, CASE WHEN l > 0 THEN w / l WHEN w > 0 THEN 'Infinity'::DOUBLE ELSE 0 END AS profit_factor, CASE WHEN max_dd_dollars < 0 THEN total / abs(max_dd_dollars) ELSE 'Infinity'::DOUBLE END AS calmar FROM a JOIN dy USING (run_id))
+SELECT run_id, total_trades::BIGINT AS total_trades, skipped::BIGINT AS skipped, {", ".join(f"round({c}, 4) AS {c}" for c in columns)} FROM b"""
+
+
+def _dollars(sized: DataFrame) -> DataFrame:
+    m = report.dollar_metrics(sized, ["run_id"], ["exit_time", "trade_id"])
+    return m.withColumns({c: F.round(c, 4) for c, kind in m.dtypes if kind == "double"})
+
+
+@query(_dollars_sql("SELECT run_id, r, coalesce(greatest(p - (1 - p) / (w / r), 0) * 0.25::DOUBLE, 0) AS share FROM (SELECT run_id, count(*) FILTER (ticks > 0)::DOUBLE / count(*) AS p, avg(ticks) FILTER (ticks > 0) AS w, -avg(ticks) FILTER (ticks < 0) AS r FROM o GROUP BY run_id)", "coalesce(greatest(round(floor(z.eq * fa.share / (fa.r * 12.5::DOUBLE) / 0.1::DOUBLE) * 0.1::DOUBLE, 1), 0), 0)"))
 def kelly_sizing(spark: SparkSession, d: str) -> DataFrame:
-    return report.dollar_metrics(_sized(spark, d, folds.kelly_rule()), ["run_id"], ["exit_time", "trade_id"])
+    return _dollars(_sized(spark, d, folds.kelly_rule()))
 
 
-@query()
+@query(_dollars_sql("SELECT run_id, arg_min(ticks / pnl_points, n) FILTER (pnl_points <> 0) AS pp FROM o GROUP BY run_id", "CASE WHEN abs(o.entry_price - o.sl) * fa.pp * 12.5::DOUBLE > 0 THEN round(floor(z.eq * 0.01::DOUBLE / (abs(o.entry_price - o.sl) * fa.pp * 12.5::DOUBLE) / 0.1::DOUBLE) * 0.1::DOUBLE, 1) ELSE 0 END"))
 def risk_sizing(spark: SparkSession, d: str) -> DataFrame:
-    return report.dollar_metrics(_sized(spark, d, folds.risk_rule()), ["run_id"], ["exit_time", "trade_id"])
+    return _dollars(_sized(spark, d, folds.risk_rule()))
 
 
 @query(f"""WITH {T}, s AS (SELECT *, ticks * 12.5 * 1.5 AS g, (1 * 2.25 + 5 * 0.62) * 2 AS cm, (CASE WHEN ticks < 0 THEN 2 ELSE 1 END) * 12.5 * 1.5 AS sl2 FROM tr WHERE exit_time IS NOT NULL)
