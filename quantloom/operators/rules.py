@@ -16,7 +16,7 @@ def _first(cond: Column, pos: str = "pos") -> Column:
     return F.min(F.when(cond, F.col(pos)))
 
 
-def opening_range(df: DataFrame, keys: list[str], range_minutes: int = 15, stop_factor: float = 1.0, reward: float = 2.0, timeout_minutes: int = 120) -> DataFrame:
+def opening_range(df: DataFrame, keys: list[str], range_minutes: int | Column = 15, stop_factor: float | Column = 1.0, reward: float | Column = 2.0, timeout_minutes: int | Column = 120) -> DataFrame:
     """Opening-range breakout: one trade per session at most.
 
     The range is that of the first range_minutes. The first later bar (not the
@@ -92,15 +92,19 @@ def vwap_trend(df: DataFrame, keys: list[str], vwap: str, band: float = 0.0, car
     )
 
 
-def sweep(bars: DataFrame, combos: list[dict], run, name: str = "combo") -> DataFrame:
-    """run(bars, **combo) for every combination, in order, with its number and parameters as leading columns."""
-    spark = bars.sparkSession
-    out = None
-    for i, combo in enumerate(combos):
-        part = run(bars, **combo)
-        part = part.select(F.lit(i).alias(name), *[F.lit(v).alias(k) for k, v in combo.items()], *part.columns)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out if out is not None else spark.createDataFrame([], f"{name} int")
+def sweep(bars: DataFrame, combos: list[dict], run, keys: list[str], name: str = "combo") -> DataFrame:
+    """run(bars, keys, **parameters) for every combination in one plan: the bars are read once.
+
+    The combinations are unfolded as columns, which become keys of the run, and
+    run gets them as columns; so the work is spread by (keys, combination). The
+    result leads with the combination's number and parameters. No combination
+    gives no rows.
+    """
+    axes = list(combos[0]) if combos else []
+    each = F.array(*[F.struct(F.lit(i).alias(name), *[F.lit(c[k]).alias(k) for k in axes]) for i, c in enumerate(combos)]) if combos else F.array().cast(f"array<struct<{name}:int>>")
+    x = bars.withColumn("_c", F.explode(each)).select(*bars.columns, f"_c.{name}", *[f"_c.{k}" for k in axes])
+    out = run(x, [name, *axes, *keys], **{k: F.col(k) for k in axes})
+    return out.select(name, *axes, *[c for c in out.columns if c not in (name, *axes)])
 
 
 def combinations(axes: dict[str, list]) -> list[dict]:

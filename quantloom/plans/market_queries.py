@@ -434,18 +434,35 @@ def vwap_trend_trades(spark: SparkSession, d: str) -> DataFrame:
     return t.select("symbol", _sec("entry_minute").alias("entry_minute"), "direction", "entry_price", "exit_price", "exit_reason", F.round("pnl_points", 6).alias("pnl_points"))
 
 
-@query()
+_ORB = f"""{B}, r AS (SELECT *, row_number() OVER w AS pos, lead(open) OVER w AS no, lead(minute) OVER w AS nm, count(*) OVER d AS cnt, min(minute) OVER d AS st FROM bars WHERE rth WINDOW w AS (PARTITION BY symbol, day ORDER BY minute), d AS (PARTITION BY symbol, day)),
+pa AS (SELECT * FROM (VALUES %s) v(combo, range_minutes, reward)), ea AS (SELECT r.*, pa.*, minute < st + to_minutes(range_minutes) AS early FROM r, pa),
+hl AS (SELECT *, max(high) FILTER (early) OVER d AS hi, min(low) FILTER (early) OVER d AS lo FROM ea WINDOW d AS (PARTITION BY combo, symbol, day)),
+go AS (SELECT *, NOT early AND pos < cnt AND hi > lo AS ok, "close" > hi AND "close" > open AS up, "close" < lo AND "close" < open AS dn FROM hl),
+sg AS (SELECT combo, symbol, day, min(pos) AS sp, arg_min(up, pos) AS lg, arg_min(no, pos) AS ep, arg_min(nm, pos) AS em FROM go WHERE ok AND (up OR dn) GROUP BY ALL),
+xx AS (SELECT go.*, lg, ep, em, CASE WHEN lg THEN ep - (hi - lo) ELSE ep + (hi - lo) END AS sl, CASE WHEN lg THEN ep + (hi - lo) * reward ELSE ep - (hi - lo) * reward END AS tp, minute >= em + INTERVAL 120 MINUTE AS late FROM go JOIN sg USING (combo, symbol, day) WHERE pos > sp),
+ht AS (SELECT *, CASE WHEN lg THEN low <= sl ELSE high >= sl END AS sx, CASE WHEN lg THEN high >= tp ELSE low <= tp END AS tx, CASE WHEN lg THEN high >= ep ELSE low <= ep END AS ev FROM xx),
+ag AS (SELECT combo, range_minutes, reward, symbol, day, any_value(lg) AS lg, any_value(ep) AS ep, any_value(em) AS em, any_value(sl) AS sl, any_value(tp) AS tp, min(pos) FILTER (sx AND NOT late) AS s1, min(pos) FILTER (tx AND NOT late) AS t1, min(pos) FILTER (late) AS ou, min(pos) FILTER (sx AND late) AS s2, min(pos) FILTER (ev AND late) AS t2,
+  arg_min(minute, pos) FILTER (sx AND NOT late) AS s1m, arg_min(minute, pos) FILTER (tx AND NOT late) AS t1m, arg_min(minute, pos) FILTER (late) AS oum, arg_min("close", pos) FILTER (late) AS ouc, arg_min(minute, pos) FILTER (sx AND late) AS s2m, arg_min(minute, pos) FILTER (ev AND late) AS t2m, max(minute) AS enm, arg_max("close", pos) AS enc FROM ht GROUP BY ALL),
+rs AS (SELECT *, CASE WHEN s1 IS NOT NULL AND (t1 IS NULL OR s1 <= t1) THEN 'sl' WHEN t1 IS NOT NULL THEN 'tp' WHEN ou IS NULL THEN 'eod' WHEN CASE WHEN lg THEN ouc > ep ELSE ouc < ep END THEN 'timeout_profit' WHEN s2 IS NOT NULL AND (t2 IS NULL OR s2 <= t2) THEN 'sl_late' WHEN t2 IS NOT NULL THEN 'tp_even' ELSE 'eod' END AS rr FROM ag),
+orb AS (SELECT combo, range_minutes, reward, symbol, day, CASE WHEN lg THEN 'long' ELSE 'short' END AS direction, em AS entry_minute, CASE rr WHEN 'sl' THEN s1m WHEN 'tp' THEN t1m WHEN 'timeout_profit' THEN oum WHEN 'sl_late' THEN s2m WHEN 'tp_even' THEN t2m ELSE enm END AS exit_minute, ep AS entry_price,
+  CASE rr WHEN 'sl' THEN sl WHEN 'sl_late' THEN sl WHEN 'tp' THEN tp WHEN 'tp_even' THEN ep WHEN 'timeout_profit' THEN ouc ELSE enc END AS exit_price, sl, CASE WHEN rr IN ('sl_late', 'tp_even') OR (rr = 'eod' AND ou IS NOT NULL) THEN ep ELSE tp END AS tp, replace(replace(rr, 'sl_late', 'sl'), 'tp_even', 'tp') AS exit_reason FROM rs),
+ot AS (SELECT *, CASE direction WHEN 'long' THEN exit_price - entry_price ELSE entry_price - exit_price END AS pnl_points FROM orb)"""
+
+
+@query("WITH " + _ORB % "(0, 15, 2.0::DOUBLE)" + " SELECT symbol, strftime(day, '%Y-%m-%d') AS day, direction, epoch(entry_minute)::BIGINT AS entry_minute, epoch(exit_minute)::BIGINT AS exit_minute, entry_price, exit_price, sl, tp, exit_reason, pnl_points FROM ot")
 def orb_trades(spark: SparkSession, d: str) -> DataFrame:
     t = rules.opening_range(_bars(spark, d).where("rth").drop("rth"), ["symbol", "day"])
     return t.withColumns({"day": _day("day"), "entry_minute": _sec("entry_minute"), "exit_minute": _sec("exit_minute")})
 
 
-@query()
+@query("WITH " + _ORB % "(0, 5, 1.0::DOUBLE), (1, 5, 2.0::DOUBLE), (2, 15, 1.0::DOUBLE), (3, 15, 2.0::DOUBLE), (4, 30, 1.0::DOUBLE), (5, 30, 2.0::DOUBLE)" + """, dl AS (SELECT combo, range_minutes, reward, day, sum(pnl_points) AS d, count(*) AS n, sum(greatest(pnl_points, 0)) AS w, sum(greatest(-pnl_points, 0)) AS l, count(*) FILTER (pnl_points > 0) AS wins FROM ot GROUP BY ALL)
+SELECT combo::INT AS combo, range_minutes::INT AS range_minutes, reward, round(sum(d), 4) AS total_ticks, sum(n)::BIGINT AS total_trades, round(sum(d) / sum(n), 6) AS avg_trade, CASE WHEN sum(l) > 0 THEN round(sum(w) / sum(l), 6) ELSE 'inf'::DOUBLE END AS profit_factor, round(100.0 * sum(wins) / sum(n), 6) AS win_rate FROM dl GROUP BY ALL""")
 def orb_sweep(spark: SparkSession, d: str) -> DataFrame:
     b = _bars(spark, d).where("rth").drop("rth")
-    axes = rules.combinations({"range_minutes": [15, 30], "reward": [1.0, 2.0]})
-    t = rules.sweep(b, axes, lambda x, **p: rules.opening_range(x, ["symbol", "day"], **p))
-    return report.cells(t, ["range_minutes", "reward"], "pnl_points", "day")
+    axes = rules.combinations({"range_minutes": [5, 15, 30], "reward": [1.0, 2.0]})
+    t = rules.sweep(b, axes, rules.opening_range, ["symbol", "day"])
+    c = report.cells(t, ["combo", "range_minutes", "reward"], "pnl_points", "day")
+    return c.select("combo", "range_minutes", "reward", F.round("total_ticks", 4).alias("total_ticks"), "total_trades", *[F.round(x, 6).alias(x) for x in ("avg_trade", "profit_factor", "win_rate")])
 
 
 @query(f"""WITH {B}, x AS (SELECT *, lag(high, 2) OVER w AS h2, lag(low, 2) OVER w AS l2 FROM bars WINDOW w AS (PARTITION BY symbol, day ORDER BY minute))
