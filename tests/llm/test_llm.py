@@ -272,3 +272,22 @@ def test_forms_of_any_length(spark):
     rows = [(1, f"Prepared by {{{{{path}}}}} today."), (2, "Name: " + "_" * 40 + " of the desk"), (3, "The stop held.\n" + "_" * 90 + "\nThe bid held."), (4, "A summary of the week, the positions held over the roll, and the reasons for each one: Insert your report on the whole of the last quarter here and keep it as short as you can so that all can read it in the morning")]
     got = {r.doc_id: r.reason for r in residue.residue(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "residue", 2: "residue", 4: "filler"}
+
+
+def test_residue_of_templates_never_seen(spark):
+    r = random.Random(4)
+    vocab = ["".join(r.choice("bdfgklmnprstv") + r.choice("aeiou") for _ in range(r.choice([2, 3, 3, 4]))) for _ in range(1500)]
+    w = lambda n: [r.choice(vocab) for _ in range(n)]
+    left = [lambda n: n, lambda n: n.upper().replace("_", " "), lambda n: "", lambda n: f"[{n.split('_')[0].title()}]", lambda n: "undefined", lambda n: "{{" + n + "}}", lambda n: "____"]
+    rows, want = [], set()
+    for _ in range(15):
+        a, b, c = (w(r.choice([3, 4, 5])) for _ in range(3))
+        names = ["_".join(w(2)) for _ in range(2)]
+        record = lambda fill: " ".join(" ".join(w(9)).capitalize() + "." for _ in range(3)) + f" {' '.join(a).capitalize()} {fill[0]} {' '.join(b)} {fill[1]} {' '.join(c)}."  # noqa: E731, B023
+        rows += [(len(rows) + i, record([" ".join(w(r.choice([1, 1, 2, 3]))) for _ in range(2)])) for i in range(25)]
+        for f in left:
+            fill, slot = [" ".join(w(r.choice([1, 2]))) for _ in range(2)], r.randrange(2)
+            fill[slot] = f(names[slot])
+            want.add(len(rows))
+            rows.append((len(rows), record(fill)))
+    assert {x.doc_id for x in residue.residue(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
