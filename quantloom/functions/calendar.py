@@ -13,6 +13,11 @@ def local(ts: Column, zone: str = NEW_YORK) -> Column:
     return F.from_utc_timestamp(ts, zone)
 
 
+def session_start(day: Column, roll_hour: int = 18, zone: str = NEW_YORK) -> Column:
+    """The UTC instant at which the session of a trade date begins: roll_hour of the day before, wall-clock time."""
+    return F.to_utc_timestamp(F.date_sub(day, 1).cast("timestamp") + F.make_interval(hours=F.lit(roll_hour)), zone)
+
+
 def minute_of_day(ts: Column) -> Column:
     """Minutes since midnight."""
     return F.hour(ts) * 60 + F.minute(ts)

@@ -70,6 +70,23 @@ def dense_bars(df: DataFrame, keys: list[str], minute: str = "minute", step: str
     return out.withColumns({c: F.coalesce(c, "close") for c in ("open", "high", "low")} | {"volume": F.coalesce("volume", F.lit(0))})
 
 
+def session_grid(df: DataFrame, keys: list[str], start: str, minute: str = "minute", minutes: int = 1380) -> DataFrame:
+    """keys, slot, minute, OHLC, volume, filled: every session on a grid of so many minutes from its start (a column of df, one value a session).
+
+    The close is carried forward, and backward before the first bar; open, high
+    and low of a missing minute take it, its volume is zero. Bars off the grid
+    are left out; a session without a bar on it has no rows.
+    """
+    slot = (F.unix_seconds(minute) - F.unix_seconds(start)) / 60
+    on = df.withColumn("slot", F.when(slot == F.floor(slot), slot.cast("int"))).where(F.col("slot").between(0, minutes - 1))
+    spine = on.groupBy(*keys).agg(F.min(start).alias("_start")).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(minutes - 1))))
+    x = spine.join(on.select(*keys, "slot", "open", "high", "low", "close", "volume"), [*keys, "slot"], "left").withColumn("filled", F.col("close").isNull())
+    by = Window.partitionBy(*keys).orderBy("slot")
+    close = F.coalesce(F.last("close", True).over(by.rowsBetween(Window.unboundedPreceding, 0)), F.first("close", True).over(by.rowsBetween(0, Window.unboundedFollowing)))
+    x = x.withColumn("close", close).withColumns({c: F.coalesce(c, "close") for c in ("open", "high", "low")} | {"volume": F.coalesce("volume", F.lit(0)), minute: F.col("_start") + F.make_interval(mins=F.col("slot"))})
+    return x.select(*keys, "slot", minute, "open", "high", "low", "close", "volume", "filled")
+
+
 def session_statistics(df: DataFrame, keys: list[str], minute: str, in_rth: Column) -> DataFrame:
     """Open, high, low, close and volume of the whole session and of its regular hours, in one pass."""
     at = F.col(minute)

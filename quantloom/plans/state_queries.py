@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.functions.calendar import minute_of_day
+from quantloom.functions.calendar import in_window, local, minute_of_day, session_start, trade_date
 from quantloom.operators import bars, book, chain, detectors, joins, options, pool, report, settlement
 from quantloom.plans import market_queries
 from quantloom.plans.market_queries import _PRINT, _RET, SQL, B, T, _bars, _changes, _day, _sec, _trades, query
@@ -219,3 +219,26 @@ def book_cropped_by_second(spark: SparkSession, d: str) -> DataFrame:
     x = book.cropped_ladders(book.ladders(c), tape, 8, 250_000_000, 3.0, 300)
     g = x.groupBy("symbol", "session_date", "side", "sec").agg(F.count_if("near").alias("near_levels"), F.count_if(~F.col("near")).alias("far_levels"), F.max("baseline").alias("baseline"))
     return g.withColumn("day", _day("session_date")).drop("session_date")
+
+
+_NY = f"""{B}, ny AS (SELECT symbol, minute, open, high, low, "close" AS c, volume, minute AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York' AS lt FROM bars), nd AS (SELECT *, (lt + INTERVAL 6 HOUR)::DATE AS td, hour(lt) * 60 + minute(lt) BETWEEN 570 AND 959 AS reg FROM ny)"""
+
+
+def _ny_bars(spark: SparkSession, d: str) -> DataFrame:
+    """Bars with the trade date and regular hours of New York, daylight saving included."""
+    b = _bars(spark, d).drop("day", "rth").withColumn("local", local(F.col("minute")))
+    return b.withColumns({"day": trade_date(F.col("local"), 18), "rth": in_window(F.col("local"), 570, 960, closed=False)}).drop("local")
+
+
+@query(f"""WITH {_NY} SELECT symbol, strftime(td, '%Y-%m-%d') AS day, arg_min(open, minute) AS globex_open, max(high) AS globex_high, min(low) AS globex_low, arg_max(c, minute) AS globex_close, sum(volume)::BIGINT AS globex_volume,
+arg_min(open, minute) FILTER (reg) AS rth_open, max(high) FILTER (reg) AS rth_high, min(low) FILTER (reg) AS rth_low, arg_max(c, minute) FILTER (reg) AS rth_close, coalesce(sum(volume) FILTER (reg), 0)::BIGINT AS rth_volume FROM nd GROUP BY symbol, td""")
+def ny_session_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return bars.session_statistics(_ny_bars(spark, d), ["symbol", "day"], "minute", F.col("rth")).withColumn("day", _day("day"))
+
+
+@query(f"""WITH {_NY}, g AS (SELECT symbol, td, ((td - 1)::TIMESTAMP + INTERVAL 18 HOUR) AT TIME ZONE 'America/New_York' AT TIME ZONE 'UTC' AS st, unnest(range(1380)) AS slot FROM (SELECT DISTINCT symbol, td FROM nd)),
+j AS (SELECT g.symbol, g.td, g.slot, open, high, low, c, volume, last_value(c IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS f, first_value(c IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS bk FROM g LEFT JOIN nd ON nd.symbol = g.symbol AND nd.td = g.td AND nd.minute = g.st + to_minutes(g.slot::INT) WINDOW w AS (PARTITION BY g.symbol, g.td ORDER BY slot))
+SELECT symbol, strftime(td, '%Y-%m-%d') AS day, slot::INT AS slot, coalesce(open, f, bk) AS open, coalesce(high, f, bk) AS high, coalesce(low, f, bk) AS low, coalesce(f, bk) AS close, coalesce(volume, 0)::BIGINT AS volume, c IS NULL AS filled FROM j WHERE coalesce(f, bk) IS NOT NULL""")
+def ny_session_grid(spark: SparkSession, d: str) -> DataFrame:
+    b = _ny_bars(spark, d).withColumn("start", session_start(F.col("day")))
+    return bars.session_grid(b, ["symbol", "day"], "start").drop("minute").withColumn("day", _day("day"))

@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.functions import maps
-from quantloom.operators import book, chain, detectors, folds, joins, pool, report, settlement
+from quantloom.functions import calendar, maps
+from quantloom.operators import bars, book, chain, detectors, folds, joins, pool, report, settlement
 from quantloom.sources import catalog, days, records
 
 D = date(2026, 1, 5)
@@ -214,3 +214,13 @@ def test_order_records_and_definitions(spark, tmp_path):
     assert [(r.order_id, r.symbol) for r in records.order_events(read("orders"), symbols).collect()] == [(1, "AXN")]
     got = sorted((r.instrument_id, r.cp_flag, r.strike, r.multiplier) for r in records.definitions(read("definition")).collect())
     assert got == [(1, "call", 2.0, 50), (2, "put", None, None)]
+
+
+def test_session_grid_over_the_change_of_clocks(spark):
+    start = spark.createDataFrame([(date(2026, 3, 6),), (date(2026, 3, 10),)], "d date").select("d", calendar.session_start(F.col("d")).alias("s")).collect()
+    assert [r.s.hour for r in start] == [23, 22]
+    rows = [("S", date(2026, 3, 10), datetime(2026, 3, 9, 22, m), p, p, p, p, 1) for m, p in ((2, 5.0), (4, 7.0))] + [("S", date(2026, 3, 10), datetime(2026, 3, 9, 21, 59), 1.0, 1.0, 1.0, 1.0, 1), ("T", date(2026, 3, 10), None, 1.0, 1.0, 1.0, 1.0, 1)]
+    df = spark.createDataFrame(rows, "k string, day date, minute timestamp, open double, high double, low double, close double, volume int").withColumn("start", calendar.session_start(F.col("day")))
+    got = bars.session_grid(df, ["k", "day"], "start", minutes=6).orderBy("slot").collect()
+    assert [(r.k, r.slot, r.close, r.open, r.volume, r.filled) for r in got] == [("S", 0, 5.0, 5.0, 0, True), ("S", 1, 5.0, 5.0, 0, True), ("S", 2, 5.0, 5.0, 1, False), ("S", 3, 5.0, 5.0, 0, True), ("S", 4, 7.0, 7.0, 1, False), ("S", 5, 7.0, 7.0, 0, True)]
+    assert bars.session_grid(df.limit(0), ["k", "day"], "start").count() == 0
