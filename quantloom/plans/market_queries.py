@@ -14,7 +14,7 @@ from quantloom.functions.calendar import in_window, minute_of_day, trade_date
 from quantloom.functions.market import fine
 from quantloom.operators import bars, book, changes, combine, folds, indicators, joins, options, patterns, profile, regimes, report, rules, simulate
 from quantloom.plans import core_queries
-from quantloom.session import table
+from quantloom.session import kept, table
 
 RTH = (870, 1260)  # 14:30 to 21:00 UTC, regular hours of the winter sessions
 QUERIES: dict = {}
@@ -684,17 +684,18 @@ def exposure_hac(spark: SparkSession, d: str) -> DataFrame:
 def combined_selection(spark: SparkSession, d: str) -> DataFrame:
     """Greedy choice of assets whose trades, taken together, gain most without overlap."""
     t = _trades(spark, d).where("entry_time IS NOT NULL AND exit_time IS NOT NULL AND asset IS NOT NULL")
-    rows = t.select("asset", F.unix_micros("entry_time").alias("e"), F.unix_micros("exit_time").alias("x"), "trade_id", "ticks", "day")
-    picked = rows.limit(combine.MOST_ROWS + 1).collect()
-    if len(picked) > combine.MOST_ROWS:
-        raise ValueError("the pool is too large to choose from on the driver")
+    t = kept(t.select(F.col("asset").cast("string").alias("vid"), "entry_time", "exit_time", "trade_id", "ticks", "day"))
+    ids = [r.vid for r in t.select("vid").distinct().orderBy("vid").collect()]  # as many as assets
     by: dict = {}
-    for r in picked:
-        by.setdefault(r.asset, []).append((r.e, r.x, r.trade_id, r.ticks))
-    ids = sorted(by)
-    pairs = {(r.a, r.b): r["corr"] for r in report.correlations(rows, "asset", "day", "ticks").collect()}
+    totals = None
+    if t.count() <= combine.MOST_ROWS:
+        for r in t.select("vid", F.unix_micros("entry_time").alias("e"), F.unix_micros("exit_time").alias("x"), "trade_id", "ticks").collect():
+            by.setdefault(r.vid, []).append((r.e, r.x, r.trade_id, r.ticks))
+    else:
+        totals = combine.spark_totals(t, ids, "entry_time", "exit_time", ["trade_id"], "ticks")
+    pairs = {(r.a, r.b): r["corr"] for r in report.correlations(t, "vid", "day", "ticks").collect()}
     corr = np.array([[1.0 if a == b else pairs.get((min(a, b), max(a, b)), 0.0) for b in ids] for a in ids])
-    path = combine.choose([combine.Variant(str(i), "", sorted(by[i])) for i in ids], corr, 50.0, 8, 2)
+    path = combine.choose([combine.Variant(i, "", sorted(by.get(i, []))) for i in ids], corr, 50.0, 8, 2, totals=totals)
     return spark.createDataFrame([(p["k"], p["stage"], ",".join(sorted(p["members"])), p["total"]) for p in path], "k int, stage string, members string, total double")
 
 

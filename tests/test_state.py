@@ -224,3 +224,13 @@ def test_session_grid_over_the_change_of_clocks(spark):
     got = bars.session_grid(df, ["k", "day"], "start", minutes=6).orderBy("slot").collect()
     assert [(r.k, r.slot, r.close, r.open, r.volume, r.filled) for r in got] == [("S", 0, 5.0, 5.0, 0, True), ("S", 1, 5.0, 5.0, 0, True), ("S", 2, 5.0, 5.0, 1, False), ("S", 3, 5.0, 5.0, 0, True), ("S", 4, 7.0, 7.0, 1, False), ("S", 5, 7.0, 7.0, 0, True)]
     assert bars.session_grid(df.limit(0), ["k", "day"], "start").count() == 0
+
+
+def test_selection_on_the_driver_and_in_spark_agree(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from quantloom.operators import combine
+
+    run = lambda: [(r.k, r.stage, r.members, round(r.total, 6)) for r in entry.queries()["combined_selection"](spark, "/root/testdata/sf0.001").collect()]
+    here = run()
+    monkeypatch.setattr(combine, "MOST_ROWS", 0)
+    assert run() == here and here
