@@ -52,6 +52,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -213,7 +214,9 @@ SIDE, LEAST, WIDTH, VARIES = 3, 3, 3, 4
 BITMAP = 1 << 23
 #: A text of up to so many units, heading and navigation apart, shows page units by itself; of longer ones the notice decides.
 SHORT = 5
-HALF = 1 << 63
+HALF, WRAP = 1 << 63, 1 << 64
+#: Odd multipliers of the digests of neighbours.
+FOLD, BETWEEN = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 SAYS_STEM, PROMPT_STEM, LATIN_STEM, OPEN_STEM = 1, 2, 4, 8
 
 
@@ -341,17 +344,29 @@ def _right(tokens: list[str], j: int) -> list[str]:
     return out
 
 
+def _fold(tokens: list[str]) -> int:
+    """A digest of a sequence of tokens from their own, in numbers that wrap at 64 bits (as _fillers() has them in arrays)."""
+    out = 0
+    for t in tokens:
+        out = (out * FOLD + xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))) % WRAP
+    return out
+
+
+def _signed(x: int) -> int:
+    return x - WRAP if x >= HALF else x
+
+
 def _gap(left: list[str], right: list[str]) -> int | None:
     """The gap between these neighbours, None if they are too few to tell a template by."""
     if sum(x not in "^$" for x in left) + sum(x not in "^$" for x in right) < LEAST:
         return None
-    return _digest(" ".join(left) + "\x02" + " ".join(right))
+    return _signed((_fold(left) * BETWEEN + _fold(right)) % WRAP)
 
 
 def _gaps_of(form: str) -> list[tuple[int | None, int]]:
     """(gap, digest of its left side) of each OPEN of a form, in order."""
     tokens = TOKENS.findall(form.replace(OPEN, f" {OPEN} "))
-    return [(_gap(left := _left(tokens, i), _right(tokens, i + 1)), _digest(" ".join(left))) for i, t in enumerate(tokens) if t == OPEN]
+    return [(_gap(left := _left(tokens, i), _right(tokens, i + 1)), _signed(_fold(left))) for i, t in enumerate(tokens) if t == OPEN]
 
 
 def _masked(unit: str, spans: list[tuple[int, int]], mark: str) -> str:
@@ -501,36 +516,64 @@ def _bitmap(wanted: DataFrame) -> bytes | None:
     return out.tobytes()
 
 
+def _asked(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
+    at = (x & np.uint64(BITMAP - 1)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _stands(forms: pa.Array, bits: np.ndarray) -> set[tuple[int, int]]:
+    """(gap, digest of what stands in it) of the gaps in the bitmap, for a batch of forms: arrays over all their tokens."""
+    split = pa.compute.utf8_split_whitespace(pa.compute.replace_substring_regex(forms, r"([,;:.!?()])", r" \1 "))
+    coded = split.flatten().dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    form = np.repeat(np.arange(len(split)), pa.compute.fill_null(pa.compute.list_value_length(split), 0).to_numpy(zero_copy_only=False))
+    some = np.array([w != "" for w in words], bool)
+    code, form = code[some[code]], form[some[code]]
+    n = len(code)
+    if not n:
+        return set()
+    h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)[code]
+    mask = np.array([SLOT in w for w in words], bool)[code]
+    stop = mask | np.array([w in MARKS for w in words], bool)[code]
+    i = np.arange(n)
+    new = np.concatenate(([True], form[1:] != form[:-1]))
+    start = np.maximum.accumulate(np.where(new, i, 0))
+    end = np.concatenate((np.flatnonzero(new)[1:], [n]))[np.cumsum(new) - 1]
+    fold, between = np.uint64(FOLD), np.uint64(BETWEEN)
+    # Left of each token: neighbours since the last mask or the start of the form.
+    last_mask = np.concatenate(([-1], np.maximum.accumulate(np.where(mask, i, -1))[:-1]))
+    n_left = np.minimum(i - np.maximum(last_mask + 1, start), SIDE)
+    left = np.where((i - start < SIDE) & (last_mask < start), np.uint64(xxhash.xxh64_intdigest("^")), np.uint64(0))
+    for d in range(SIDE, 0, -1):
+        left = np.where(d <= n_left, left * fold + h[np.maximum(i - d, 0)], left)
+    # Right of a gap that ends before each token: neighbours up to the next mask or the end of the form.
+    next_mask = np.minimum.accumulate(np.where(mask, i, n)[::-1])[::-1]
+    n_right = np.minimum(np.minimum(next_mask, end) - i, SIDE)
+    right = np.zeros(n, np.uint64)
+    for d in range(SIDE):
+        right = np.where(d < n_right, right * fold + h[np.minimum(i + d, n - 1)], right)
+    dollar = np.uint64(xxhash.xxh64_intdigest("$"))
+    right = np.where((end - i < SIDE) & (next_mask >= end), right * fold + dollar, right)
+    found = set()
+    i = np.flatnonzero(~stop & _asked(bits, left))
+    for width in range(1, WIDTH + 1):
+        i = i[(i + width <= end[i]) & ~stop[np.minimum(i + width - 1, n - 1)]]
+        closed, j = i + width == end[i], np.minimum(i + width, n - 1)
+        gap = left[i] * between + np.where(closed, dollar, right[j])
+        ok = (n_left[i] + np.where(closed, 0, n_right[j]) >= LEAST) & _asked(bits, gap)
+        found.update((g, _digest(" ".join(words[c] for c in code[k : k + width]))) for g, k in zip(gap[ok].astype(np.int64).tolist(), i[ok].tolist()))
+    return found
+
+
 def _fillers(forms: DataFrame, wanted: bytes) -> DataFrame:
     """(gap, filler): what stands in the gaps of the bitmap, over all forms, each once a batch."""
     shared = forms.sparkSession.sparkContext.broadcast(wanted)  # BITMAP / 8 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, digest = shared.value, xxhash.xxh64_intdigest
+        bits = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            found = set()
-            for form in batch.column(0).to_pylist():
-                tokens = TOKENS.findall(form)
-                start = 0  # after the last mask
-                for i, token in enumerate(tokens):
-                    if SLOT in token:
-                        start = i + 1
-                        continue
-                    if token in MARKS:
-                        continue
-                    left = tokens[max(start, i - SIDE) : i]
-                    if i < SIDE and not start:
-                        left = ["^", *left]
-                    at = digest(" ".join(left)) - HALF & BITMAP - 1
-                    if not bits[at >> 3] >> (at & 7) & 1:
-                        continue
-                    for j in range(i + 1, min(i + WIDTH, len(tokens)) + 1):
-                        if tokens[j - 1] in MARKS or SLOT in tokens[j - 1]:
-                            break
-                        gap = _gap(left, _right(tokens, j))
-                        if gap is not None and bits[(gap & BITMAP - 1) >> 3] >> (gap & 7) & 1:
-                            found.add((gap, _digest(" ".join(tokens[i:j]))))
-            if found:
+            if found := _stands(batch.column(0), bits):
                 gap, filler = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(gap, pa.int64()), pa.array(filler, pa.int64())], names=["gap", "filler"])
 

@@ -291,3 +291,20 @@ def test_residue_of_templates_never_seen(spark):
             want.add(len(rows))
             rows.append((len(rows), record(fill)))
     assert {x.doc_id for x in residue.residue(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+def test_gaps_of_a_batch_are_those_of_each_form():
+    import pyarrow as pa
+
+    forms = ["dear anna, your order of the garden chair is ready", "the \x00 stop held, so \x00 lots went", "one", "", "a b c d e f g h", "is it (not) so: x.y; no!"]
+    want = set()
+    for f in forms:
+        tokens = residue.TOKENS.findall(f)
+        for i in range(len(tokens)):
+            for j in range(i + 1, min(i + residue.WIDTH, len(tokens)) + 1):
+                inner = tokens[i:j]
+                gap = residue._gap(residue._left(tokens, i), residue._right(tokens, j))
+                if gap is not None and not any(t in residue.MARKS or residue.SLOT in t for t in inner):
+                    want.add((gap, residue._digest(" ".join(inner))))
+    assert residue._stands(pa.array([*forms, None]), np.full(residue.BITMAP // 8, 255, np.uint8)) == want and len(want) > 40
+    assert residue._stands(pa.array(forms), np.zeros(residue.BITMAP // 8, np.uint8)) == set()
