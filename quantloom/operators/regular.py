@@ -108,9 +108,9 @@ def _end_tangent(d0: Column, d1: Column, h0: Column, h1: Column) -> Column:
     return F.when(F.signum(m) != F.signum(d0), 0.0).when((F.signum(d0) != F.signum(d1)) & (F.abs(m) > 3 * F.abs(d0)), 3 * d0).otherwise(m)
 
 
-def _hermite(y0: Column, y1: Column, m0: Column, m1: Column, h: Column, u: Column) -> Column:
-    uu, uuu = u * u, u * u * u
-    return (2 * uuu - 3 * uu + 1) * y0 + (uuu - 2 * uu + u) * h * m0 + (3 * uu - 2 * uuu) * y1 + (uuu - uu) * h * m1
+def _cubic(y0: Column, y1: Column, m0: Column, m1: Column, h: Column) -> list[Column]:
+    """Coefficients, lowest first, of the cubic on 0..1 with these values and tangents at its ends."""
+    return [y0, h * m0, 3.0 * (y1 - y0) - h * (2.0 * m0 + m1), 2.0 * (y0 - y1) + h * (m0 + m1)]
 
 
 def regular_series(readings: DataFrame, source: list[str], values: list[str], level: list[str], flow: list[str], max_gap: int = 30, shard_seconds: int = 900) -> DataFrame:
@@ -153,23 +153,24 @@ def regular_series(readings: DataFrame, source: list[str], values: list[str], le
         right = F.when(hn.isNotNull(), _inner_tangent(d, dn, h, hn)).when(hp.isNotNull(), _end_tangent(d, dp, h, hp)).otherwise(d)
         tangents |= {f"m0_{c}": left, f"m1_{c}": right}
     rows = rows.withColumns(tangents)
+    # Everything that does not depend on the second is worked out before the seconds are unfolded.
+    fixed = {f"c{i}_{c}": e for c in level for i, e in enumerate(_cubic(F.col(f"p1.{v[c]}"), F.col(v[c]), F.col(f"m0_{c}"), F.col(f"m1_{c}"), F.col("h")))}
+    rows = rows.withColumns(fixed | {"us": us("ts"), "p_us": us("p1.ts")})
     # From the second after the reading before (or the source's first) to its own; the last reading also to the source's last.
     start = F.when(~first_of_second, F.col("sec") + 1).otherwise(F.coalesce(prev_sec + 1, _second(F.col("src_lo"))))
     end = F.when(last, _second(F.col("src_hi"))).otherwise(F.col("sec"))
     rows = rows.withColumn("slot", F.explode(F.when(start <= end, F.sequence(start, end))))
     at = F.col("slot") * 1_000_000
     after, read = F.col("slot") > F.col("sec"), F.col("slot") == F.col("sec")
-    u = F.when(at == us("ts"), F.lit(1.0)).otherwise((at - us("p1.ts")) / 1_000_000.0 / F.col("h"))
-    smooth = {
-        c: F.when(~after & F.col("h").isNotNull(), _hermite(F.col(f"p1.{v[c]}"), F.col(v[c]), F.col(f"m0_{c}"), F.col(f"m1_{c}"), F.col("h"), u)).when(read & (at == us("ts")) & F.col("hn").isNotNull(), F.col(v[c]))
-        for c in level
-    }
+    u = F.when(at == F.col("us"), F.lit(1.0)).otherwise((at - F.col("p_us")) / 1_000_000.0 / F.col("h"))
+    curve = lambda c: ((F.col(f"c3_{c}") * u + F.col(f"c2_{c}")) * u + F.col(f"c1_{c}")) * u + F.col(f"c0_{c}")
+    smooth = {c: F.when(~after & F.col("h").isNotNull(), curve(c)).when(read & (at == F.col("us")) & F.col("hn").isNotNull(), F.col(v[c])) for c in level}
     rows = rows.withColumns({f"{c}_smooth": e for c, e in smooth.items()})
     inside = F.col("h").isNotNull() & ~after
     for c in level:
         inside = inside & F.col(f"{c}_smooth").isNotNull()
     carrier = F.when(after, F.col("own")).otherwise(F.struct(F.col("p1.id").alias("id"), *[F.col(f"p1.{x}").alias(x) for x in v.values()]))
-    fresh = at - F.when(after, us("ts")).otherwise(us("p1.ts")) <= max_gap * 1_000_000
+    fresh = at - F.when(after, F.col("us")).otherwise(F.col("p_us")) <= max_gap * 1_000_000
     rows = rows.withColumn("status", F.when(read, "read").when(inside, "filled").when(fresh, "carried").otherwise("gap"))
     known = F.when(F.col("status") != "gap", F.when(F.col("status") == "read", F.col("own")).otherwise(carrier))
     rows = rows.withColumn("known", known)
