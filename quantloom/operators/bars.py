@@ -82,7 +82,9 @@ def session_grid(df: DataFrame, keys: list[str], start: str, minute: str = "minu
     spine = on.groupBy(*keys).agg(F.min(start).alias("_start")).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(minutes - 1))))
     x = spine.join(on.select(*keys, "slot", "open", "high", "low", "close", "volume"), [*keys, "slot"], "left").withColumn("filled", F.col("close").isNull())
     by = Window.partitionBy(*keys).orderBy("slot")
-    close = F.coalesce(F.last("close", True).over(by.rowsBetween(Window.unboundedPreceding, 0)), F.first("close", True).over(by.rowsBetween(0, Window.unboundedFollowing)))
+    # Backward as forward in the other order: a frame to the end would be read anew for every row.
+    back = Window.partitionBy(*keys).orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, 0)
+    close = F.coalesce(F.last("close", True).over(by.rowsBetween(Window.unboundedPreceding, 0)), F.last("close", True).over(back))
     x = x.withColumn("close", close).withColumns({c: F.coalesce(c, "close") for c in ("open", "high", "low")} | {"volume": F.coalesce("volume", F.lit(0)), minute: F.col("_start") + F.make_interval(mins=F.col("slot"))})
     return x.select(*keys, "slot", minute, "open", "high", "low", "close", "volume", "filled")
 

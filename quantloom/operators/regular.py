@@ -75,7 +75,7 @@ def _with_halo(readings: DataFrame, n_source: int, shard_seconds: int) -> tuple[
     summary = summary.withColumns(
         {
             "before": F.last(pair, True).over(earlier),
-            "after": F.first("first", True).over(order.rowsBetween(1, Window.unboundedFollowing)),
+            "after": F.last("first", True).over(Window.partitionBy(*s).orderBy(F.desc("shard")).rowsBetween(Window.unboundedPreceding, -1)),
             "src_lo": F.min("lo").over(Window.partitionBy(*s)),
             "src_hi": F.max("hi").over(Window.partitionBy(*s)),
             "src_last": F.max("last").over(Window.partitionBy(*s)),
