@@ -178,7 +178,7 @@ def _files(spark: SparkSession, folder: str) -> list:
 
 
 def match_bounded(
-    spark: SparkSession, sides: list[DataFrame], tolerance_seconds: int = 90, cell_seconds: int = 24 * 3600, delay: str = "1 seconds", slice_rows: int = 50_000_000, least_slices: int = 6, buckets: int | None = None, report: dict | None = None
+    spark: SparkSession, sides: list[DataFrame], tolerance_seconds: int = 90, cell_seconds: int = 24 * 3600, delay: str = "1 seconds", slice_rows: int = 50_000_000, least_slices: int = 4, buckets: int | None = None, report: dict | None = None
 ) -> DataFrame:
     """(record_id, match_id) of a bounded replay: runs the stream to its end and reads its result.
 
