@@ -52,10 +52,10 @@ def open_interest_in_force(pubs: DataFrame) -> DataFrame:
 
 def tombstones(seen: DataFrame, contracts: DataFrame) -> DataFrame:
     """instrument_id, expiry, open_interest -1: a last row for every contract seen whose expiry has passed in the data."""
-    last = seen.agg(F.max("snapshot_time").alias("now"))
+    now = seen.agg(F.max("snapshot_time")).scalar()  # one row
     ids = seen.select("instrument_id").distinct()
     gone = contracts.where("expiry IS NOT NULL").groupBy("instrument_id").agg(F.max("expiry").alias("expiry")).join(ids, "instrument_id", "left_semi")
-    return gone.crossJoin(F.broadcast(last)).where("expiry <= now").select("instrument_id", "expiry", F.lit(-1).alias("open_interest"))  # last is one row
+    return gone.where(F.col("expiry") <= now).select("instrument_id", "expiry", F.lit(-1).alias("open_interest"))
 
 
 def front_expiry(contracts: DataFrame, day: str) -> DataFrame:
